@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontamination, quality, sentencepiece_tokens, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_sentencepiece": sentencepiece_tokens.op3_sentencepiece,
+        "op7_quality": quality.op7_quality,
+        "op8_decontamination": decontamination.op8_decontamination,
     }
 
 
