@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality, sentencepiece_tokens, simhash
+from . import decontamination, html_text, neighbours, quality, sentencepiece_tokens, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": sentencepiece_tokens.op3_sentencepiece,
         "op7_quality": quality.op7_quality,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_html": html_text.op9_html,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
