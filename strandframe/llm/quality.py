@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .support import read, written
 
-#: Labelled documents that the first models are fitted on, at most; those of the smallest hashed ids.
+#: Labelled documents that the first models are fitted on; of more, a hash of the id draws so many, give or take a few hundredths.
 LABELLED_ROWS = 20_000
 ROUNDS, STEPS = 2, 2
 #: A view is confident from this probability on, on either side.
@@ -199,7 +199,9 @@ def fit(features: DataFrame, labels: DataFrame, id: str = "doc_id", label: str =
     Repeated labels of a document count once, and documents whose labels differ not at all. Null ids and labels are left out.
     """
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select("id", (F.col("lo") > 0).cast("double").alias("y"))
-    sample = known.join(features, "id").dropDuplicates(["id"]).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(labelled_rows).collect()
+    share = min(1.0, labelled_rows / max(1, known.count()))
+    drawn = known.withColumn("h", F.xxhash64("id")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = drawn.join(features, "id").dropDuplicates(["id"]).orderBy("h", "id").collect()
     y = np.array([r["y"] for r in sample])
     apart = np.array([r["h"] % 5 == 0 for r in sample], bool)
     if len(sample) < 10 or len(set(y[~apart].tolist())) < 2:

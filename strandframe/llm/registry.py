@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, neighbours, quality, sentencepiece_tokens, simhash
+from . import chat, decontamination, html_text, licenses, neighbours, quality, sentencepiece_tokens, simhash, token_counts, url_lists
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_simhash": simhash.op2_simhash,
         "op3_sentencepiece": sentencepiece_tokens.op3_sentencepiece,
+        "op4_url_lists": url_lists.op4_url_lists,
+        "op5_licenses": licenses.op5_licenses,
+        "op6_chat": chat.op6_chat,
         "op7_quality": quality.op7_quality,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_html": html_text.op9_html,
@@ -21,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_lists": url_lists.OP4_SQL,
+        "op5_licenses": licenses.oracle(),
+        "op6_chat": chat.OP6_SQL,
+    }
