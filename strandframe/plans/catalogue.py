@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("recruitment_queries",)
+
+
+def _all() -> dict:
+    found: dict = {}
+    for m in MODULES:
+        found |= importlib.import_module(f"{__package__}.{m}").QUERIES
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: q[0] for name, q in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q[1] for name, q in _all().items() if q[1]}
