@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("recruitment_queries",)
+MODULES = ("recruitment_queries", "table_queries")
 
 
 def _all() -> dict:
