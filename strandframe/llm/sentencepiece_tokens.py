@@ -24,11 +24,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks whose ids a task keeps; when there are more, it begins anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 #: Chunks that are encoded in one text.
 JOINT = 200
 #: Characters of text in one batch of documents.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 20
 
 
 def _fields(data: bytes) -> Iterable[tuple[int, int | bytes]]:
