@@ -170,6 +170,11 @@ def heaviest_path(nodes: dict, edges: dict) -> list | None:
     return min(best.values(), key=lambda t: (-t[0], t[1]))[1] if best else []
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for a cogroup with a table of the same lineage."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def backbones(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """The heaviest path of each key's graph as (key, ord, node); none with a cycle. nodes (key, node, weight), edges (key, a, b)."""
 
@@ -178,7 +183,7 @@ def backbones(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: [k[0]] * len(path), "ord": range(len(path)), "node": path})
 
     types = f"{key} {nodes.schema[key].dataType.simpleString()}, ord int, node {nodes.schema['node'].dataType.simpleString()}"
-    return nodes.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(kernel, types)
+    return nodes.groupBy(key).cogroup(_fresh(edges).groupBy(key)).applyInPandas(kernel, types)
 
 
 def walk(depth: dict[str, int], reference: dict[str, int], seed: str, lookahead: int = 24, limit: int = 4096) -> str:
@@ -224,4 +229,4 @@ def contigs(kmers: DataFrame, reference: DataFrame, key: str, k: int) -> DataFra
         return pd.DataFrame({key: [name[0]], "seq": [seq], "weight": [sum(depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1))]})
 
     types = f"{key} {kmers.schema[key].dataType.simpleString()}, seq string, weight long"
-    return kmers.groupBy(key).cogroup(reference.groupBy(key)).applyInPandas(kernel, types)
+    return kmers.groupBy(key).cogroup(_fresh(reference).groupBy(key)).applyInPandas(kernel, types)
