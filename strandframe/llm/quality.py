@@ -22,8 +22,10 @@ from .support import read, written
 #: Labelled documents that the first models are fitted on; of more, a hash of the id draws so many, give or take a few hundredths.
 LABELLED_ROWS = 20_000
 ROUNDS, STEPS = 2, 2
-#: A view is confident from this probability on, on either side.
-CONFIDENT = 0.95
+#: A view is confident of a class from this calibrated probability on, where its odds are also so many times the prior's.
+CONFIDENT, LIFT = 0.9, 3.0
+#: The weight of all pseudo-labels against that of the labelled documents.
+PSEUDO_WEIGHT = 0.5
 RIDGE = 1e-2
 THRESHOLD = 0.5
 
@@ -116,15 +118,16 @@ class View:
         self.weights = self.weights + move * min(1.0, 6.0 / (np.abs(move).max() + 1e-12))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, with a slope that is never negative; unchanged without both classes."""
+        """Platt scaling, drawn towards the view as it is, with a slope that is never negative; unchanged without both classes."""
         if len(set(y.tolist())) < 2:
             return
         m = self.margin(x)
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        ab, d = np.array([1.0, 0.0]), np.stack([m, np.ones_like(m)], axis=1)
-        for _ in range(30):
+        ab, d, pull = np.array([1.0, 0.0]), np.stack([m, np.ones_like(m)], axis=1), np.array([1.0, 0.1])
+        for _ in range(60):
             p = _sigmoid(d @ ab)
-            ab = ab + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + 1e-3 * np.eye(2), d.T @ (target - p) - 1e-3 * (ab - [1.0, 0.0]))
+            move = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + np.diag(pull), d.T @ (target - p) - pull * (ab - [1.0, 0.0]))
+            ab = ab + np.clip(move, -0.5, 0.5)
         self.slope, self.shift = max(0.0, float(ab[0])), float(ab[1])
 
 
@@ -171,26 +174,54 @@ def featured(df: DataFrame, id: str = "doc_id", text: str = "text", meta: tuple[
     return wanted.mapInArrow(kernel, T.StructType([T.StructField("id", df.schema[id].dataType), *FEATURES.fields]))
 
 
-def _pseudo_sums(features: DataFrame, model: CoTrained) -> dict[int, float]:
-    """Over all documents, for each view the sums over those on which the other view is confident: gradient, curvature, rows."""
+def pseudo_sums(model: CoTrained, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """For each view, and for each class that the other view is confident of: gradient, curvature and number of those rows, flat."""
+    made = []
+    for view, own, other, theirs in ((model.text, x, model.page, z), (model.page, z, model.text, x)):
+        logit = other.calibrated(theirs)
+        for label, sign in ((0.0, -1), (1.0, 1)):
+            sure = (sign * logit >= _logit(CONFIDENT)) & (sign * (logit - _logit(model.prior)) >= np.log(LIFT))
+            g, h = view.sums(own[sure], np.full(int(sure.sum()), label))
+            made += [g, h.ravel(), np.array([float(sure.sum())])]
+    return np.concatenate(made)
+
+
+def exchange(model: CoTrained, sums: np.ndarray, own: list[tuple[View, np.ndarray]], y: np.ndarray) -> None:
+    """One step of each view on its labelled rows and on what the other view is confident of.
+
+    Each class weighs among the pseudo-labels what it weighs among the labels; a view that is sure of one class only teaches nothing.
+    """
+    at, rows = 0, float(len(y))
+    for v, m in own:
+        k = len(v.weights)
+        g, h = v.sums(m, y)
+        parts = []
+        for share in (1 - model.prior, model.prior):
+            parts.append((share, sums[at : at + k], sums[at + k : at + k + k * k].reshape(k, k), sums[at + k + k * k]))
+            at += k + k * k + 1
+        weight = 0.0
+        if all(n > 0 for *_, n in parts):
+            weight = PSEUDO_WEIGHT * min(rows, sum(n for *_, n in parts))
+            for share, gradient, curvature, n in parts:
+                g, h = g + weight * share / n * gradient, h + weight * share / n * curvature
+        v.step(g, h, rows + weight)
+
+
+def _pseudo_sums(features: DataFrame, model: CoTrained) -> np.ndarray:
+    """pseudo_sums() over all documents, added up in Spark."""
+    n = len(pseudo_sums(model, np.zeros((0, N_TEXT)), np.zeros((0, N_PAGE))))
 
     def kernel(batches):
-        held = None
+        held = np.zeros(n)
         for b in batches:
-            x, z = _matrix(b.column(0), N_TEXT), _matrix(b.column(1), N_PAGE)
-            made = []
-            for view, own, other, theirs in ((model.text, x, model.page, z), (model.page, z, model.text, x)):
-                p = _sigmoid(other.margin(theirs))
-                sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
-                g, h = view.sums(own[sure], (p[sure] > 0.5).astype(float))
-                made += [g, h.ravel(), np.array([float(sure.sum())])]
-            flat = np.concatenate(made)
-            held = flat if held is None else held + flat
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held)), pa.int32()), pa.array(held)], names=["k", "v"])
+            held += pseudo_sums(model, _matrix(b.column(0), N_TEXT), _matrix(b.column(1), N_PAGE))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(held)], names=["k", "v"])
 
     sums = features.select(*FEATURES.names).mapInArrow(kernel, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
-    return {r["k"]: r["v"] for r in sums.collect()}  # a fixed number of rows
+    out = np.zeros(n)
+    for r in sums.collect():  # as many rows as a model has numbers
+        out[r["k"]] = r["v"]
+    return out
 
 
 def fit(features: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", labelled_rows: int = LABELLED_ROWS) -> CoTrained | None:
@@ -214,18 +245,11 @@ def fit(features: DataFrame, labels: DataFrame, id: str = "doc_id", label: str =
     for v, m in own:
         for _ in range(15):
             v.step(*v.sums(m, y[~apart]), rows)
-    for _ in range(ROUNDS * STEPS):
-        got = _pseudo_sums(features, model)
-        flat, at = np.array([got[k] for k in sorted(got)]), 0
-        for v, m in own:
-            k = len(v.weights)
-            if not len(flat):
-                break
-            gradient, curvature, n = flat[at : at + k], flat[at + k : at + k + k * k].reshape(k, k), flat[at + k + k * k]
-            at += k + k * k + 1
-            share = rows / max(rows, n)
-            g, h = v.sums(m, y[~apart])
-            v.step(g + share * gradient, h + share * curvature, rows + share * n)
+    for turn in range(ROUNDS * STEPS):
+        if turn % STEPS == 0:
+            for v, m in zip(views, (x, z), strict=True):
+                v.calibrate(m[apart], y[apart])
+        exchange(model, _pseudo_sums(features, model), own, y[~apart])
     for v, m in zip(views, (x, z), strict=True):
         v.calibrate(m[apart], y[apart])
     return model
