@@ -219,6 +219,8 @@ def contigs(kmers: DataFrame, reference: DataFrame, key: str, k: int) -> DataFra
 
     def kernel(name, own: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         depth = dict(zip(own["kmer"], own["depth"], strict=True))
+        for x, d in list(depth.items()):  # both strands of every k-mer, counted once where both are there already
+            depth.setdefault(x.translate(flip)[::-1], d)
         known = dict.fromkeys(ref["kmer"], 1)
         seeds = sorted((x for x in known if x in depth), key=lambda x: (-depth[x], x))
         if not seeds:
