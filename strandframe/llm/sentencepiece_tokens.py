@@ -8,6 +8,9 @@ chunk of a task is encoded once, in multithreaded batches.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import os
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -27,6 +30,8 @@ UNIGRAM, BPE = 1, 2
 CACHE_CHUNKS = 120_000
 #: Chunks that are encoded in one text.
 JOINT = 200
+#: Threads of the tokenizers library in each worker.
+THREADS = 2
 #: Characters of text in one batch of documents.
 BATCH_CHARS = 1 << 20
 
@@ -88,6 +93,7 @@ class Model:
 
 def backend(model: Model):
     """The tokenizers-library tokenizer of a model, without the dummy prefix, which is the caller's."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library's threads begin
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
@@ -107,6 +113,26 @@ def backend(model: Model):
     return made
 
 
+_codecs: dict[tuple[bytes, bool], Codec] = {}
+
+
+def codec_of(data: bytes, verify: bool) -> Codec:
+    """The one codec of a model in this process: a worker that takes another task keeps its tokenizer and its chunks."""
+    key = (hashlib.sha256(data).digest(), verify)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(data, verify)
+    return _codecs[key]
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, where the C library can: workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Codec:
     """Encodes and decodes whole texts with one model."""
 
@@ -205,7 +231,7 @@ def encoded(df: DataFrame, model: str | bytes, text: str = "text", verify: bool
     df = df.select(*kept)
 
     def kernel(batches):
-        codec = Codec(shared.value, verify)
+        codec = codec_of(shared.value, verify)
         for batch in batches:
             column, at = batch.column(kept.index(text)), 0
             while at < batch.num_rows:
@@ -229,6 +255,7 @@ def encoded(df: DataFrame, model: str | bytes, text: str = "text", verify: bool
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *out], names=[*kept, *ENCODED.names])
                 at += len(texts)
+            give_back()
 
     return df.mapInArrow(kernel, T.StructType([*df.schema.fields, *ENCODED.fields]))
 
@@ -241,7 +268,7 @@ def decoded(df: DataFrame, model: str | bytes, ids: str = "token_ids", name: str
     df = df.select(*kept)
 
     def kernel(batches):
-        codec = Codec(shared.value, verify=False)
+        codec = codec_of(shared.value, False)
         for batch in batches:
             column = batch.column(kept.index(ids)).to_pylist()
             back = codec.decode([i or [] for i in column])
