@@ -92,7 +92,7 @@ def unitigs(kmers: DataFrame, keys: list[str]) -> DataFrame:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         made = compact(pdf["kmer"])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(made) for c in keys}, "unitig": range(len(made)), "seq": made})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(made) for c in keys}, "unitig": range(len(made)), "seq": made}, dtype=object)
 
     types = ", ".join(f"{c} {kmers.schema[c].dataType.simpleString()}" for c in keys)
     return kmers.groupBy(*keys).applyInPandas(kernel, f"{types}, unitig int, seq string")
@@ -180,7 +180,7 @@ def backbones(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
     def kernel(k, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         path = heaviest_path(dict(zip(own["node"], own["weight"], strict=True)), list(zip(links["a"], links["b"], strict=True))) or []
-        return pd.DataFrame({key: [k[0]] * len(path), "ord": range(len(path)), "node": path})
+        return pd.DataFrame({key: [k[0]] * len(path), "ord": range(len(path)), "node": path}, dtype=object)
 
     types = f"{key} {nodes.schema[key].dataType.simpleString()}, ord int, node {nodes.schema['node'].dataType.simpleString()}"
     return nodes.groupBy(key).cogroup(_fresh(edges).groupBy(key)).applyInPandas(kernel, types)
@@ -224,11 +224,11 @@ def contigs(kmers: DataFrame, reference: DataFrame, key: str, k: int) -> DataFra
         known = dict.fromkeys(ref["kmer"], 1)
         seeds = sorted((x for x in known if x in depth), key=lambda x: (-depth[x], x))
         if not seeds:
-            return pd.DataFrame({key: [], "seq": [], "weight": []})
+            return pd.DataFrame({key: [], "seq": [], "weight": []}, dtype=object)
         right = walk(depth, known, seeds[0])
         left = walk(depth, {x.translate(flip)[::-1]: 1 for x in known}, seeds[0].translate(flip)[::-1]).translate(flip)[::-1]
         seq = left[: len(left) - k] + right
-        return pd.DataFrame({key: [name[0]], "seq": [seq], "weight": [sum(depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1))]})
+        return pd.DataFrame({key: [name[0]], "seq": [seq], "weight": [sum(depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1))]}, dtype=object)
 
     types = f"{key} {kmers.schema[key].dataType.simpleString()}, seq string, weight long"
     return kmers.groupBy(key).cogroup(_fresh(reference).groupBy(key)).applyInPandas(kernel, types)

@@ -37,9 +37,9 @@ def unique_edges(spark, sf):
 
 def mate_links(spark, sf):
     """How many fragments lead from one locus's only k-mers to another's."""
-    index = R.reference_index(B.loci(spark, sf), 9)
+    index = R.reference_index(B.loci(spark, sf), 12)
     single = index.groupBy("kmer").agg(F.countDistinct("locus").alias("n"), F.min("locus").alias("locus")).where("n = 1").select("kmer", "locus")
-    found = S.kmers(B.mates(spark, sf), 9).join(single, "kmer").select("fragment", "mate", "locus").distinct()
+    found = S.kmers(B.mates(spark, sf), 12).join(single, "kmer").select("fragment", "mate", "locus").distinct()
     only = found.groupBy("fragment", "mate").agg(F.count("*").alias("n"), F.min("locus").alias("locus")).where("n = 1")
     left = only.where("mate = 1").select("fragment", F.col("locus").alias("from_locus"))
     right = only.where("mate = 2").select("fragment", F.col("locus").alias("to_locus"))
@@ -122,8 +122,8 @@ QUERIES = {
     "longest_candidates": (longest_candidates, f"""WITH c AS (SELECT p_partkey % 50 AS family, p_partkey AS id, substr(translate(md5(CAST(p_partkey % 150 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, p_partkey % 17 + 3) AS seq FROM part), l AS (SELECT *, max(length(seq)) OVER (PARTITION BY family) AS most FROM c), o AS (SELECT family, min(id) AS id, min(seq) AS seq FROM l WHERE length(seq) >= greatest(most / 3, 6) GROUP BY family, least(seq, {RC.format('seq')}))
         SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.family = o.family AND starts_with(p.seq, o.seq) AND length(p.seq) > length(o.seq))"""),
     "unique_edges": (unique_edges, f"WITH k AS (SELECT DISTINCT kmer FROM {_k(B.LOCI, 'locus', 13)}), e AS (SELECT x.kmer AS a, y.kmer AS b FROM k x JOIN k y ON right(x.kmer, 12) = left(y.kmer, 12)) SELECT a, b FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM e) WHERE n = 1 AND m = 1"),
-    "mate_links": (mate_links, f"""WITH i AS (SELECT kmer, min(locus) AS locus FROM (SELECT locus, kmer FROM {_k(B.LOCI, 'locus', 9)} UNION SELECT locus, {RC.format('kmer')} FROM {_k(B.LOCI, 'locus', 9)}) GROUP BY kmer HAVING count(DISTINCT locus) = 1),
-        o AS (SELECT fragment, mate, min(locus) AS locus FROM {_k(B.MATES, 'fragment, mate', 9)} JOIN i USING (kmer) GROUP BY fragment, mate HAVING count(DISTINCT locus) = 1) SELECT x.locus AS from_locus, y.locus AS to_locus, count(*) AS fragments FROM o x JOIN o y USING (fragment) WHERE x.mate = 1 AND y.mate = 2 AND x.locus <> y.locus GROUP BY ALL"""),
+    "mate_links": (mate_links, f"""WITH i AS (SELECT kmer, min(locus) AS locus FROM (SELECT locus, kmer FROM {_k(B.LOCI, 'locus', 12)} UNION SELECT locus, {RC.format('kmer')} FROM {_k(B.LOCI, 'locus', 12)}) GROUP BY kmer HAVING count(DISTINCT locus) = 1),
+        o AS (SELECT fragment, mate, min(locus) AS locus FROM {_k(B.MATES, 'fragment, mate', 12)} JOIN i USING (kmer) GROUP BY fragment, mate HAVING count(DISTINCT locus) = 1) SELECT x.locus AS from_locus, y.locus AS to_locus, count(*) AS fragments FROM o x JOIN o y USING (fragment) WHERE x.mate = 1 AND y.mate = 2 AND x.locus <> y.locus GROUP BY ALL"""),
     "path_completeness": (path_completeness, "WITH n AS (SELECT p_partkey % 60 AS path, p_partkey AS node, count(*) OVER (PARTITION BY p_partkey % 60) AS nodes FROM part WHERE p_partkey % 7 = 0) SELECT path, l_suppkey % 20 AS sample, count(DISTINCT node) AS seen, any_value(nodes) AS nodes, CASE WHEN count(DISTINCT node) = any_value(nodes) THEN 'complete' ELSE 'partial' END AS state FROM n JOIN lineitem ON l_partkey = node GROUP BY 1, 2"),
     "tiles": (tiles, f"SELECT locus, CAST(start // 30 AS INTEGER) AS tile, CAST(start AS INTEGER) AS start, substr(seq || seq || seq, CAST(start + 1 AS BIGINT), least(60, length(seq))) AS bait FROM (SELECT *, unnest(range(0, length(seq), 30)) AS start FROM {B.LOCI})"),
     "first_contigs": (first_contigs, "SELECT source, lang, min(doc_id) AS first, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL"),

@@ -47,7 +47,7 @@ def read_fastx(spark: SparkSession, path: str) -> DataFrame:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
                 raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = [(p, i, *r) for i, r in enumerate(parse_fastx(raw))]
-                yield pd.DataFrame(rows, columns=["path", "ord", "name", "seq", "qual"])
+                yield pd.DataFrame(rows, columns=["path", "ord", "name", "seq", "qual"], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(kernel, FASTX_SCHEMA)
 
@@ -115,7 +115,7 @@ def read_loci(spark: SparkSession, path: str) -> DataFrame:
                     elif line.strip():
                         name, seq = line.split(None, 1)
                         rows.append((p, block, name, seq.strip()))
-                yield pd.DataFrame(rows, columns=["path", "block", "sample", "seq"])
+                yield pd.DataFrame(rows, columns=["path", "block", "sample", "seq"], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(kernel, "path string, block int, sample string, seq string")
 
@@ -177,7 +177,7 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     def kernel(batches):
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(p, *f) for f in features(data.decode())], columns=["path", "kind", "start", "end", "strand", "gene"])
+                yield pd.DataFrame([(p, *f) for f in features(data.decode())], columns=["path", "kind", "start", "end", "strand", "gene"], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(kernel, "path string, kind string, start int, end int, strand int, gene string")
 
