@@ -181,12 +181,14 @@ def short_number(x: str) -> str:
     return f"regexp_replace(regexp_replace(format_string('%.3f', cast({x} AS double)), '0+$', ''), '[.]$', '')"
 
 
-def kmers(df: DataFrame, k: int, seq: str = "seq", piece: int = 512) -> DataFrame:
+def kmers(df: DataFrame, k: int, seq: str = "seq", piece: int = 192) -> DataFrame:
     """df with (pos, kmer) for every window of k unambiguous bases of its sequences, pos from 0.
 
-    Long sequences are cut into overlapping pieces first: taking a window costs what stands before it.
+    Long sequences are cut into overlapping pieces first: taking a window costs what stands before it. Numbers are
+    exploded, not windows, so that each window is cut in generated code and dropped again where no join keeps it.
     """
-    step = piece - k + 1
-    cut = df.where(f"length({seq}) >= {k}").select("*", F.explode(F.expr(f"transform(sequence(1, length({seq}) - {k - 1}, {step}), i -> struct(i AS at, substring({seq}, i, {piece}) AS part))")).alias("_p")).drop(seq)
-    out = cut.select("*", F.posexplode(F.expr(windows("_p.part", k))).alias("_i", "kmer"))
-    return out.withColumn("pos", F.expr("_p.at - 1 + _i")).where(f"kmer RLIKE '^[ACGT]{{{k}}}$'").drop("_p", "_i")
+    piece = max(piece, 2 * k)
+    cut = df.where(f"length({seq}) >= {k}").select("*", F.explode(F.expr(f"transform(sequence(1, length({seq}) - {k - 1}, {piece - k + 1}), i -> struct(i AS at, substring({seq}, i, {piece}) AS part))")).alias("_p")).drop(seq)
+    cut = cut.select(*[c for c in cut.columns if c != "_p"], F.col("_p.at").alias("_at"), F.col("_p.part").alias("_part"), F.expr("_p.part RLIKE '^[ACGT]*$'").alias("_clean"))
+    out = cut.select("*", F.explode(F.expr(f"sequence(1, length(_part) - {k - 1})")).alias("_i")).withColumn("kmer", F.expr(f"substring(_part, _i, {k})"))
+    return out.withColumn("pos", F.expr("_at + _i - 2")).where(f"_clean OR kmer RLIKE '^[ACGT]{{{k}}}$'").drop("_at", "_part", "_clean", "_i")

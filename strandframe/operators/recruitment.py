@@ -15,6 +15,16 @@ def reference_index(loci: DataFrame, k: int) -> DataFrame:
     return both.groupBy(F.col("x.k").alias("kmer"), "canonical", "locus").agg(F.bit_or("x.o").alias("orient"))
 
 
+#: K-mers of an index that are sent to every executor; beyond, the join is left to the planner.
+BROADCAST_KMERS = 1_000_000
+
+
+def sized(index: DataFrame, loci: DataFrame, most: int = BROADCAST_KMERS) -> DataFrame:
+    """index, to be broadcast if the k-mers of both strands of loci are few enough; a sum of lengths tells before anything is built."""
+    bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
+    return F.broadcast(index) if 2 * bases <= most else index
+
+
 def hits(reads: DataFrame, loci: DataFrame, k: int, step: int = 1, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """Rows (keys, locus, shared): how many distinct canonical k-mers each read shares with each locus.
 
@@ -24,7 +34,7 @@ def hits(reads: DataFrame, loci: DataFrame, k: int, step: int = 1, keys: tuple[s
     own = kmers(probe, k)
     if step > 1:
         own = own.where(f"pos % {step} = 0 OR pos = _n - {k}")
-    return own.join(reference_index(loci, k), "kmer").groupBy(*keys, "locus").agg(F.countDistinct("canonical").alias("shared"))
+    return own.join(sized(reference_index(loci, k), loci), "kmer").groupBy(*keys, "locus").agg(F.countDistinct("canonical").alias("shared"))
 
 
 def read_counts(found: DataFrame, weight: int = 1) -> DataFrame:
@@ -53,7 +63,7 @@ def sibling_hits(direct: DataFrame, cap: int) -> DataFrame:
 
 def orientation(mates: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     """Rows (fragment, locus, o1, o2): the strands on which each mate has a k-mer of the locus, 0 to 3."""
-    found = kmers(mates.select("fragment", "mate", "seq"), k).join(reference_index(loci, k), "kmer")
+    found = kmers(mates.select("fragment", "mate", "seq"), k).join(sized(reference_index(loci, k), loci), "kmer")
     by_mate = lambda m: F.coalesce(F.bit_or(F.when(F.col("mate") == m, F.col("orient"))), F.lit(0))
     return found.groupBy("fragment", "locus").agg(by_mate(1).alias("o1"), by_mate(2).alias("o2"))
 
@@ -71,7 +81,7 @@ def match_spans(reads: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     strands = loci.selectExpr("locus", "1 AS strand", "seq").unionByName(loci.selectExpr("locus", "2 AS strand", f"{reverse_complement('seq')} AS seq"))
     there = kmers(strands, k).withColumnRenamed("pos", "ref_pos")
     here = kmers(reads.select("read_id", "seq"), k)
-    seeds = here.join(there, "kmer").select("read_id", "locus", "strand", (F.col("pos") - F.col("ref_pos")).alias("diagonal"), "pos")
+    seeds = here.join(sized(there, loci), "kmer").select("read_id", "locus", "strand", (F.col("pos") - F.col("ref_pos")).alias("diagonal"), "pos")
     w = Window.partitionBy("read_id", "locus", "strand", "diagonal").orderBy("pos")
     islands = seeds.withColumn("island", F.col("pos") - F.row_number().over(w))
     return islands.groupBy("read_id", "locus", "strand", "diagonal", "island").agg(F.min("pos").alias("start"), (F.count("*") + k - 1).alias("length")).drop("island")
@@ -87,5 +97,5 @@ def unique_votes(reads: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     """Votes for the forward and the other strand by k-mers that occur once in a locus, both its strands together."""
     strands = loci.selectExpr("locus", "1 AS strand", "seq").unionByName(loci.selectExpr("locus", "2 AS strand", f"{reverse_complement('seq')} AS seq"))
     once = kmers(strands, k).groupBy("locus", "kmer").agg(F.count("*").alias("n"), F.min("strand").alias("strand")).where("n = 1")
-    found = kmers(reads.select("read_id", "seq"), k).join(once, "kmer")
+    found = kmers(reads.select("read_id", "seq"), k).join(sized(once, loci), "kmer")
     return found.groupBy("read_id", "locus").agg(F.count_if(F.expr("strand = 1")).alias("forward"), F.count_if(F.expr("strand = 2")).alias("reverse"))

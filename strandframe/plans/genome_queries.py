@@ -220,7 +220,7 @@ def seed_offsets(spark, sf):
     """The offsets at which a document's k-mers most often meet a locus."""
     here = S.kmers(B.reads(spark, sf).select("read_id", "seq"), 15)
     there = S.kmers(B.loci(spark, sf), 15).withColumnRenamed("pos", "at")
-    return A.best_offsets(here.join(there, "kmer").selectExpr("read_id", "locus", "pos - at AS offset"), ["read_id", "locus"], 3)
+    return A.best_offsets(here.join(R.sized(there, B.loci(spark, sf)), "kmer").selectExpr("read_id", "locus", "pos - at AS offset"), ["read_id", "locus"], 3)
 
 
 def merged_hsps(spark, sf):

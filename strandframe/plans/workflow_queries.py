@@ -73,7 +73,7 @@ def pseudoalign(spark, sf):
     index = R.reference_index(B.loci(spark, sf), k).select("kmer", "canonical", "locus")
     own = S.kmers(B.reads(spark, sf).select("read_id", "seq"), k).select("read_id", "kmer")
     n = own.groupBy("read_id").agg(F.countDistinct(F.expr(S.canonical("kmer"))).alias("n"))
-    found = own.join(index, "kmer").select("read_id", "canonical", "locus").distinct()
+    found = own.join(R.sized(index, B.loci(spark, sf)), "kmer").select("read_id", "canonical", "locus").distinct()
     known = found.groupBy("read_id").agg(F.countDistinct("canonical").alias("known"))
     return found.groupBy("read_id", "locus").agg(F.count("*").alias("hits")).join(known, "read_id").join(n, "read_id").where("known >= 0.05 * n AND hits >= 0.8 * known").select("read_id", "locus", "hits", "known", "n")
 
