@@ -1,9 +1,9 @@
-"""License scan with a positional index of rare licence words.
+"""License scan with a positional index of licence words.
 
-One pass over the texts keeps, for every document, the places of the words that stand in some licence template. Their
-document frequencies over the whole corpus give their IDF. Each document then looks up its rarest licence words in the
-postings of the templates; every pair of a place and a posting votes for the relative position of a template, and a
-template is reported where two votes or more agree and all its key phrases stand at their places.
+One pass over the texts keeps, for every document, the places of the words that stand in some licence template. Each of
+these is looked up in the postings of the templates; every pair of a place and a posting votes for the relative position
+of a template, and a template is reported where two votes or more agree and all its key phrases stand at their places.
+All words of a document vote, so neither a second notice nor stray licence words take the votes of another template.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ TEMPLATES = (
 )
 #: Words of templates that are too common to be looked up; those in key phrases are kept for verification.
 COMMON = frozenset("a and any are copy files for form free in is of or person subject terms the this to use with without work".split())
-#: A document's licence words of the highest IDF that are looked up.
+#: The SQL below lets only so many of a document's words of the highest IDF vote; scanned() lets all.
 RAREST = 8
 VOTES = 2
 
@@ -100,17 +100,9 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", templates=T
     index = Index.of(templates, base)
     code = {w: i for i, w in enumerate(index.words)}
     found = written(licence_words(docs, index, id, text), "licence_words")
-    frequency = found.where("size(hits) > 0").select(F.explode(F.array_distinct("hits.c")).alias("c")).groupBy("c").count()
-    df = {r["c"]: r["count"] for r in frequency.collect()}  # a row per word of the templates at most
-    rank = {c: i for i, c in enumerate(sorted(range(len(index.words)), key=lambda c: (df.get(c, 0), index.words[c])))}
-    by_rank = _literal(rank[c] for c in range(len(index.words)))  # 0 for the highest IDF
-
     out = found.select("*", *[F.expr(_starts(tuple(code[w] for w in p.split()))).alias(f"base_{k}") for k, p in enumerate(base)])
-    looked_up = sorted({c for t in index.postings for c, _ in t})
-    rare = f"slice(array_sort(array_distinct(transform(filter(hits, h -> array_contains({_literal(looked_up)}, h.c)), h -> {by_rank}[h.c]))), 1, {RAREST})"
-    out = out.withColumn("rare", F.expr(rare)).withColumn("rare_hits", F.expr(f"CASE WHEN size(hits) = 0 THEN hits ELSE filter(hits, h -> array_contains(rare, {by_rank}[h.c])) END"))
     for t in range(len(index.labels)):
-        out = _with_template(out, index, t, by_rank)
+        out = _with_template(out, index, t)
     places = F.flatten(F.array(*[F.col(f"base_{k}") for k in range(len(base))]))
     names: list[Column] = [F.when(F.size(f"base_{k}") > 0, F.lit(label)) for k, label in enumerate(base.values())]
     more = [F.when(F.col(f"score_{t}") > 0, F.lit(label)) for t, label in enumerate(index.labels)]
@@ -122,15 +114,15 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", templates=T
     )
 
 
-def _with_template(rows: DataFrame, index: Index, t: int, by_rank: str) -> DataFrame:
+def _with_template(rows: DataFrame, index: Index, t: int) -> DataFrame:
     """rows with score_t: the share of the template's rare words that agree where it is verified, or 0."""
     postings = index.postings[t]
     at = {}
     for c, p in postings:
         at.setdefault(c, []).append(p)
     cases = " ".join(f"WHEN {c} THEN {_literal(ps)}" for c, ps in at.items())
-    votes = f"array_sort(flatten(transform(filter(rare_hits, h -> array_contains({_literal(at)}, h.c)), h -> transform(CASE h.c {cases} END, q -> h.p - q))))"
-    rows = rows.withColumn("votes", F.expr(f"CASE WHEN size(rare_hits) = 0 THEN cast(array() AS array<int>) ELSE {votes} END"))
+    votes = f"array_sort(flatten(transform(filter(hits, h -> array_contains({_literal(at)}, h.c)), h -> transform(CASE h.c {cases} END, q -> h.p - q))))"
+    rows = rows.withColumn("votes", F.expr(f"CASE WHEN size(hits) = 0 THEN cast(array() AS array<int>) ELSE {votes} END"))
     rows = rows.withColumn("runs", F.expr("CASE WHEN size(votes) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(votes) - 1), i -> i = 0 OR votes[i] <> votes[greatest(i - 1, 0)]) END"))
     rows = rows.withColumn("agreed", F.expr("transform(runs, (s, j) -> struct(coalesce(get(runs, j + 1), size(votes)) - s AS n, votes[s] AS at))"))
     placed = f"transform(filter(agreed, a -> a.n >= {min(VOTES, len(postings))}), a -> a.at)"
