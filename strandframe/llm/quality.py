@@ -1,15 +1,16 @@
 """A quality classifier by co-training: one view of a document is its text, the other its metadata.
 
 Each view has a logistic model. Both begin with a bounded sample of labelled documents. In each round the documents of the
-whole table on which one view is confident become training rows of the other; their sums of gradients and curvatures are
-added up in Spark, so only a matrix a view reaches the driver. Each view is then calibrated on labelled documents that were
+whole table on which one view is confident, and those at either end of its own scores, become training rows of the other,
+with the view's calibrated probability as their label; their sums of gradients and curvatures are added up in Spark, so
+only a matrix and a histogram a view reach the driver. Each view is then calibrated on labelled documents that were
 kept apart, and the calibrated views are combined as independent evidence.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ LABELLED_ROWS = 20_000
 ROUNDS, STEPS = 2, 2
 #: A view is confident of a class from this calibrated probability on, where its odds are also so many times the prior's.
 CONFIDENT, LIFT = 0.9, 3.0
+#: A view that is never so sure still teaches this share of the documents of each class: those at either end of its scores.
+ENDS = 0.25
+#: Scores are counted by log odds in steps of 1 / LEVELS from -FARTHEST to FARTHEST.
+LEVELS, FARTHEST = 500, 16
 #: The weight of all pseudo-labels against that of the labelled documents.
 PSEUDO_WEIGHT = 0.5
 RIDGE = 1e-2
@@ -138,6 +143,8 @@ class CoTrained:
     text: View
     page: View
     prior: float
+    #: For each step the numbers of pseudo-labels (text's of bad, of good, page's of bad, of good): what each view was given.
+    given: list[tuple[int, ...]] = field(default_factory=list)
 
     def score(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
         return _sigmoid(self.text.calibrated(x) + self.page.calibrated(z) - _logit(self.prior))
@@ -174,24 +181,54 @@ def featured(df: DataFrame, id: str = "doc_id", text: str = "text", meta: tuple[
     return wanted.mapInArrow(kernel, T.StructType([T.StructField("id", df.schema[id].dataType), *FEATURES.fields]))
 
 
-def pseudo_sums(model: CoTrained, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """For each view, and for each class that the other view is confident of: gradient, curvature and number of those rows, flat."""
+def score_counts(model: CoTrained, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How many rows have each level of log odds, by the text view and by the page view, flat."""
+    levels = [np.rint(np.clip(v.calibrated(m), -FARTHEST, FARTHEST) * LEVELS).astype(int) + FARTHEST * LEVELS for v, m in ((model.text, x), (model.page, z))]
+    return np.concatenate([np.bincount(n, minlength=2 * FARTHEST * LEVELS + 1) for n in levels]).astype(float)
+
+
+def ends(counts: np.ndarray, prior: float) -> list[tuple[float, float]]:
+    """For each view the log odds up to which, and from which on, ENDS of the documents of each class stand by their order."""
+    out = []
+    for c in np.split(counts, 2):
+        below = np.cumsum(c)
+        low = int(np.searchsorted(below, max(1.0, ENDS * (1 - prior) * below[-1])))
+        high = int(np.searchsorted(below, min(below[-1] - 1, (1 - ENDS * prior) * below[-1]), "right"))
+        out.append(((low - FARTHEST * LEVELS) / LEVELS, (high - FARTHEST * LEVELS) / LEVELS))
+    return out
+
+
+def taught(logit: np.ndarray, prior: float, bounds: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that a view with these log odds teaches as bad and as good; no row is both."""
+    sure = [(sign * logit >= _logit(CONFIDENT)) & (sign * (logit - _logit(prior)) >= np.log(LIFT)) for sign in (-1, 1)]
+    level = np.rint(np.clip(logit, -FARTHEST, FARTHEST) * LEVELS) / LEVELS
+    low, high = bounds
+    return sure[0] | (level <= low) & (level < high) & ~sure[1], sure[1] | (level >= high) & (level > low) & ~sure[0]
+
+
+def pseudo_sums(model: CoTrained, x: np.ndarray, z: np.ndarray, bounds: list[tuple[float, float]]) -> np.ndarray:
+    """For each view, and for each class that the other view teaches: gradient, curvature and number of those rows, flat.
+
+    Their labels are the other view's probabilities. A row counts by how far its log odds are from the prior's, and in
+    full from LIFT on, so a view that is nearly sure of nothing teaches little. The curvature is that at even odds, its
+    bound: where the own view is all but sure, its curvature is near 0, and a step by it would go anywhere.
+    """
     made = []
-    for view, own, other, theirs in ((model.text, x, model.page, z), (model.page, z, model.text, x)):
+    for view, own, other, theirs, at in ((model.text, x, model.page, z, bounds[1]), (model.page, z, model.text, x, bounds[0])):
         logit = other.calibrated(theirs)
-        for label, sign in ((0.0, -1), (1.0, 1)):
-            sure = (sign * logit >= _logit(CONFIDENT)) & (sign * (logit - _logit(model.prior)) >= np.log(LIFT))
-            g, h = view.sums(own[sure], np.full(int(sure.sum()), label))
-            made += [g, h.ravel(), np.array([float(sure.sum())])]
+        for rows in taught(logit, model.prior, at):
+            d, far = view.design(own[rows]), np.minimum(1.0, np.abs(logit[rows] - _logit(model.prior)) / np.log(LIFT))
+            g = d.T @ (far * (_sigmoid(logit[rows]) - _sigmoid(d @ view.weights)))
+            made += [g, ((d * (far / 4)[:, None]).T @ d).ravel(), np.array([float(rows.sum())])]
     return np.concatenate(made)
 
 
 def exchange(model: CoTrained, sums: np.ndarray, own: list[tuple[View, np.ndarray]], y: np.ndarray) -> None:
-    """One step of each view on its labelled rows and on what the other view is confident of.
+    """One step of each view on its labelled rows and on what the other view teaches.
 
-    Each class weighs among the pseudo-labels what it weighs among the labels; a view that is sure of one class only teaches nothing.
+    Each class weighs among the pseudo-labels what it weighs among the labels; where no row is of one class, the other still counts.
     """
-    at, rows = 0, float(len(y))
+    at, rows, given = 0, float(len(y)), []
     for v, m in own:
         k = len(v.weights)
         g, h = v.sums(m, y)
@@ -199,31 +236,39 @@ def exchange(model: CoTrained, sums: np.ndarray, own: list[tuple[View, np.ndarra
         for share in (1 - model.prior, model.prior):
             parts.append((share, sums[at : at + k], sums[at + k : at + k + k * k].reshape(k, k), sums[at + k + k * k]))
             at += k + k * k + 1
-        weight = 0.0
-        if all(n > 0 for *_, n in parts):
-            weight = PSEUDO_WEIGHT * min(rows, sum(n for *_, n in parts))
-            for share, gradient, curvature, n in parts:
+        weight = PSEUDO_WEIGHT * min(rows, sum(n for *_, n in parts))
+        for share, gradient, curvature, n in parts:
+            if n > 0:
                 g, h = g + weight * share / n * gradient, h + weight * share / n * curvature
+            given.append(int(n))
         v.step(g, h, rows + weight)
+    model.given.append(tuple(given))
 
 
-def _pseudo_sums(features: DataFrame, model: CoTrained) -> np.ndarray:
-    """pseudo_sums() over all documents, added up in Spark."""
-    n = len(pseudo_sums(model, np.zeros((0, N_TEXT)), np.zeros((0, N_PAGE))))
+def _added(features: DataFrame, of) -> np.ndarray:
+    """of(text features, page features) over all documents, added up in Spark."""
+    n = len(of(np.zeros((0, N_TEXT)), np.zeros((0, N_PAGE))))
 
     def kernel(batches):
         held = np.zeros(n)
         for b in batches:
-            held += pseudo_sums(model, _matrix(b.column(0), N_TEXT), _matrix(b.column(1), N_PAGE))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(held)], names=["k", "v"])
+            held += of(_matrix(b.column(0), N_TEXT), _matrix(b.column(1), N_PAGE))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], names=["k", "v"])
 
     sums = features.select(*FEATURES.names).mapInArrow(kernel, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
     out = np.zeros(n)
-    for r in sums.collect():  # as many rows as a model has numbers
+    for r in sums.collect():  # as many rows as a model has numbers, or a histogram levels
         out[r["k"]] = r["v"]
     return out
 
 
+def _pseudo_sums(features: DataFrame, model: CoTrained) -> np.ndarray:
+    """pseudo_sums() over all documents, with the ends of each view's scores over all documents."""
+    bounds = ends(_added(features, lambda x, z: score_counts(model, x, z)), model.prior)
+    return _added(features, lambda x, z: pseudo_sums(model, x, z, bounds))
+
+
 def fit(features: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", labelled_rows: int = LABELLED_ROWS) -> CoTrained | None:
     """The co-trained model; None where the labelled documents are not of both classes.
 

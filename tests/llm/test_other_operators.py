@@ -18,6 +18,21 @@ def test_quality_on_documents_kept_apart(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) >= 0.85
 
 
+def test_each_view_teaches_the_other_both_classes(spark):
+    from strandframe.llm import quality as Q
+
+    folder = "/root/testdata/sf0.01"
+    model = Q.fit(Q.written(Q.featured(spark.read.parquet(f"{folder}/documents.parquet")), "features"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert len(model.given) == Q.ROUNDS * Q.STEPS and all(n > 0 for step in model.given for n in step)
+    counts = np.zeros(2 * (2 * Q.FARTHEST * Q.LEVELS + 1))
+    logit = np.linspace(1.0, 2.0, 101)
+    for at in (0, len(counts) // 2):
+        np.add.at(counts, at + np.rint(logit * Q.LEVELS).astype(int) + Q.FARTHEST * Q.LEVELS, 1)
+    bad, good = Q.taught(logit, 0.8, Q.ends(counts, 0.8)[1])
+    assert bad.tolist() == [i < bad.sum() for i in range(101)] and good.tolist() == [i >= 101 - good.sum() for i in range(101)]
+    assert 5 <= bad.sum() <= 6 and 20 <= good.sum() <= 21
+
+
 def test_quality_takes_odd_rows(spark):
     from strandframe.llm import quality as Q
 
