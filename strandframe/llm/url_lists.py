@@ -1,7 +1,7 @@
 """URL filters whose lists change over time: every capture is judged by the entries in force when it was fetched.
 
 The dated additions and removals of a list become intervals of validity. A capture offers the keys it can be listed under:
-its host, every parent domain, and every prefix of its path at a slash. An as-of join on key and month, with the exact
+its host, every parent domain, every prefix of its path at a slash, and the whole path, all in lower case. An as-of join on key and month, with the exact
 date within, finds the entry of each key in force; the longest key decides.
 """
 
@@ -34,11 +34,11 @@ def _month(day: str) -> F.Column:
 
 
 def _keys() -> F.Column:
-    """Host, parent domains and path prefixes of a capture."""
+    """Host, parent domains, path prefixes and whole path of a capture."""
     return F.expr(
         """array_distinct(concat(
             transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.')),
-            transform(filter(sequence(1, length(path)), i -> substring(path, i, 1) = '/' AND i > 1), i -> concat(host, substring(path, 1, i - 1)))
+            transform(filter(sequence(1, length(path) + 1), i -> i > 1 AND substring(concat(path, '/'), i, 1) = '/' AND NOT (i > length(path) AND endswith(path, '/'))), i -> concat(host, substring(path, 1, i - 1)))
         ))"""
     )
 
@@ -51,7 +51,7 @@ def judged(captures: DataFrame, events: DataFrame, url: str = "url", fetched: st
     """
     rows = captures.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(url).alias("url"), F.col(fetched).alias("fetched_at"))
     asked = rows.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    asked = asked.withColumn("host", F.lower(F.regexp_extract("url", HOST, 1))).withColumn("path", F.regexp_extract("url", PATH, 1)).where("host <> ''")
+    asked = asked.withColumn("host", F.lower(F.regexp_extract("url", HOST, 1))).withColumn("path", F.lower(F.regexp_extract("url", PATH, 1))).where("host <> ''")
     offered = asked.select("url", "fetched_at", _month("fetched_at").alias("month"), F.explode(_keys()).alias("key"))
     latest = captures.agg(F.max(fetched)).first()[0]
     listed = intervals(events).where(F.col("valid_from") <= F.lit(latest))

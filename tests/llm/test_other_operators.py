@@ -131,6 +131,23 @@ def test_url_lists(spark):
     assert judged(df.where("false"), events).count() == 0 and judged(df, events.where("false")).where("blocked").count() == 0
 
 
+def test_url_lists_know_whole_paths_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.llm.url_lists import judged, list_events
+
+    day = datetime.date(2024, 6, 1)
+    lit_day = F.lit(day)
+    events = spark.createDataFrame([(k, "add", day, k) for k in ("ok.org/Deep", "ok.org/a/page.html", "root.org")], "key string, action string, at date, reason string")
+    urls = {"http://ok.org/Deep": "ok.org/Deep", "http://ok.org/deep?x": "ok.org/Deep", "http://ok.org/DEEP/er#y": "ok.org/Deep", "http://ok.org/deep/": "ok.org/Deep", "http://ok.org/A/Page.html": "ok.org/a/page.html", "http://ok.org/a/page.html5": None, "http://ok.org/deeper": None, "http://ok.org/a": None, "http://ok.org": None, "http://root.org": "root.org", "http://root.org/": "root.org"}
+    rows = judged(spark.createDataFrame([(u, day) for u in urls], "url string, fetched_at date"), events).collect()
+    assert {r["url"]: r["reason"] for r in rows} == urls and len(rows) == len(urls)
+    pages = spark.createDataFrame([(f"http://h{i}.net/Single{i}",) for i in range(60)], "url string")
+    listed = list_events(pages).where("reason = 'folder' AND action = 'add'")
+    caught = judged(pages.withColumn("fetched_at", lit_day), listed.withColumn("at", lit_day)).where("blocked")
+    assert caught.count() == listed.select("key").distinct().count() > 0
+
+
 def test_perspectives(spark):
     from strandframe.llm.chat import rotated
 
