@@ -105,3 +105,26 @@ def test_abundance_and_bootstrap(spark):
     rows = spark.createDataFrame([("x", 30, 100)], "k string, h long, t long")
     one, two = (A.bootstrap_interval(rows, ["k"], "h", "t").first() for _ in range(2))
     assert one == two and one["low"] < 0.3 < one["high"]
+
+
+def test_bridge_table_takes_every_customer(spark):
+    from strandframe.plans import genome_queries
+
+    folder = "/root/testdata/sf0.001"
+    edges = {}
+    for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_nationkey", "c_custkey").collect():
+        a, b = r["c_custkey"] % 17, (r["c_custkey"] * 7 + r["c_nationkey"]) % 19 + 3
+        if a != b:
+            edges.setdefault(r["c_nationkey"], set()).add((min(a, b), max(a, b)))
+
+    def joined(own, a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            near = {q if p == x else p for p, q in own if x in (p, q)} - seen
+            seen |= near
+            todo += near
+        return b in seen
+
+    want = {(n, *e, not joined(own - {e}, *e)) for n, own in edges.items() for e in own}
+    assert {tuple(r) for r in genome_queries.bridge_table(spark, folder).collect()} == want
