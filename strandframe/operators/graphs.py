@@ -187,7 +187,7 @@ def backbones(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def walk(depth: dict[str, int], reference: dict[str, int], seed: str, lookahead: int = 24, limit: int = 4096) -> str:
-    """The sequence found from a seed on by taking at every branch the heavier continuation, looked ahead some steps; reference k-mers count double. No k-mer is used twice."""
+    """The sequence found from a seed on by taking at every branch the heavier continuation, looked ahead some steps; reference k-mers count double. No k-mer is used twice."""
     used = {seed}
     weight = lambda x: depth[x] + reference.get(x, 0) * depth[x]
 
@@ -214,7 +214,7 @@ def walk(depth: dict[str, int], reference: dict[str, int], seed: str, lookahead:
 
 
 def contigs(kmers: DataFrame, reference: DataFrame, key: str, k: int) -> DataFrame:
-    """For each locus the contig walked both ways from its heaviest reference k-mer: (key, seq, weight). kmers (key, kmer, depth), reference (key, kmer)."""
+    """For each locus the contig walked both ways from its heaviest reference k-mer: (key, seq, weight). kmers (key, kmer, depth), reference (key, kmer)."""
     flip = str.maketrans("ACGT", "TGCA")
 
     def kernel(name, own: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:

@@ -196,7 +196,7 @@ def backbone_table(spark, sf):
 
 
 def contig_table(spark, sf):
-    """Reads recruited to each locus, assembled from its k-mers."""
+    """Reads recruited to each locus, assembled from its k-mers."""
     k = 21
     loci = B.loci(spark, sf)
     found = R.hits(B.reads(spark, sf), loci, k).select("read_id", "locus")
