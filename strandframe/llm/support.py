@@ -14,9 +14,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where the driver is the one executor."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,12 +31,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Parts that the rows of one key are dealt to before they meet, so that no task takes all rows of a hot key.
+PARTS = 64
+
+
+def grouped_least(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df with the column name: the least value among the rows of the same key; rows with a null key are left out.
+
+    Rows meet by key and part, and only one row for each of these by the key alone, so a hot key takes no task for itself.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("short"))
+    parts = dealt.groupBy(key, "_part").agg(F.min(value).alias(name))
+    least = parts.groupBy(key).agg(F.min(name).alias(name))
+    return dealt.join(parts.select(key, "_part").join(least, key), [key, "_part"]).drop("_part")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of edges (a, b): root is the smallest node that is reachable.
 
-    Alternating large-star and small-star rounds; each round is two grouped minima and two joins, so no task gathers a
-    component, and each round's edges are written, so a lost executor costs one round at most. Empty edges give no rows;
-    nulls and self-loops are left out.
+    Alternating large-star and small-star rounds; each is a least neighbour by node, dealt in parts, so no task gathers a
+    component or the neighbours of a star's centre. Each round's edges are written, so a lost executor costs one round at
+    most, and removed once the next round stands. Empty edges give no rows; nulls and self-loops are left out.
     """
 
     def oriented(df: DataFrame) -> DataFrame:
@@ -49,12 +81,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(nearest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        current = written(oriented(small), "edges")
+        both = grouped_least(current.union(current.select("v", "u")), "u", "v", "m")
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = grouped_least(large, "u", "v", "m").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        last, current = current, written(oriented(small), "edges")
+        discard(last)
         after = state(current)
         if after == before:
             break

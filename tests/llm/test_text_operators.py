@@ -62,16 +62,18 @@ def test_simhash_equals_brute_force(docs):
 
 
 def test_masks_cover_and_crowded_buckets_are_exact(spark):
-    from strandframe.llm.simhash import linked_classes, masks
+    from strandframe.llm.simhash import deeper, linked_classes, masks
     from strandframe.llm.support import connected_components
 
     rng = np.random.default_rng(1)
-    for family in (masks(3), masks(3, 4)):
-        for _ in range(500):
+    levels = [masks(3)]
+    levels += [deeper(levels[0], 3)]
+    levels += [deeper(levels[1], 3)]
+    for level, family in enumerate(levels, 1):
+        assert len(family) == 15**level and max(64 - m.bit_count() for m in family) <= 64 >> level
+        for _ in range(200):
             flips = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
-            assert any(not (m & (2**64 - 1)) & flips for m in family)
-    free = max(64 - bin((a | b) & (2**64 - 1)).count("1") for a in masks(3) for b in masks(3, 4))
-    assert free <= 24  # a bucket of the second family is bounded by the values of these bits
+            assert any(not m & flips for m in family)
     centre = int(rng.integers(-(2**62), 2**62))
     prints = sorted({centre ^ (1 << int(rng.integers(0, 60))) ^ (1 << int(rng.integers(0, 60))) for _ in range(300)} | {int(x) for x in rng.integers(-(2**62), 2**62, 50)})
     table = spark.createDataFrame([(p,) for p in prints], "fp long")
@@ -97,6 +99,25 @@ def test_representatives_keep_one_of_each_group(docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "7", "8", "9", "None", "11"])
 
 
+def test_representatives_lose_no_text_that_has_no_copy(spark):
+    from strandframe.llm.simhash import representatives
+
+    own = ["a text of its own that nobody else has written anywhere", "seven says one thing and nothing but this thing here", "yet another text with the number seven and other words"]
+    rows = [(1, LONG), (5, LONG), (5, own[0]), (7, own[1]), (7, own[2]), (8, LONG), (9, own[2]), (3, "twice the very same row of five"), (3, "twice the very same row of five")]
+    for n in (1, 3):
+        kept = representatives(spark.createDataFrame([(*r, k, {"m": k}) for k, r in enumerate(rows)], "doc_id long, text string, _fp int, meta map<string,int>").repartition(n))
+        assert kept.columns == ["doc_id", "text", "_fp", "meta"]
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, LONG), (5, own[0]), (7, own[1]), (7, own[2]), (3, rows[7][1])])
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    from strandframe.llm.support import connected_components
+
+    edges = [(500, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 100 for i in [*range(100, 400), 500]} | {i: 1000 for i in range(1000, 1041)}
+
+
 def brute_hits(texts, items, width=10):
     windows = {}
     for i, t in items:
