@@ -1,9 +1,10 @@
 """Main text of raw pages by scoring the tree.
 
-Page furniture is known by element and by the words of class, id and role. Every paragraph passes points, for its length
-and its commas, to the elements above it, halved from level to level; an element's points are discounted by the share of
-its text that stands in links. The best container and those of its siblings that score well enough are kept; a container
-within an article or main element stands for that element.
+An element is suspected of being page furniture by its kind, its role and the words of its class and id; the suspicion
+falls where it holds most of the page's text, as a layout's wrapper does. Every paragraph passes points, for its length and
+its commas, to the elements above it, halved from level to level; an element's points are discounted by the share of its
+text that stands in links. The best container and those of its siblings that score well enough are kept; a container within
+an article or main element stands for that element. All passes over a page take time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .support import read
 # The elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes plaintext noscript template head nav aside footer form button select option input svg canvas object embed video audio map menu dialog datalist math".split())
+DROPPED = RAW | frozenset("noscript template head button select option input svg canvas object embed video audio map datalist math".split())
+ASIDE = frozenset("nav aside footer menu dialog".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main nav ol p pre section summary table tbody td tfoot th thead tr ul aside footer form".split()
 )
@@ -30,15 +32,31 @@ ENDS_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body
 #: An element that ends an open one of its kind, and up to which container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-#: Words of class and id that name furniture, alone or between separators.
-FURNITURE = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
-    disqus footer footers header masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promos promotion related
-    remarks replies reply respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets""".split()
+#: Words of class and id that name furniture: readers' remarks, parts of a page, and parts that a layout may also wrap the article in.
+REMARKS = frozenset("comment comments commentlist disqus remarks replies reply respond".split())
+PARTS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense adslot breadcrumb breadcrumbs consent cookie cookies footer footers masthead nav navbar navigation newsletter
+    notice notices pagination pager related share sharing signup social sponsor sponsored sponsors subscribe subscription toolbar topbar""".split()
 )
+WRAPS = frozenset("banner banners header menu menus modal overlay popup promo promos promotion sidebar sidebars widget widgets".split())
+FURNITURE = REMARKS | PARTS | WRAPS
+#: Words that may stand beside these in a name of furniture; with any other word a name says something else.
+NEUTRAL = frozenset(
+    """all area article articles bar bars bg blog block blocks body bottom box boxes button buttons cell center col column container containers content count desktop entries entry first fixed float
+    global group head heading holder home html icon icons id image images img inner item items js label last latest layout left line link links list lists loop lower main message messages mobile module more my
+    name new news outer outside page pages panel panels pane policy popular post posts primary rail recent region right row section sections secondary secondarywrap set single site slot small sticky stories story
+    strip sub text thread title tool tools top unit upper user users view wide wrap wrapper wrapping zone""".split()
+)
+EXCEPT = frozenset("has no not with without".split())
 CONTENT = frozenset("article content post entry story main body text page".split())
+#: Elements that an end tag of running text does not reach beyond.
+BARRIERS = frozenset("td th table article main".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*\Z|<!?[^a-zA-Z/][^<]*|[^<]+|<", re.S)
+# A quoted value begins after an equals sign only, and no part gives back what it has taken, so a match takes linear time.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^\s/>]*+(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>|</?[a-zA-Z].*+|<!?[^a-zA-Z/<][^<]*+|[^<]++|<", re.S
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -48,106 +66,167 @@ GOOD_SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("children", "dropped", "inside", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "inside", "kind", "links", "parent", "passed", "size", "tag", "within")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.children: list[Node | str] = []
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.kind = ""  # of furniture, if it is suspected: remarks, part or wrap
+        self.passed = 0.0  # points of the paragraphs below
+        self.size = self.links = self.within = 0  # characters: of all text, in links, in articles
 
 
-def _is_furniture(tag: str, source: str, parent: Node) -> bool:
-    """Whether an element is page furniture; a header within an article is the article's own."""
-    if tag in DROPPED:
-        return True
+def _suspected(tag: str, source: str, parent: Node) -> str:
+    """What kind of furniture an element may be, or nothing; a header within an article is the article's own."""
     within = parent.inside
-    if tag == "header" and not within:
-        return True
-    if "=" not in source or tag in ("html", "body", "article", "main"):
-        return False
+    if tag in ASIDE:
+        return "part"
+    if tag == "form" or (tag == "header" and not within):
+        return "wrap"
+    if "=" not in source or tag in ("html", "body", "main"):
+        return ""
     for m in _ATTRIBUTE.finditer(source):
         value = next(g for g in m.groups()[1:] if g is not None)
         if m[1].lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True
+            if tag != "article" and value.strip().lower() in ROLES:
+                return "part"
             continue
         for name in value.split():
-            words = [w.lower() for w in _WORDS.findall(name)]
-            if not words or (words[-1] in CONTENT and words[0] not in FURNITURE):
+            words = {w.lower() for w in _WORDS.findall(name)}
+            named = words & FURNITURE
+            if not named or words & EXCEPT or not words <= FURNITURE | NEUTRAL or (within and named == {"header"}):
+                continue
+            if named & REMARKS:
+                return "remarks"
+            first, last = _WORDS.match(name), _WORDS.findall(name)[-1].lower()
+            if tag == "article" or (last in CONTENT and first is not None and first[0].lower() not in FURNITURE):
                 continue
-            if any(w in FURNITURE and not (within and w in ("header", "page")) for w in words) and not (words[0] in ("has", "with", "no")):
-                return True
-    return False
+            return "part" if named & PARTS else "wrap"
+    return ""
+
+
+class _Open:
+    """The open elements, with the places of each kind in the stack, so that no tag makes the whole stack be walked."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.dropped: list[bool] = [False]
+
+    def last(self, key: str) -> int:
+        """The place of the innermost element of a tag, or of a set of tags by its name; 0 is the root."""
+        places = self.at.get(key)
+        return places[-1] if places else 0
+
+    def _keys(self, tag: str) -> list[str]:
+        return [tag, *[k for k, tags in (("#block", BLOCKS), ("#barrier", BARRIERS)) if tag in tags]]
+
+    def push(self, node: Node, dropped: bool) -> None:
+        for k in self._keys(node.tag):
+            self.at.setdefault(k, []).append(len(self.stack))
+        self.stack.append(node)
+        self.dropped.append(dropped)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all within it."""
+        while len(self.stack) > place:
+            self.dropped.pop()
+            for k in self._keys(self.stack.pop().tag):
+                self.at[k].pop()
 
 
 def parse(source: str) -> Node:
     """A tree of elements and text. Unclosed, stray and cut-off tags are mended as a browser would for text."""
-    root = node = Node("html", None, False)
+    root = Node("html", None)
+    open_ = _Open(root)
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.match(source, at)
         part, at = m[0], m.end()
-        if part[0] != "<" or (len(part) > 1 and part[1] not in "/!?" and not part[1].isalpha()) or part == "<":
-            if not node.dropped:
+        node, dropped = open_.stack[-1], open_.dropped[-1]
+        name = _NAME.match(part) if part[0] == "<" else None
+        if name is None:
+            if not dropped and not part.startswith(("<!", "<?")):
                 node.children.append(part)
             continue
-        if part[1] in "!?":
-            continue
-        name = _NAME.match(part)
-        if name is None or part[-1] != ">":
-            if name is None and not node.dropped:
-                node.children.append(part)
-            continue  # else the page is cut off within a tag
+        if part[-1] != ">":
+            continue  # the page is cut off within a tag
         tag = name[1].lower()
         if part[1] == "/":
-            up = node
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table", "article", "main") and tag not in BLOCKS:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            elif tag == "br":
+            place = open_.last(tag)
+            if place and (tag in BLOCKS or place >= open_.last("#barrier")):
+                open_.close(place)
+            elif tag == "br" and not dropped:
                 node.children.append(" ")
             continue
         if tag in VOID:
-            if not node.dropped:
-                node.children.append(Node(tag, node, False) if tag == "hr" else " " if tag == "br" else "")
+            if not dropped:
+                node.children.append(Node(tag, node) if tag == "hr" else " " if tag == "br" else "")
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_P:
-            up = node
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in ENDS_P and open_.last("p") and open_.last("p") == open_.last("#block"):
+            open_.close(open_.last("p"))
         if tag in SIBLINGS:
             ended, within = SIBLINGS[tag]
-            up, found = node, None
-            while up is not root and up.tag not in within:
-                if up.tag in ended:
-                    found = up
-                up = up.parent
-            if found is not None:
-                node = found.parent
-        if node.tag == "head" and tag not in ("script", "style", "title", "noscript", "template"):
-            node = node.parent
-        child = Node(tag, node, node.dropped or _is_furniture(tag, part, node))
-        if not child.dropped:
+            least = max(map(open_.last, within))
+            places = [p for e in ended if (p := next((q for q in open_.at.get(e, ()) if q > least), 0))] if max(map(open_.last, ended)) > least else []
+            if places:
+                open_.close(min(places))
+        if open_.stack[-1].tag == "head" and tag not in ("script", "style", "title", "noscript", "template"):
+            open_.close(len(open_.stack) - 1)
+        node, dropped = open_.stack[-1], open_.dropped[-1] or tag in DROPPED
+        child = Node(tag, node)
+        if not dropped:
+            child.kind = _suspected(tag, part, node)
             node.children.append(child)
         if tag in RAW:
             end = _END[tag].search(source, at)
             at = end.end() if end else n
         elif not part.endswith("/>") or tag not in ("svg", "path"):
-            node = child
+            open_.push(child, dropped)
     return root
 
 
-def _blocks(node: Node, out: list[tuple[str, Node, int]]) -> None:
+def _in_order(root: Node) -> list[Node]:
+    """All elements, each before its children."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [c for c in node.children if not isinstance(c, str)]
+    return out
+
+
+def _cleared(root: Node) -> None:
+    """Takes furniture out of the tree.
+
+    Readers' remarks always go. Other parts stay where an article or main element within them holds over half of the
+    page's text; a wrapper or form also where it holds so much itself and no article or main element has text elsewhere.
+    """
+    nodes = _in_order(root)
+    linked: dict[Node, bool] = {}
+    for x in nodes:
+        linked[x] = x.tag == "a" or (x.parent is not None and linked[x.parent])
+        x.size = 0 if linked[x] else sum(len(c.strip()) for c in x.children if isinstance(c, str))
+    for x in reversed(nodes):
+        if x.kind == "remarks":
+            x.size = x.within = 0
+        if x.tag in ("article", "main"):
+            x.within = x.size
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.within += x.within
+    most, articles = root.size / 2, root.within
+    for x in nodes:
+        stays = x.kind != "remarks" and (x.within > most or (x.kind == "wrap" and x.size > most and x.within == articles))
+        if x.kind and not stays:
+            x.children = []
+
+
+def _blocks(root: Node) -> list[tuple[str, Node, int]]:
     """The text of blocks in page order, with the element of each and the characters of it in links."""
+    out: list[tuple[str, Node, int]] = []
     held: list[str] = []
     links = 0
 
@@ -155,11 +234,11 @@ def _blocks(node: Node, out: list[tuple[str, Node, int]]) -> None:
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            out.append((text, owner, links))
+            out.append((text, owner, min(links, len(text))))
         held.clear()
         links = 0
 
-    stack: list[tuple[Node, int, bool, Node]] = [(node, 0, False, node)]  # element, next child, in a link, the block it stands in
+    stack: list[tuple[Node, int, bool, Node]] = [(root, 0, False, root)]  # element, next child, in a link, the block it stands in
     while stack:
         here, i, linked, owner = stack.pop()
         if i == len(here.children):
@@ -176,55 +255,64 @@ def _blocks(node: Node, out: list[tuple[str, Node, int]]) -> None:
             stack.append((child, 0, linked, child))
         else:
             stack.append((child, 0, linked or child.tag == "a", owner))
-    flush(node)
+    flush(root)
+    return out
+
+
+def _keeps(x: Node, best: Node, top: float, score: dict[Node, float], paragraphs: set[Node]) -> bool:
+    """Whether a sibling of the best container is part of the article."""
+    density = x.links / x.size
+    alike = x.tag == best.tag or x.tag in ("article", "section")
+    long = x.size > (40 if alike else 80)
+    if density < 0.5 and (x.tag in HEADINGS or score.get(x, 0.0) >= (GOOD_SIBLING * top if alike and (long or x in paragraphs) else max(10, GOOD_SIBLING * top))):
+        return True
+    return density < 0.25 and long and (x.tag == "p" or x in paragraphs)
 
 
 def extract(source: str | None) -> str:
     """The main text of a page: its blocks, joined by line breaks."""
     root = parse(source or "")
-    blocks: list[tuple[str, Node, int]] = []
-    _blocks(root, blocks)
+    _cleared(root)
+    blocks = _blocks(root)
     if not blocks:
         return ""
-    scored: dict[Node, None] = {}
+    nodes = _in_order(root)
+    for x in nodes:
+        x.size = x.links = 0
+    paragraphs: set[Node] = set()
     for text, owner, links in blocks:
-        up = owner
-        while up is not None:
-            up.size += len(text)
-            up.links += min(links, len(text))
-            up = up.parent
+        owner.size += len(text)
+        owner.links += links
+        if owner.tag == "p" and owner.parent is not None:
+            paragraphs.add(owner.parent)
         if owner.tag not in PARAGRAPHS:
             continue
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
-        points *= 1 - min(1, links / len(text))
-        up, share = owner.parent if owner.tag not in ("div", "section", "article", "main") else owner, 1.0
-        while up is not None:
-            up.points += points * share
-            scored[up] = None
-            up, share = up.parent, share / 2
-    score = {x: x.points * (1 - x.links / max(1, x.size)) for x in scored if x is not root}
-    best = max(score, key=score.__getitem__, default=root)
-    up = best
+        points *= 1 - links / len(text)
+        to = owner.parent if owner.tag not in ("div", "section", "article", "main") else owner
+        to.passed += points
+    score: dict[Node, float] = {}
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.links += x.links
+            x.parent.passed += x.passed / 2
+            if x.passed:
+                score[x] = x.passed * (1 - x.links / max(1, x.size))
+    best = max((x for x in nodes if x in score), key=score.__getitem__, default=root)
+    up, top = best, score.get(best, 0.0)
     while up is not None:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
     kept = {best}
     if best is not root and best.tag != "main":
-        for x in best.parent.children:
-            if isinstance(x, Node) and x is not best and x.size:
-                density = x.links / x.size
-                if score.get(x, 0) >= max(10, GOOD_SIBLING * score.get(best, 0)) and density < 0.5 or x.tag == "p" and density < 0.25 and x.size > 80:
-                    kept.add(x)
-
-    def stays(x: Node | None) -> bool:
-        while x is not None:
-            if x in kept:
-                return True
-            x = x.parent
-        return False
-
-    return "\n".join(text for text, owner, _ in blocks if stays(owner))
+        kept |= {x for x in best.parent.children if isinstance(x, Node) and x is not best and x.size and _keeps(x, best, score.get(best, top), score, paragraphs)}
+    stays: set[Node] = set()
+    for x in nodes:
+        if x in kept or x.parent in stays:
+            stays.add(x)
+    return "\n".join(text for text, owner, _ in blocks if owner in stays)
 
 
 def main_text(pages: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -62,6 +62,60 @@ PAGES = {
 }
 
 
+P = "The river rose again, and the town, tired of waiting, moved its market up the hill."
+#: Pages whose layout or names look like furniture, and what else must not be lost or kept.
+LAYOUTS = {
+    f'<div class="layout sidebar-right"><article><p>{P}</p></article></div>': P,
+    f'<div class="page page-with-sidebar"><article><p>{P}</p></article><div class="sidebar"><p>Other</p></div></div>': P,
+    f'<div class="sidebar"><p>{P}{P}{P}</p></div><article><p>{P}</p></article>': P,
+    f'<body><form id="f"><div><p>{P}</p><p>{P}</p><input><button>Go</button></div></form></body>': f"{P}\n{P}",
+    f'<article><p>{P}</p><p class="share-price">Shares fell.</p><p class="related-work">Others did so.</p></article>': f"{P}\nShares fell.\nOthers did so.",
+    f"<article><p>{P}</p></article><article><p>{P} Two.</p></article>": f"{P}\n{P} Two.",
+    f"<div><div><p>{P}{P}{P}</p></div><div><p>Three short words with no more in it but still a line, surely.</p></div><div><p>And another of the same kind without such marks as the first one.</p></div></div>": f"{P}{P}{P}\nThree short words with no more in it but still a line, surely.\nAnd another of the same kind without such marks as the first one.",
+    f'<main><p>{P}</p></main><div class="comments"><article class="comment"><p>{P}{P}</p></article></div>': P,
+    f'<article><p>{P}</p><div class="related-posts"><a href=x>More</a></div><div class="newsletter-signup"><p>Sign up, now, please, all</p></div></article><div class="cookie-notice">We use cookies</div>': P,
+    f'<h1>Head</h1><div class="post"><p>{P}</p></div><div class="copy">(c) us</div>': f"Head\n{P}",
+}
+#: Pages of about a megabyte, or nested deeply, that end badly.
+HEAVY = {"name": "<p>x</p><" + "a" * 1_000_000, "values": "<p>x<a " + 'b="c" ' * 150_000, "quotes": "<a " * 300_000 + '">', "nested": "<div>" * 50_000 + "<p>deep", "paragraphs": "<div><p>a, b" * 20_000, "stray": "<b>" + "<div>" * 50_000 + "</b>" * 50_000, "cells": "<table><tr><td><b>" * 10_000 + "</b>" * 50_000, "items": "<ul>" * 20_000 + "<li>x" * 20_000, "marks": "<!" * 300_000, "less": "<" * 300_000}
+
+
+def test_pages_keep_what_only_looks_like_furniture():
+    from strandframe.llm.html_text import extract
+
+    assert {h: extract(h) for h in LAYOUTS} == LAYOUTS
+
+
+@pytest.mark.parametrize("kind", HEAVY)
+def test_heavy_pages_take_linear_time(kind):
+    import time
+
+    from strandframe.llm.html_text import extract
+
+    began = time.perf_counter()
+    extract(HEAVY[kind])
+    assert time.perf_counter() - began < 8  # quadratic time takes minutes
+
+
+def test_generated_pages_give_their_article():
+    """Pages put together from parts that are known to be article or furniture; the reading of them is the list of parts."""
+    from strandframe.llm.html_text import extract
+
+    rng = np.random.default_rng(9)
+    sentence = lambda: " ".join(f"w{rng.integers(999)}" + ("," if rng.random() < 0.2 else "") for _ in range(rng.integers(12, 40))) + "."
+    furniture = ["<nav><a href=1>Home</a><a href=2>News</a></nav>", "<div class='ad-slot'>{}</div>", "<footer>{}</footer>", "<aside><p>{}</p></aside>", "<div id=cookie-consent>{}</div>", "<div class='share-buttons'><a href=x>Share</a></div>", "<section class='comments'><div class=comment><p>{}</p></div></section>", "<script>var x = '<p>{}</p>';</script>", "<style>p{{}}</style>", "<form action=q><input><label>{}</label></form>", "<div role=navigation><ul><li><a href=y>{}</a></ul></div>"]
+    for _ in range(200):
+        some = lambda: "".join(str(rng.choice(furniture)).format("Buy now, while, it, lasts") for _ in range(rng.integers(0, 4)))
+        want, inner = [], ""
+        for _ in range(rng.integers(2, 9)):
+            text = sentence()
+            want.append(text)
+            inner += f"<p>{text}</p>" if rng.random() < 0.7 else f"<ul><li>{text}</ul>" if rng.random() < 0.5 else f"<blockquote>{text}</blockquote>"
+            inner += some() if rng.random() < 0.3 else ""
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='layout sidebar-left'><article>{}</article></div>"])
+        assert extract(f"<html><body>{some()}{str(wrap).format(inner)}{some()}</body></html>") == "\n".join(want)
+
+
 def test_pages(spark):
     from strandframe.llm.html_text import main_text
 
