@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_lists": url_lists.OP4_SQL,
         "op5_licenses": licenses.oracle(),
         "op6_chat": chat.OP6_SQL,
+        "op8_decontamination": decontamination.OP8_SQL,
     }

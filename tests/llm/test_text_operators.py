@@ -140,17 +140,13 @@ ITEMS = [(1, "Brown fox jumps over a lazy dog while rain falls on the"), (2, "on
 
 
 @pytest.mark.parametrize("symbols", [64, 1 << 20])
-def test_decontamination_equals_brute_force(spark, docs, monkeypatch, symbols):
+def test_decontamination_equals_brute_force(spark, docs, symbols):
     import hashlib
 
     from strandframe.llm import decontamination as D
 
-    monkeypatch.setattr(D, "INDEX_SYMBOLS", symbols)
-    shard = D.Shard(D.Windows(ITEMS))
-    for _, t in TEXTS:
-        shard.add(t)
-    shard.search()
-    local = [(n, sum(b - a for a, b in D.merged(shard.spans.get(k, []))), len(shard.items.get(k, ()))) for k, n in enumerate(shard.n_words)]
+    n_words, spans, owned = D.searched([t for _, t in TEXTS], D.Windows(ITEMS), symbols)
+    local = [(n, sum(b - a for a, b in s), len(o)) for n, s, o in zip(n_words, spans, owned, strict=True)]
     assert local == brute_hits(TEXTS, ITEMS)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = D.contamination(docs, items).collect()
@@ -175,6 +171,30 @@ def test_decontamination_in_blocks_and_cuts(spark, docs):
     assert cut[11]["text"] == "x" * 20_000
 
 
+def test_decontamination_takes_clashing_columns(spark):
+    from strandframe.llm import decontamination as D
+
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "say One, two: three", 5, "x", 7, 9)], "doc_id long, text string, _spans int, _items string, _n_words long, n_chars int")
+    assert D.with_hits(df, items).columns == [*df.columns, "__n_words", "__spans", "__items"]
+    assert D.decontaminated(df, items).columns == df.columns and D.decontaminated(df, items).count() == 0
+    assert D.decontaminated(df, items, policy="cut").collect() == [(1, "say : three", 5, "x", 7, 11)]
+
+
+def test_shard_index_holds_every_word_and_serves_any_phrase():
+    from strandframe.llm import decontamination as D
+
+    rng = np.random.default_rng(8)
+    documents = [[f"w{x}".encode() for x in rng.integers(0, 30, n)] for n in (0, 1, 400, 3, 250)] + [[b"a"] * 90]
+    documents += [list(documents[2])]
+    shard = D.Shard(documents)
+    assert shard.index.n == sum(len(d) + 1 for d in documents) + 1
+    for phrase in (["w3"], ["w3", "w4"], ["a"] * 5, [w.decode() for w in documents[2][100:110]], ["none"]):
+        which, at = shard.occurrences(D.Windows([(1, " ".join(phrase))]))
+        part = [p.encode() for p in phrase]
+        assert sorted(at.tolist()) == [int(shard.begins[k]) + i for k, d in enumerate(documents) for i in range(len(d)) if d[i : i + len(part)] == part]
+
+
 def test_fm_index_finds_every_place():
     from strandframe.llm.decontamination import FMIndex
 
