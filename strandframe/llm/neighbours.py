@@ -3,8 +3,8 @@
 A shard is a bounded number of vectors, dealt by their ids. Its graph has layers: a vector is on layer l with probability
 M**-l, and each layer is a flat array of neighbours, M wide (2M on the ground). Vectors are added in batches that all step
 through the graph together, so the walk is array arithmetic. Inner products become cosines by one more component that lifts
-every vector of the shard to the same norm. The graphs are written as rows of flat arrays; blocks of queries are then
-searched against every graph, and the best of all shards are merged.
+every vector of the shard to the same norm. The graphs are written as rows of flat arrays. To search, each graph stays in one
+task and the queries stream past it in batches; the best of all shards are merged.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from .support import read, written
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 2048
+#: Vectors in one shard, by the memory of a task: with 64 components a graph of so many takes some 40 MB.
+SHARD_ROWS = 32_768
+#: Queries that a task searches at once.
+QUERY_ROWS = 2048
 M, EF_BUILD, EF_SEARCH = 16, 64, 200
 #: Vectors that step through a graph together, and how many entries each opens at a step.
 BATCH, OPEN = 512, 4
@@ -257,32 +259,49 @@ def index(rows: DataFrame, n_rows: int, shard_rows: int = SHARD_ROWS, keep: int
         return pa.Table.from_batches([_graph_row(shard, dim, table.column("id").to_numpy(), vectors, keep)])
 
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dim"), "id", "vector")
-    return written(dealt.groupBy("shard", "dim").applyInArrow(build, GRAPH), "graphs")
+    # a partition for each shard, so that no task builds two graphs while others wait
+    return written(dealt.repartitionByRange(shards, "shard").groupBy("shard", "dim").applyInArrow(build, GRAPH), "graphs")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each of queries (id, vector) its k nearest among rows (id, vector) by inner product, its own id left out.
 
-    Vectors of another number of components are no candidates. Both tables are as usable() leaves them.
+    Vectors of another number of components are no candidates. Both tables are as usable() leaves them. A graph is sent
+    once, to the one task that searches it; a query goes to each shard, where its k best are found. So what is shuffled is
+    all graphs and queries times shards, and a task holds one graph and one batch of queries.
     """
     graphs = index(rows, rows.count(), shard_rows, k + 1)
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    n_graphs = max(1, graphs.count())
-    asked = queries.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.size("vector").alias("dim"), "id", "vector").groupBy("block", "dim").agg(F.collect_list(F.struct("id", "vector")).alias("q")).select("block", "dim", F.col("q.id").alias("ids"), F.flatten("q.vector").alias("vectors"))
-    asked = written(asked, "queries")  # each row holds a block of bounded size
-    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.withColumnRenamed("ids", "query_ids").withColumnRenamed("vectors", "query_vectors"), ["block", "dim"])
+    shards = graphs.select("shard", "dim").distinct()
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("id", "long"), ("vector", "array<double>"))]
+    absent = [F.lit(None).cast("binary").alias(c.split()[0]) for c in GRAPH.split(", ")[2:]]
+    asked = queries.select(F.size("vector").alias("dim"), "id", "vector").join(shards, "dim").select("shard", "dim", "id", "vector", *absent)
+    both = graphs.select("shard", "dim", *nothing, *[c.split()[0] for c in GRAPH.split(", ")[2:]]).unionByName(asked)
+    # the graph of a shard stands before its queries, as nulls come first
+    placed = both.repartitionByRange(max(1, shards.count()), "shard", "dim").sortWithinPartitions("shard", "dim", F.col("id").asc_nulls_first())
 
     def search(batches):
+        graph, of = None, None
         for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(n)[i].as_py() for n in ("dim", "vectors", "first", "ids", "sizes", "members", "links")}
-                ids = b.column("query_ids")[i].values.to_numpy()
-                q = b.column("query_vectors")[i].values.to_numpy().reshape(-1, row["dim"])
-                got = _Stored(row).top(ids, q, k, ef)
+            key = list(zip(b.column("shard").to_pylist(), b.column("dim").to_pylist(), strict=True))
+            is_graph = b.column("id").is_null().to_pylist()
+            begin = 0
+            while begin < b.num_rows:
+                if is_graph[begin]:
+                    graph, of = _Stored({c.split()[0]: b.column(c.split()[0])[begin].as_py() for c in GRAPH.split(", ")}), key[begin]
+                    begin += 1
+                    continue
+                end = begin
+                while end < b.num_rows and end - begin < QUERY_ROWS and key[end] == key[begin] and not is_graph[end]:
+                    end += 1
+                if key[begin] != of:
+                    raise RuntimeError(f"queries of shard {key[begin]} came before its graph")
+                part = b.slice(begin, end - begin)
+                q = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, of[1])
+                got = graph.top(part.column("id").to_numpy(), q, k, ef)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
+                begin = end
 
-    found = pairs.repartition(min(10_000, blocks * n_graphs), "shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = placed.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
