@@ -21,7 +21,9 @@ from .support import read, written
 SHARD_ROWS = 32_768
 #: Queries that a task searches at once.
 QUERY_ROWS = 2048
-M, EF_BUILD, EF_SEARCH = 16, 64, 200
+M, EF_BUILD, EF_SEARCH = 16, 64, 400
+#: How many vectors a walk keeps on the layers above the ground, and how many of them the next layer's walk begins at.
+EF_UPPER, ENTRIES = 32, 8
 #: Vectors that step through a graph together, and how many entries each opens at a step.
 BATCH, OPEN = 512, 4
 
@@ -150,18 +152,21 @@ class Graph:
             order = np.concatenate([place[height[own] > level], place[height[own] == level]])
             entry = np.zeros((len(own), 1), np.int64)
             if level + 1 < len(members):
-                entry = np.searchsorted(own, cls(members[level + 1 :], links).entries(x, x[own], 1))
+                above = cls(members[level + 1 :], links).entries(x, x[own])
+                entry = np.where(above >= 0, np.searchsorted(own, above), -1)
             links.insert(0, _layer(x[own], order, entry, 2 * M if level == 0 else M, EF_BUILD))
         return cls(members, links)
 
-    def entries(self, x: np.ndarray, queries: np.ndarray, down_to: int = 0) -> np.ndarray:
-        """For each query the vector that a walk down to the lowest of these layers ends at."""
-        at = np.full((len(queries), 1), self.members[-1][0], np.int64)
+    def entries(self, x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """For each query the ENTRIES vectors that a walk down to the lowest of these layers ends at; -1 where there are fewer."""
+        at = np.full((len(queries), ENTRIES), -1, np.int64)
+        at[:, 0] = self.members[-1][0]
         for own, links in zip(reversed(self.members), reversed(self.links), strict=True):
             for begin in range(0, len(queries), BATCH):
                 part = slice(begin, begin + BATCH)
-                ids, _ = _search(x[own], links, queries[part], np.searchsorted(own, at[part]), 8)
-                at[part] = own[ids[:, :1]]
+                place = np.where(at[part] >= 0, np.searchsorted(own, at[part]), -1)
+                ids, _ = _search(x[own], links, queries[part], place, EF_UPPER)
+                at[part] = np.where(ids[:, :ENTRIES] >= 0, own[ids[:, :ENTRIES]], -1)
         return at
 
     def nearest(self, x: np.ndarray, queries: np.ndarray, ef: int) -> np.ndarray:
