@@ -1,9 +1,9 @@
 """SentencePiece models run by the tokenizers library.
 
-The model's protobuf is read field by field; from it come the normaliser, the metaspace marker, the pieces with their
-scores, and the byte fallback. Where no piece holds the marker after another character, a text splits before every marker
-that follows another character without changing any encoding, so texts are encoded chunk by chunk, and every distinct
-chunk of a task is encoded once, in multithreaded batches.
+The model's protobuf is read field by field; from it come the normaliser with its table of characters, the metaspace marker,
+the pieces with their scores, and the byte fallback. Where no piece holds the marker after another character, a text splits
+before every marker that follows another character without changing any encoding, so texts are encoded chunk by chunk, and
+every distinct chunk of a task is encoded once, in multithreaded batches. Parity is checked on whole texts.
 """
 
 from __future__ import annotations
@@ -76,6 +76,7 @@ class Model:
 
     @classmethod
     def parse(cls, data: bytes) -> Model:
+        """Fields that come again, as in joined files, add to those before."""
         m = cls()
         for number, value in _fields(data):
             if number == 1:
@@ -83,32 +84,88 @@ class Model:
                 m.pieces.append((got[1].decode(), float(np.frombuffer(got.get(2, bytes(4)), "<f4")[0]), got.get(3, NORMAL)))
             elif number == 2:
                 got = dict(_fields(value))
-                m.kind, m.suffix_marker, m.byte_fallback = got.get(3, UNIGRAM), bool(got.get(24, 0)), bool(got.get(35, 0))
+                m.kind, m.suffix_marker, m.byte_fallback = got.get(3, m.kind), bool(got.get(24, m.suffix_marker)), bool(got.get(35, m.byte_fallback))
             elif number == 3:
                 got = dict(_fields(value))
-                m.charsmap = got.get(2, b"")
-                m.dummy_prefix, m.squeeze, m.escape = (bool(got.get(n, 1)) for n in (3, 4, 5))
+                m.charsmap = got.get(2, m.charsmap)
+                m.dummy_prefix, m.squeeze, m.escape = (bool(got.get(n, was)) for n, was in ((3, m.dummy_prefix), (4, m.squeeze), (5, m.escape)))
         return m
 
 
+def charsmap_entries(blob: bytes) -> dict[str, str]:
+    """The replacements that a normaliser's table holds: a double-array trie of UTF-8 keys, and the strings that its values point to."""
+    if not blob:
+        return {}
+    size = int(np.frombuffer(blob[:4], "<u4")[0])
+    units, strings = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    below = lambda at: at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+    out: dict[str, str] = {}
+    places, keys = np.zeros(1, np.int64), [b""]
+    labels = np.arange(1, 256)
+    while len(places):
+        to = below(places)[:, None] ^ labels
+        held = to < len(units)
+        held &= (units[np.where(held, to, 0)] & 0x800000FF) == labels
+        which, label = np.nonzero(held)
+        places, keys = to[which, label], [keys[w] + bytes([c + 1]) for w, c in zip(which.tolist(), label.tolist(), strict=True)]
+        for i in np.flatnonzero(units[places] >> 8 & 1).tolist() if len(places) else ():
+            begin = int(units[below(places[i : i + 1])[0]] & 0x7FFFFFFF)
+            out[keys[i].decode("utf-8", "surrogatepass")] = strings[begin : strings.index(b"\0", begin)].decode("utf-8", "surrogatepass")
+    return out
+
+
+class Normaliser:
+    """Replaces the longest keys of a table from left to right, but for the user-defined pieces, which stay as they are."""
+
+    def __init__(self, table: dict[str, str], user: list[str]):
+        self.single = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
+        self.several = {k: v for k, v in table.items() if len(k) > 1}
+        self.longest = max(map(len, self.several), default=0)
+        some = lambda at: "[" + "".join(re.escape(c) for c in sorted({k[at] for k in self.several})) + "]"
+        self.begins = re.compile(f"{some(0)}(?={some(1)})") if self.several else None
+        self.user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user and table else None
+
+    def _replaced(self, text: str) -> str:
+        if self.begins is None:
+            return text.translate(self.single)
+        out, done = [], 0
+        for m in self.begins.finditer(text):
+            at = m.start()
+            key = next((k for n in range(self.longest, 1, -1) if (k := text[at : at + n]) in self.several), None) if at >= done else None
+            if key is not None:
+                out += [text[done:at].translate(self.single), self.several[key]]
+                done = at + len(key)
+        return "".join([*out, text[done:].translate(self.single)])
+
+    def __call__(self, text: str) -> str:
+        if not self.single and not self.several:
+            return text
+        if self.user is None:
+            return self._replaced(text)
+        return "".join(t if i % 2 else self._replaced(t) for i, t in enumerate(self.user.split(text)))
+
+
 def backend(model: Model):
-    """The tokenizers-library tokenizer of a model, without the dummy prefix, which is the caller's."""
+    """The tokenizers-library tokenizer of a model; it takes texts that are normalised, with the dummy prefix."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library's threads begin
-    from tokenizers import Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
     if model.kind == UNIGRAM:
-        inner = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown, byte_fallback=model.byte_fallback)
+        # texts never have pieces of the other kinds: they get names that no text has, and no score that counts
+        least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
+        listed = [(p if k in (NORMAL, USER, BYTE) else f"\0{i}\0", s if k in (NORMAL, USER) else least) for i, (p, s, k) in enumerate(model.pieces)]
+        inner = models.Unigram(listed, unk_id=unknown, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
-        usable = {p: i for i, (p, _, k) in enumerate(model.pieces) if k in (NORMAL, USER)}
+        usable = {p: i for i, (p, _, k) in enumerate(model.pieces) if k == NORMAL}
         rank = sorted(usable, key=lambda p: (-model.pieces[usable[p]][1], usable[p]))
         merges = [(p[:i], p[i:]) for p in rank for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
         inner = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges, unk_token=model.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
         raise ValueError(f"model type {model.kind} is not unigram or BPE")
     made = Tokenizer(inner)
-    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
-    made.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)] if model.escape else steps)
+    made.normalizer = normalizers.Sequence([normalizers.Replace(" ", MARK)] if model.escape else [])
+    made.add_tokens([AddedToken(p, normalized=True, special=False) for p, _, k in model.pieces if k == USER])
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     return made
 
@@ -139,14 +196,15 @@ class Codec:
     def __init__(self, data: bytes, verify: bool = True):
         self.model = Model.parse(data)
         self.tokenizer = backend(self.model)
-        self.splits = not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER)) and not self.model.charsmap and not self.model.suffix_marker and self.model.escape
+        self.user = [p for p, _, k in self.model.pieces if k == USER]
+        self.normalised = Normaliser(charsmap_entries(self.model.charsmap), [p.replace(MARK, " ") for p in self.user])
+        self.splits = not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER)) and not self.model.suffix_marker and self.model.escape
         if self.splits:
             from tokenizers import Regex, pre_tokenizers
 
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         self.chunk = re.compile(" *[^ ]+| +" if self.splits else r"(?s).+")
         self.ids: dict[str, bytes] = {}  # of each chunk, as 32-bit integers
-        self.unlike: set[str] = set()  # chunks that the SentencePiece library encodes otherwise
         self.lossy: set[str] = set()  # chunks that don't come back
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.peer = None
@@ -156,30 +214,38 @@ class Codec:
             self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def prepared(self, text: str) -> str:
-        """The text as it is encoded: blanks squeezed if the model says so, and the dummy prefix before it.
+        """The text as it is encoded: normalised, blanks squeezed if the model says so, and the dummy prefix before it, or after it where the marker is a suffix.
 
-        The characters of the marker and the blank are one to a SentencePiece model.
+        The characters of the marker and the blank are one to a SentencePiece model, but only blanks are squeezed.
         """
-        text = text.replace(MARK, " ")
+        text = self.normalised(text)
         if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return f" {text}" if text and self.model.dummy_prefix else text
+            text = re.sub("  +", " ", text.strip(" "))
+        if self.model.escape:
+            text = text.replace(MARK, " ")
+        if text and self.model.dummy_prefix and not self.model.suffix_marker:
+            text = f" {text}"
+        if self.model.squeeze:
+            text = text.rstrip(" ")
+        return f"{text} " if text and self.model.dummy_prefix and self.model.suffix_marker else text
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
-        """For each text its ids, whether they are the SentencePiece library's, and whether they decode to the text."""
+        """For each text its ids, whether they are those that the SentencePiece library gives the whole text, and whether they decode to the text."""
         split = [self.chunk.findall(self.prepared(t)) for t in texts]
         if len(self.ids) > CACHE_CHUNKS:
-            self.ids, self.unlike, self.lossy = {}, set(), set()
+            self.ids, self.lossy = {}, set()
         seen: set[str] = set().union(*split)
         self._learn([c for c in seen if c not in self.ids])
-        get, unlike, lossy = self.ids.__getitem__, self.unlike, self.lossy
+        get, lossy = self.ids.__getitem__, self.lossy
         ids = [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
-        return ids, [not unlike or unlike.isdisjoint(s) for s in split], [not lossy or lossy.isdisjoint(s) for s in split]
+        like = [len(a) == len(b) and bool((a == np.array(b, np.int32)).all()) for a, b in zip(ids, self.peer.encode(texts, num_threads=THREADS), strict=True)] if self.peer else [True] * len(ids)
+        return ids, like, [not lossy or lossy.isdisjoint(s) for s in split]
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one text where they part again before their blanks."""
-        alone = [c for c in chunks if not self.splits or c[0] != " " or c[-1] == " "]
-        joint = [c for c in chunks if self.splits and c[0] == " " and c[-1] != " "]
+        joins = self.splits and not self.user  # a user-defined piece has no number of its chunk
+        alone = [c for c in chunks if not joins or c[0] != " " or c[-1] == " "]
+        joint = [c for c in chunks if joins and c[0] == " " and c[-1] != " "]
         groups = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)] + [[c] for c in alone]
         for at in range(0, len(groups), 2048):
             part = groups[at : at + 2048]
@@ -193,25 +259,18 @@ class Codec:
                 for chunk, end in zip(group, ends, strict=True):
                     self.ids[chunk] = flat[begin:end].tobytes()
                     begin = end
-            if self.peer:
-                for group, got, theirs in zip(part, ids, self._by_peer(texts), strict=True):
-                    if got != theirs:
-                        self.unlike.update(c for c, j in zip(group, self._by_peer(group), strict=True) if np.frombuffer(self.ids[c], np.int32).tolist() != j)
             for group, text, back in zip(part, texts, self._text(ids), strict=True):
                 if text != back:
                     self.lossy.update(c for c, b in zip(group, self._text([np.frombuffer(self.ids[c], np.int32).tolist() for c in group]), strict=True) if c != b)
 
-    def _by_peer(self, chunks: list[str]) -> list[list[int]]:
-        """What the SentencePiece library makes of chunks: after a line break, which no piece holds, so that no prefix is added to them."""
-        drop = len(self.peer.encode("\n"))
-        return [ids[drop:] for ids in self.peer.encode(["\n" + c for c in chunks], num_threads=1)]
-
     def _text(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """The texts of ids, without the blank that the dummy prefix has left."""
-        return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in self._text(ids)]
+        """The texts of ids, without the blank that the dummy prefix, or the suffix, has left."""
+        if self.model.dummy_prefix and self.model.suffix_marker:
+            return [t.removesuffix(" ") for t in self._text(ids)]
+        return [t.removeprefix(" ") if self.model.dummy_prefix else t for t in self._text(ids)]
 
 
 ENCODED = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("n_byte_tokens", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
@@ -220,7 +279,8 @@ ENCODED = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType()))
 def encoded(df: DataFrame, model: str | bytes, text: str = "text", verify: bool = True) -> DataFrame:
     """df with token_ids, n_tokens, n_byte_tokens (pieces of the byte fallback), parity and round_trip for each whole text.
 
-    parity: the ids are those that the SentencePiece library gives (null without verify). round_trip: decoding gives the
+    parity: the ids are those that the SentencePiece library gives the whole text (null without verify); with a unigram
+    model that fails where two splits of a long text are closer than its single-precision sums can tell. round_trip: decoding gives the
     text as the model normalises it. A null text has null ids and zero tokens; an empty one has no ids. Columns of df that
     have one of these names are replaced. The model is a path on the driver, or the file's bytes; it travels by broadcast,
     as its size does not depend on the data.

@@ -307,6 +307,79 @@ def test_sentencepiece_parity_and_round_trip(spark, docs):
     assert encoded(empty(docs), MODEL).count() == 0
 
 
+def _message(*fields):
+    """A protobuf message of (number, value): bytes, strings and lists of fields are sized, floats have 32 bits."""
+    out = b""
+    for number, value in fields:
+        kind = 5 if isinstance(value, float) else 0 if isinstance(value, int) else 2
+        out += _varint(number << 3 | kind)
+        if kind == 0:
+            out += _varint(value)
+        elif kind == 5:
+            out += np.float32(value).tobytes()
+        else:
+            value = value.encode() if isinstance(value, str) else _message(*value) if isinstance(value, list) else value
+            out += _varint(len(value)) + value
+    return out
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _models():
+    """Models that nobody has trained: the public one with user-defined pieces or another normaliser, and its pieces with scores for unigrams.
+
+    These scores are sixteenths, so that the library's single-precision sums over a long text are exact.
+    """
+    import sentencepiece
+
+    from strandframe.llm.sentencepiece_tokens import MODEL, NORMAL, Model, _fields
+
+    with open(MODEL, "rb") as f:
+        public = f.read()
+    nfkc = next(v for n, v in _fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if n == 3)
+    user = _message(*[(1, [(1, p), (2, 0.0), (3, 4)]) for p in ("<u>", "ing the", "<u><u>x", "qqq")])
+    rng = np.random.default_rng(4)
+    pieces = [(1, [(1, p), (2, -5 - round(len(p) ** -0.5 * 16 * (8 + rng.random())) / 16) if k == NORMAL else (2, 0.0), (3, k)]) for p, _, k in Model.parse(public).pieces]
+    unigram = _message(*pieces, (2, [(3, 1), (35, 1)]))
+    squeezing = _message((3, [(3, 1), (4, 1), (5, 1)]))
+    return {"user": public + user, "nfkc": public + _message((3, nfkc)), "unigram": unigram + _message((3, [(4, 0)])), "unigram nfkc": unigram + _message((3, nfkc)), "squeezing": public + squeezing}
+
+
+ODD = [" lead", "trail  ", "a   b", "tab\tnew\nline\n", "\u3000wide　space", "ﬁ ligature ①½ ＡＢＣ e\u0301 A\u030a", "a<u>b<u><u>x ing the qqqq", "日本語 テスト", "x\u200by\u00adz", "", " ", "\n", "▁ mark ▁", "ends in mark▁", "한국어 가"]
+
+
+@pytest.mark.parametrize("kind", ["user", "nfkc", "unigram", "unigram nfkc", "squeezing"])
+def test_models_agree_with_the_library_on_whole_texts(spark, kind):
+    import sentencepiece
+
+    from strandframe.llm.sentencepiece_tokens import Codec
+
+    data = _models()[kind]
+    peer, codec = sentencepiece.SentencePieceProcessor(model_proto=data), Codec(data)
+    texts = ODD + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids, like, _ = codec.encode(texts)
+    theirs = peer.encode(texts)
+    assert [i.tolist() == t for i, t in zip(ids, theirs, strict=True)] == like
+    unlike = [t[:80] for t, ok in zip(texts, like, strict=True) if not ok]
+    assert not unlike, (len(unlike), unlike[:5])
+
+
+def test_parity_is_of_the_whole_text():
+    from strandframe.llm.sentencepiece_tokens import MODEL, Codec
+
+    with open(MODEL, "rb") as f:
+        codec = Codec(f.read())
+    texts = ["some words here", "other words"]
+    assert codec.encode(texts)[1] == [True, True]
+    codec.ids[" here"] = codec.ids[" words"]  # a planted difference
+    assert codec.encode(texts)[1] == [False, True]
+
+
 def test_unigram_models_are_rebuilt():
     from strandframe.llm.sentencepiece_tokens import Codec
 
