@@ -229,30 +229,37 @@ def test_licences_equal_brute_force(spark, docs):
 
 
 def test_licences_with_several_notices_and_stray_words_equal_brute_force(spark):
-    from strandframe.llm.licenses import COMMON, TEMPLATES, scanned
+    from collections import Counter
+
+    from strandframe.llm.licenses import RAREST, TEMPLATES, scanned
 
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     apache = "Licensed under the Apache License, Version 2.0."
-    stray = " ".join(dict.fromkeys(w for _, t, _ in TEMPLATES for w in t.split() if w not in COMMON))
-    texts = [f"{mit}. {apache}", f"{apache} {mit}", f"{stray} filler {apache}", "\n".join(t for _, t, _ in TEMPLATES), f"{stray} {'stray words ' * 500}{TEMPLATES[-1][1]} {stray}", stray, f"{mit} " * 3 + apache]
-    texts += [f"{a} x y {b} {stray}" for _, a, _ in TEMPLATES for _, b, _ in TEMPLATES]
-    rows = scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    stray = " ".join(dict.fromkeys(w for _, t, _ in TEMPLATES for w in t.split()))
+    texts = [f"{mit}. {apache}", f"{apache} {mit}", f"{stray} filler {apache}", "\n".join(t for _, t, _ in TEMPLATES), f"{stray} {'stray words ' * 500}{TEMPLATES[-1][1]} {stray}", stray, f"{mit} " * 3 + apache, "the free use of a public file is in no event a matter of version 3"]
+    texts += [f"{a} x y {b} {stray}" for _, a, _ in TEMPLATES[::2] for _, b, _ in TEMPLATES[1::3]]
+    rows = scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
     base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    split = [WORD.findall(lowered(t)) for t in texts]
+    seen = Counter(w for words in split for w in set(words))
 
     def starts(words, phrase):
         part = phrase.split()
         return {i for i in range(len(words)) if words[i : i + len(part)] == part}
 
-    for r, t in zip(rows, texts, strict=True):
-        words = WORD.findall(lowered(t))
-        want = {label for p, label in base.items() if starts(words, p)}
+    for r, words in zip(rows, split, strict=True):
+        want, score = {label for p, label in base.items() if starts(words, p)}, 0.0
         for label, text, keys in TEMPLATES:
             here = text.split()
-            places = set.intersection(*({i - min(starts(here, k)) for i in starts(words, k)} for k in keys))
-            if any(sum(0 <= at + q < len(words) and words[at + q] == w for q, w in enumerate(here) if w not in COMMON) >= 2 for at in places):
-                want.add(label)
-        assert r["labels"] == ",".join(sorted(want)), t[:100]
-    assert {"apache-2.0", "mit-text"} <= set(rows[0]["labels"].split(",")) and rows[0]["score"] == 1.0
+            rare = sorted(set(here), key=lambda w: (seen[w], w))[:RAREST]
+            postings = [q for q, w in enumerate(here) if w in rare]
+            for at in set.intersection(*({i - min(starts(here, k)) for i in starts(words, k)} for k in keys)):
+                n = sum(0 <= at + q < len(words) and words[at + q] == here[q] for q in postings)
+                if n >= 2:
+                    want.add(label)
+                    score = max(score, n / len(postings))
+        assert r["labels"] == ",".join(sorted(want)) and r["score"] == pytest.approx(score or float(bool(want)))
+    assert {t[0] for t in TEMPLATES} <= set(rows[3]["labels"].split(",")) and {"apache-2.0", "mit-text"} <= set(rows[0]["labels"].split(",")) and rows[0]["score"] == 1.0
 
 
 def test_token_counts_equal_offsets_of_another_library(spark, docs):
