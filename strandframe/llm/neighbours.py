@@ -282,7 +282,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     asked = queries.select(F.size("vector").alias("dim"), "id", "vector").join(shards, "dim").select("shard", "dim", "id", "vector", *absent)
     both = graphs.select("shard", "dim", *nothing, *[c.split()[0] for c in GRAPH.split(", ")[2:]]).unionByName(asked)
     # the graph of a shard stands before its queries, as nulls come first
-    placed = both.repartitionByRange(max(1, shards.count()), "shard", "dim").sortWithinPartitions("shard", "dim", F.col("id").asc_nulls_first())
+    n_shards = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    placed = both.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "dim", F.col("id").asc_nulls_first())
 
     def search(batches):
         graph, of = None, None
