@@ -14,35 +14,50 @@ from .support import read
 # The markers of the rendered text.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
-#: Turn numbers in one part; a dialogue whose turns go further is rendered in numbered parts, each whole.
-PART_TURNS = 4096
+#: Turn numbers of one block: what a task renders at once. The rendered text does not depend on it.
+BLOCK_TURNS = 1024
 
 
-def rotated(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
-    """Rows (conversation, perspective, part, n_turns, n_own_turns, text, mask, n_masked_chars) for every participant and part of every conversation.
+def rotated(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
+    """Rows (conversation, perspective, n_turns, n_own_turns, text, mask, n_masked_chars), one for every participant of every conversation.
 
-    Turns stand in the order of their numbers, ties by speaker and text, null numbers first; they are parted by number, so
-    that no task gathers an unbounded dialogue. A null speaker is the participant "unknown"; a null text is empty. A
-    conversation of system turns only has no participant and no row. Repeated turns are said twice. Texts are taken as
-    they are, so a text that holds a marker is not changed. mask has the spans start:end in characters, comma-joined.
+    Turns stand in the order of their numbers, ties by speaker and text, null numbers first. A null speaker is the
+    participant "unknown"; a null text is empty. A turn without a conversation is a dialogue of its own. A conversation of
+    system turns only has no participant and no row. Repeated turns are said twice. Texts are taken as they are, so a text
+    that holds a marker is not changed. mask has the spans start:end in characters, comma-joined.
+
+    Blocks of turns are rendered in tasks of their own, and a perspective's row joins their texts, so a task holds one
+    dialogue as one participant sees it, which is one value of the result and must fit the 2 GB of a Spark string.
     """
-    said = turns.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("who"), F.coalesce(F.col(text), F.lit("")).alias("said"), F.expr(f"coalesce(floor({turn} / {part_turns}), -1)").cast("long").alias("part"))
-    parts = said.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
-    people = said.where(F.col("who") != SYSTEM).select("conv", "who").distinct().select(F.col("conv").alias("_conv"), F.col("who").alias("perspective"))
-    both = parts.join(people, F.col("conv").eqNullSafe(F.col("_conv")))
-    head = f"CASE WHEN t.who = '{SYSTEM}' THEN '{OPEN}system\\n' WHEN t.who = perspective THEN '{OPEN}assistant\\n' ELSE concat('{OPEN}user name=', t.who, '\\n') END"
-    cut = both.select("conv", "perspective", "part", F.expr(f"transform(turns, t -> struct({head} AS head, t.said AS said, t.who = perspective AS own))").alias("turns"))
-    tail = len(CLOSE) + 1
-    walk = f"""aggregate(turns, named_struct('at', 0L, 'spans', cast(array() AS array<string>), 'n', 0L), (s, t) -> named_struct(
-        'at', s.at + length(t.head) + length(t.said) + {tail},
-        'spans', CASE WHEN t.own THEN concat(s.spans, array(concat(s.at + length(t.head), ':', s.at + length(t.head) + length(t.said) + {len(CLOSE)}))) ELSE s.spans END,
-        'n', s.n + CASE WHEN t.own THEN length(t.said) + {len(CLOSE)} ELSE 0 END))"""
-    return cut.select("conv", "perspective", "part", F.col("turns"), F.expr(walk).alias("walk")).select(
-        F.col("conv").alias(conversation), "perspective", "part", F.size("turns").cast("long").alias("n_turns"), F.expr("cast(size(filter(turns, t -> t.own)) AS long)").alias("n_own_turns"),
-        F.expr(f"array_join(transform(turns, t -> concat(t.head, t.said, '{CLOSE}\\n')), '')").alias("text"), F.array_join("walk.spans", ",").alias("mask"), F.col("walk.n").alias("n_masked_chars"),
+    said = turns.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("who"), F.coalesce(F.col(text), F.lit("")).alias("said"))
+    here = said.where("conv IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    blocks = here.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
+    people = here.where(F.col("who") != SYSTEM).select("conv", F.col("who").alias("perspective")).distinct()
+    alone = said.where((F.col("conv").isNull()) & (F.col("who") != SYSTEM)).select("conv", F.col("who").alias("perspective"), F.array(F.struct("turn", "who", "said")).alias("turns"))
+    parts = _rendered(blocks.join(people, "conv")).groupBy("conv", "perspective").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    whole = parts.select("conv", "perspective", F.expr("transform(parts, p -> p.part)").alias("parts"))
+    single = _rendered(alone).select("conv", "perspective", F.array("part").alias("parts"))
+    begins = "transform(sequence(0, size(parts) - 1), i -> aggregate(slice(parts, 1, i), 0L, (n, p) -> n + p.n_chars))"
+    shifted = "flatten(zip_with(parts, begins, (p, b) -> transform(p.spans, s -> concat(b + s.begin, ':', b + s.end))))"
+    total = lambda field: F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p[field])
+    return whole.unionByName(single).withColumn("begins", F.expr(begins)).select(
+        F.col("conv").alias(conversation), "perspective", total("n_turns").alias("n_turns"), total("n_own").alias("n_own_turns"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), F.expr(f"array_join({shifted}, ',')").alias("mask"), total("n_masked").alias("n_masked_chars")
     )
 
 
+def _rendered(rows: DataFrame) -> DataFrame:
+    """rows (turns, perspective, more) with part: the text of the turns, its characters, the spans that the perspective says, and counts."""
+    head = f"CASE WHEN t.who = '{SYSTEM}' THEN '{OPEN}system\\n' WHEN t.who = perspective THEN '{OPEN}assistant\\n' ELSE concat('{OPEN}user name=', t.who, '\\n') END"
+    cut = rows.withColumn("turns", F.expr(f"transform(turns, t -> struct({head} AS head, t.said AS said, t.who = perspective AS own))"))
+    # where each turn ends in the block: running sums of lengths, from one pass over the turns
+    walk = f"""aggregate(turns, named_struct('at', 0L, 'spans', cast(array() AS array<struct<begin: bigint, end: bigint>>)), (s, t) -> named_struct(
+        'at', s.at + length(t.head) + length(t.said) + {len(CLOSE) + 1},
+        'spans', CASE WHEN t.own THEN concat(s.spans, array(struct(s.at + length(t.head) AS begin, s.at + length(t.head) + length(t.said) + {len(CLOSE)} AS end))) ELSE s.spans END))"""
+    part = f"""named_struct('text', array_join(transform(turns, t -> concat(t.head, t.said, '{CLOSE}\\n')), ''), 'n_chars', walk.at, 'spans', walk.spans, 'n_turns', cast(size(turns) AS bigint),
+        'n_own', cast(size(walk.spans) AS bigint), 'n_masked', aggregate(walk.spans, 0L, (n, s) -> n + s.end - s.begin))"""
+    return cut.withColumn("walk", F.expr(walk)).withColumn("part", F.expr(part)).drop("turns", "walk")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated(read(spark, sf_dir, "conversations"))
 
@@ -50,15 +65,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 WITH people AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
 lines AS (
-  SELECT p.conv_id, p.perspective, c.turn // {PART_TURNS} AS part, c.turn, c.role, c.text, c.role = p.perspective AS own,
+  SELECT p.conv_id, p.perspective, c.turn, c.role, c.text, c.role = p.perspective AS own,
          CASE WHEN c.role = 'system' THEN '{OPEN}system' WHEN c.role = p.perspective THEN '{OPEN}assistant' ELSE '{OPEN}user name=' || c.role END || chr(10) AS head
   FROM people p JOIN conversations c USING (conv_id)),
 placed AS (
-  SELECT *, sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - {len(CLOSE) + 1} AS start
+  SELECT *, sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text) - {len(CLOSE) + 1} AS start
   FROM lines)
-SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns,
+SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns,
        string_agg(head || text || '{CLOSE}' || chr(10), '' ORDER BY turn, role, text) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(start AS BIGINT) || ':' || CAST(start + length(text) + {len(CLOSE)} AS BIGINT) END, ',' ORDER BY turn, role, text), '') AS mask,
        CAST(coalesce(sum(length(text) + {len(CLOSE)}) FILTER (WHERE own), 0) AS BIGINT) AS n_masked_chars
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective
 """

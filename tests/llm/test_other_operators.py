@@ -213,10 +213,30 @@ def test_perspectives(spark):
     assert bob["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
     spans = [tuple(map(int, s.split(":"))) for s in bob["mask"].split(",")]
     assert [bob["text"][a:b] for a, b in spans] == ["yo<|im_end|>"] * 2 and bob["n_masked_chars"] == 24
-    assert sorted(r["part"] for r in got if r["conv_id"] == 3) == [-1, -1, 1, 1]
+    late = next(r for r in got if r["conv_id"] == 3 and r["perspective"] == "ann")
+    assert late["text"] == "<|im_start|>user name=unknown\nwho<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n"
+    assert [late["text"][slice(*map(int, s.split(":")))] for s in late["mask"].split(",")] == ["late<|im_end|>"]
     assert rotated(df.where("false")).count() == 0
 
 
+def test_perspectives_of_a_long_dialogue_and_of_turns_without_one(spark):
+    from strandframe.llm.chat import rotated
+
+    names = ["ann", "bob", "eve"]
+    rows = [(1, i, "system" if i == 0 else names[i % 3], f"turn {i} " * (i % 4)) for i in range(10_000)] + [(None, 5, "ann", f"n{i}") for i in range(3)] + [(None, 0, "system", "s")]
+    got = rotated(spark.createDataFrame([(*r, 0) for r in rows], "`the conv` long, turn long, role string, text string, `turn no` int").repartition(5), "the conv").collect()
+    long = {r["perspective"]: r for r in got if r["the conv"] == 1}
+    assert sorted(long) == names and sorted(r["text"] for r in got if r["the conv"] is None) == [f"<|im_start|>assistant\nn{i}<|im_end|>\n" for i in range(3)]
+    for name, r in long.items():
+        want, spans = "", []
+        for _, i, who, text in rows[:10_000]:
+            want += "<|im_start|>" + ("system" if who == "system" else "assistant" if who == name else f"user name={who}") + "\n"
+            if who == name:
+                spans.append(f"{len(want)}:{len(want) + len(text) + 10}")
+            want += text + "<|im_end|>\n"
+        assert r["text"] == want and r["mask"] == ",".join(spans) and (r["n_turns"], r["n_own_turns"]) == (10_000, len(spans))
+
+
 def test_pipeline_stages_agree_with_their_operators(spark):
     import corpus_pipeline as P
     from strandframe.llm import decontamination, quality, simhash
