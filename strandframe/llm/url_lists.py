@@ -1,8 +1,9 @@
 """URL filters whose lists change over time: every capture is judged by the entries in force when it was fetched.
 
 The dated additions and removals of a list become intervals of validity. A capture offers the keys it can be listed under:
-its host, every parent domain, every prefix of its path at a slash, and the whole path, all in lower case. An as-of join on key and month, with the exact
-date within, finds the entry of each key in force; the longest key decides.
+its host, every parent domain, every prefix of its path at a slash, and the whole path. Keys are compared in lower case, a
+host without closing dots. Only keys that the list has go on to the as-of join, which is on key, month and part, with the exact
+date within; it finds the entry of each key in force, and the longest key decides.
 """
 
 from __future__ import annotations
@@ -10,10 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import read
+from .support import read, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+#: List keys that are sent to every executor to sieve what captures offer; a longer list is joined by its keys.
+BROADCAST_KEYS = 500_000
+#: Parts that the captures under one key and month are dealt to.
+PARTS = 16
+
+
+def host_of(url: str) -> F.Column:
+    """The host of a URL in lower case, without the dots that close a full name; empty if it has none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), "[.]+$", "")
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -21,10 +31,10 @@ def intervals(events: DataFrame) -> DataFrame:
 
     An entry holds from its day up to the day before the key's next event; valid_to is null while there is none. On one
     day an addition beats a removal, and of several additions the one with the least reason counts. Events with a null
-    key, day or action are left out; keys are compared in lower case.
+    key, day or action are left out; keys are in lower case, without dots that close the host and a closing slash.
     """
     known = events.where("key IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    daily = known.groupBy(F.lower("key").alias("key"), "at").agg(F.min(F.struct("action", "reason")).alias("e"))
+    daily = known.groupBy(F.regexp_replace(F.regexp_replace(F.lower("key"), "/$", ""), "^([^/]*?)[.]+(/|$)", "$1$2").alias("key"), "at").agg(F.min(F.struct("action", "reason")).alias("e"))
     following = F.lead("at").over(Window.partitionBy("key").orderBy("at"))
     return daily.select("key", F.col("e.reason").alias("reason"), F.col("e.action").alias("action"), F.col("at").alias("valid_from"), following.alias("valid_to")).where("action = 'add'").drop("action")
 
@@ -50,24 +60,30 @@ def judged(captures: DataFrame, events: DataFrame, url: str = "url", fetched: st
     fine on either side. Only the columns named are read, so others may have any name.
     """
     rows = captures.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(url).alias("url"), F.col(fetched).alias("fetched_at"))
-    asked = rows.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    asked = asked.withColumn("host", F.lower(F.regexp_extract("url", HOST, 1))).withColumn("path", F.lower(F.regexp_extract("url", PATH, 1))).where("host <> ''")
-    offered = asked.select("url", "fetched_at", _month("fetched_at").alias("month"), F.explode(_keys()).alias("key"))
     latest = captures.agg(F.max(fetched)).first()[0]
     listed = intervals(events).where(F.col("valid_from") <= F.lit(latest))
     until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(latest)), F.lit(latest))
-    listed = listed.withColumn("until", until).withColumn("month", F.explode(F.sequence(_month("valid_from"), _month("until"))))
-    active = offered.join(listed, ["key", "month"]).where("valid_from <= fetched_at AND fetched_at <= until")
+    months = F.sequence(_month("valid_from"), _month("until"))
+    listed = written(listed.withColumn("until", until).withColumn("month", F.explode(months)), "entries")
+    keys = listed.select("key").distinct()
+    asked = rows.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
+    asked = asked.withColumn("host", host_of("url")).withColumn("path", F.lower(F.regexp_extract("url", PATH, 1))).where("host <> ''")
+    offered = asked.select("url", "fetched_at", F.explode(_keys()).alias("key"))
+    # a domain above a third of all captures is rarely listed: what no entry has goes before anything is shuffled by key
+    sieved = offered.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_KEYS else offered
+    sieved = sieved.withColumn("month", _month("fetched_at")).withColumn("part", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(PARTS)).cast("int"))
+    in_parts = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    active = sieved.join(in_parts, ["key", "month", "part"]).where("valid_from <= fetched_at AND fetched_at <= until")
     decided = active.groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "reason", "valid_from", "valid_to")).alias("d"))
     out = rows.join(decided.withColumnRenamed("url", "_url").withColumnRenamed("fetched_at", "_at"), (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
     return out.select(
-        *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "url", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), "fetched_at", F.col("d").isNotNull().alias("blocked"), F.col("d.key").alias("matched_key"), F.col("d.reason").alias("reason"), F.col("d.valid_from").alias("valid_from"), F.col("d.valid_to").alias("valid_to")
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "url", host_of("url").alias("host"), "fetched_at", F.col("d").isNotNull().alias("blocked"), F.col("d.key").alias("matched_key"), F.col("d.reason").alias("reason"), F.col("d.valid_from").alias("valid_from"), F.col("d.valid_to").alias("valid_to")
     )
 
 
 def list_events(pages: DataFrame) -> DataFrame:
     """A dated list for the test tables: three tenths of all hosts, sites by their first folder, and one domain, all by the MD5 of their names."""
-    host = pages.select(F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.regexp_extract(F.regexp_extract("url", PATH, 1), "^/[^/]*", 0).alias("folder"))
+    host = pages.select(host_of("url").alias("host"), F.regexp_extract(F.regexp_extract("url", PATH, 1), "^/[^/]*", 0).alias("folder"))
     hosts = host.select(F.col("host").alias("key")).where("host <> ''").distinct()
     folders = host.where("host <> '' AND folder <> ''").select(F.concat("host", "folder").alias("key")).distinct()
     keys = hosts.select("key", F.lit("host").alias("reason")).union(folders.select("key", F.lit("folder")))
@@ -89,7 +105,7 @@ def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_at,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+         rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 names AS (
@@ -107,12 +123,12 @@ events AS (
   UNION ALL SELECT key, 'add', DATE '2024-01-01' + d + 120, reason || ' again' FROM dated WHERE m = 0
   UNION ALL SELECT 'example.org', 'add', DATE '2024-01-01' + 340, 'domain'),
 daily AS (
-  SELECT lower(key) AS key, day, min(action) AS action, min(reason) FILTER (WHERE action = 'add') AS reason FROM events GROUP BY ALL),
+  SELECT rtrim(lower(key), '/') AS key, day, min(action) AS action, min(reason) FILTER (WHERE action = 'add') AS reason FROM events GROUP BY ALL),
 valid AS (
   SELECT * FROM (SELECT key, action, reason, day AS valid_from, lead(day) OVER (PARTITION BY key ORDER BY day) AS valid_to FROM daily) WHERE action = 'add'),
 hits AS (
   SELECT c.page_id, v.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.key) DESC, v.key DESC) AS r
-  FROM captures c JOIN valid v ON (c.host = v.key OR ends_with(c.host, '.' || v.key) OR starts_with(c.host || c.path, v.key || '/') AND contains(v.key, '/'))
+  FROM captures c JOIN valid v ON (c.host = v.key OR ends_with(c.host, '.' || v.key) OR contains(v.key, '/') AND starts_with(lower(c.host || c.path) || '/', v.key || '/'))
    AND v.valid_from <= c.fetched_at AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to))
 SELECT c.page_id, c.url, c.host, c.fetched_at, h.key IS NOT NULL AS blocked, h.key AS matched_key, h.reason, h.valid_from, h.valid_to
 FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.r = 1

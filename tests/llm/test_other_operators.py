@@ -185,6 +185,39 @@ def test_url_lists(spark):
     assert judged(df.where("false"), events).count() == 0 and judged(df, events.where("false")).where("blocked").count() == 0
 
 
+def test_url_lists_equal_brute_force(spark, monkeypatch):
+    from urllib.parse import urlsplit
+
+    from strandframe.llm import url_lists as U
+
+    rng, day = np.random.default_rng(6), lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(int(n))
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "a.com.", "A.com", "x.org", "com", "w.x.org.."]
+    paths = ["", "/", "/p", "/p/", "/P/q", "/p/q.html", "/p/q.html/r", "/pp", "//p"]
+    events = [(f"{rng.choice(hosts)}{rng.choice(paths)}", str(rng.choice(["add", "remove"])), day(rng.integers(200)), f"r{rng.integers(9)}") for _ in range(60)]
+    captures = [(f"http{'s' * (i % 2)}://{'u:p@' * (i % 3 == 0)}{rng.choice(hosts)}{':80' * (i % 5 == 0)}{rng.choice(paths)}{'?q=/p' * (i % 4 == 0)}", day(rng.integers(220))) for i in range(300)]
+    plain = lambda key: (key.partition("/")[0].rstrip(".") + "".join(key.partition("/")[1:])).lower().removesuffix("/")
+    want = []
+    for url, at in captures:
+        u = urlsplit(url)
+        host, path = u.hostname.rstrip("."), u.path.lower()
+        best = None
+        for key in {plain(k) for k, *_ in events}:
+            h, slash, _ = key.partition("/")
+            under = host == key or host.endswith("." + key) if not slash else (host + path + "/").startswith(key + "/")
+            days = sorted({d for k, _, d, _ in events if plain(k) == key and d <= at})
+            last = [(a, r) for k, a, d, r in events if days and plain(k) == key and d == days[-1]]
+            added = [r for a, r in last if a == "add"]
+            if under and added and (best is None or (len(key), key) > best[:2]):
+                best = (len(key), key, min(added))
+        want.append(best and (best[1], best[2]))
+    for most in (10_000, 0):
+        monkeypatch.setattr(U, "BROADCAST_KEYS", most)
+        df = spark.createDataFrame([(i, *c) for i, c in enumerate(captures)], "n int, url string, fetched_at date").repartition(3)
+        rows = U.judged(df, spark.createDataFrame(events, "key string, action string, at date, reason string"), keep=("n",)).orderBy("n").collect()
+        assert [(r["matched_key"], r["reason"]) if r["blocked"] else None for r in rows] == want
+    assert sum(w is not None for w in want) > 50
+
+
 def test_url_lists_know_whole_paths_in_any_case(spark):
     from pyspark.sql import functions as F
 
