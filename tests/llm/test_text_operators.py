@@ -287,12 +287,15 @@ def test_token_counts_equal_offsets_of_another_library(spark, docs):
 def test_token_shares_add_up(spark):
     from strandframe.llm.token_counts import section_counts
 
-    df = spark.createDataFrame([(1, "hello wonderful world", [(0, 8), (8, 21)]), (2, "abc", [(5, 9), (1, 1)]), (3, "x", None)], "doc_id long, text string, parts array<struct<start: int, end: int>>")
+    df = spark.createDataFrame([(1, "hello wonderful world", [(0, 8), (8, 21)]), (2, "abc", [(5, 9), (1, 1)]), (3, "x", None), (4, "one two", [None, (0, 3), (None, 2), (3, None), (3, 7)])], "doc_id long, text string, parts array<struct<start: int, end: int>>")
     shares = {(r["doc_id"], r["section"]): r for r in section_counts(df, sections="parts", rule="share").collect()}
     whole = section_counts(df.select("doc_id", "text")).where("doc_id = 1").first()["n_tokens"]
     assert shares[1, 0]["n_tokens"] + shares[1, 1]["n_tokens"] == pytest.approx(whole)
     assert shares[1, 0]["n_crossing"] == shares[1, 1]["n_crossing"] == 1
     assert shares[2, 0]["n_tokens"] == shares[2, 1]["n_tokens"] == 0 and (3, 0) not in shares
+    assert [(shares[4, n]["char_start"], shares[4, n]["char_end"], shares[4, n]["n_tokens"]) for n in range(5)] == [(None, None, 0.0), (0, 3, 1.0), (None, None, 0.0), (None, None, 0.0), (3, 7, 1.0)]
+    lines = section_counts(spark.createDataFrame([(1, "a b\n\n\n c d\n")], "doc_id long, text string")).collect()
+    assert sum(r["n_shared"] for r in lines) == pytest.approx(sum(r["n_tokens"] for r in lines))
 
 
 def test_sentencepiece_parity_and_round_trip(spark, docs):
