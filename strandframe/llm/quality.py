@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import read, written
+from .support import read, unused, written
 
 #: Labelled documents that the first models are fitted on; of more, a hash of the id draws so many, give or take a few hundredths.
 LABELLED_ROWS = 20_000
@@ -277,7 +277,9 @@ def fit(features: DataFrame, labels: DataFrame, id: str = "doc_id", label: str =
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select("id", (F.col("lo") > 0).cast("double").alias("y"))
     share = min(1.0, labelled_rows / max(1, known.count()))
     drawn = known.withColumn("h", F.xxhash64("id")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = drawn.join(features, "id").dropDuplicates(["id"]).orderBy("h", "id").collect()
+    # where an id is repeated, the least features are those of the sample, so that the model does not depend on the order of rows
+    one = drawn.join(features, "id").groupBy("h", "id").agg(F.min("y").alias("y"), F.min(F.struct("_text", "_page")).alias("f"))
+    sample = one.select("h", "id", "y", "f.*").orderBy("h", "id").collect()
     y = np.array([r["y"] for r in sample])
     apart = np.array([r["h"] % 5 == 0 for r in sample], bool)
     if len(sample) < 10 or len(set(y[~apart].tolist())) < 2:
@@ -325,18 +327,27 @@ def classified(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 
 
 def kept(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those whose score is below the threshold."""
-    model = fit(written(featured(docs, id, text), "features"), labels, id)
+    """docs without those whose score is below the threshold. The features of each text are made once and written beside it."""
+    names = docs.columns
+    own = [unused(docs, c) for c in FEATURES.names]
+
+    def both(batches):
+        for b in batches:
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in _features_of(b, names, text, META)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*names, *own])
+
+    fields = [T.StructField(n, f.dataType) for n, f in zip(own, FEATURES.fields, strict=True)]
+    held = written(docs.mapInArrow(both, T.StructType([*docs.schema.fields, *fields])), "featured")
+    model = fit(held.select(F.col(id).alias("id"), *[F.col(n).alias(c) for n, c in zip(own, FEATURES.names, strict=True)]), labels, id)
     if model is None:
         return docs
-    names = docs.columns
 
     def kernel(batches):
         for b in batches:
-            x, z = _features_of(b, names, text, META)
-            yield b.filter(pa.array(np.round(model.score(x, z), 6) >= threshold))
+            x, z = _matrix(b.column(len(names)), N_TEXT), _matrix(b.column(len(names) + 1), N_PAGE)
+            yield b.select(names).filter(pa.array(np.round(model.score(x, z), 6) >= threshold))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return held.mapInArrow(kernel, docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
