@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import canonical, kmers, reverse_complement
 
@@ -25,16 +28,88 @@ def sized(index: DataFrame, loci: DataFrame, most: int = BROADCAST_KMERS) -> Dat
     return F.broadcast(index) if 2 * bases <= most else index
 
 
+#: Codes of the bases, and 4 for any other character.
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+#: Bits of the hashed map that is asked before the sorted codes.
+_PROBE_BITS = 24
+
+
+def window_codes(text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """F5 for every window of a byte array: its code of two bits a base, and whether it has bases only. k is 31 at most."""
+    base = _CODES[text]
+    n = len(text) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    code, width = (base & 3).astype(np.int64), 1
+    out, done = np.zeros(n, np.int64), 0
+    rest = k
+    while rest:  # windows of 1, 2, 4 ... bases, put together by the bits of k
+        if rest & 1:
+            out = out << (2 * width) | code[done : done + n]
+            done += width
+        rest >>= 1
+        if rest:
+            code, width = code[:-width] << (2 * width) | code[width:], 2 * width
+    wrong = np.concatenate([[0], np.cumsum(base == 4)])
+    return out, wrong[k:] == wrong[:-k]
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PROBE_BITS)
+
+
+def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int, keys: tuple[str, ...], most: int = BROADCAST_KMERS) -> DataFrame:
+    """Rows (keys, pos, kmer) of the windows of reads (keys, seq) whose k-mer stands in index (kmer, more).
+
+    Where the k-mers of both strands of loci are few enough, their codes go to every executor: whole batches of reads are
+    encoded at once, a hashed map is asked first, sorted codes decide, and only what matches becomes a row. A longer index,
+    or one of over 31 bases, is joined with all windows.
+    """
+    bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if 2 * bases > most or k > 31:
+        return kmers(reads.select(*keys, "seq"), k).select(*keys, "pos", "kmer").join(index.select("kmer").distinct(), "kmer", "left_semi").select(*keys, "pos", "kmer")
+    listed = [r["kmer"].encode() for r in index.select("kmer").distinct().collect()]
+    codes = np.unique(window_codes(np.frombuffer(b"".join(listed), np.uint8), k)[0][::k]) if listed else np.zeros(0, np.int64)
+    shared = reads.sparkSession.sparkContext.broadcast(codes)
+
+    def kernel(batches):
+        known = shared.value
+        probe = np.zeros(1 << _PROBE_BITS, bool)
+        probe[_hashed(known)] = True
+        for batch in batches:
+            column = batch.column(len(keys))
+            if column.null_count:
+                column = column.fill_null("")
+            ends = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            text = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            code, clean = window_codes(text, k)
+            at = np.flatnonzero(clean & probe[_hashed(code)]) if len(known) else np.zeros(0, np.int64)
+            place = np.searchsorted(known, code[at])
+            at = at[known[np.minimum(place, max(0, len(known) - 1))] == code[at]] if len(known) else at
+            row = np.searchsorted(ends, at, "right") - 1
+            within = at + k <= ends[row + 1]
+            at, row = at[within], row[within]
+            found = text[at[:, None] + np.arange(k)].tobytes()
+            windows = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(found)])
+            out = [c.take(pa.array(row)) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(at - ends[row], pa.int32()), windows], names=[*keys, "pos", "kmer"])
+
+    schema = T.StructType([*[reads.schema[c] for c in keys], T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType())])
+    return reads.select(*keys, "seq").mapInArrow(kernel, schema)
+
+
 def hits(reads: DataFrame, loci: DataFrame, k: int, step: int = 1, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """Rows (keys, locus, shared): how many distinct canonical k-mers each read shares with each locus.
 
     With a step, every step-th window is looked up and always the last.
     """
-    probe = reads.select(*keys, "seq", F.length("seq").alias("_n"))
-    own = kmers(probe, k)
+    index = reference_index(loci, k)
+    own = matching_kmers(reads.withColumn("_n", F.length("seq")), index, loci, k, (*keys, "_n"))
     if step > 1:
         own = own.where(f"pos % {step} = 0 OR pos = _n - {k}")
-    return own.join(sized(reference_index(loci, k), loci), "kmer").groupBy(*keys, "locus").agg(F.countDistinct("canonical").alias("shared"))
+    return own.join(sized(index, loci), "kmer").groupBy(*keys, "locus").agg(F.countDistinct("canonical").alias("shared"))
 
 
 def read_counts(found: DataFrame, weight: int = 1) -> DataFrame:
@@ -63,7 +138,8 @@ def sibling_hits(direct: DataFrame, cap: int) -> DataFrame:
 
 def orientation(mates: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     """Rows (fragment, locus, o1, o2): the strands on which each mate has a k-mer of the locus, 0 to 3."""
-    found = kmers(mates.select("fragment", "mate", "seq"), k).join(sized(reference_index(loci, k), loci), "kmer")
+    index = reference_index(loci, k)
+    found = matching_kmers(mates, index, loci, k, ("fragment", "mate")).join(sized(index, loci), "kmer")
     by_mate = lambda m: F.coalesce(F.bit_or(F.when(F.col("mate") == m, F.col("orient"))), F.lit(0))
     return found.groupBy("fragment", "locus").agg(by_mate(1).alias("o1"), by_mate(2).alias("o2"))
 
@@ -80,7 +156,7 @@ def match_spans(reads: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     """
     strands = loci.selectExpr("locus", "1 AS strand", "seq").unionByName(loci.selectExpr("locus", "2 AS strand", f"{reverse_complement('seq')} AS seq"))
     there = kmers(strands, k).withColumnRenamed("pos", "ref_pos")
-    here = kmers(reads.select("read_id", "seq"), k)
+    here = matching_kmers(reads, there, loci, k, ("read_id",))
     seeds = here.join(sized(there, loci), "kmer").select("read_id", "locus", "strand", (F.col("pos") - F.col("ref_pos")).alias("diagonal"), "pos")
     w = Window.partitionBy("read_id", "locus", "strand", "diagonal").orderBy("pos")
     islands = seeds.withColumn("island", F.col("pos") - F.row_number().over(w))
@@ -97,5 +173,5 @@ def unique_votes(reads: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     """Votes for the forward and the other strand by k-mers that occur once in a locus, both its strands together."""
     strands = loci.selectExpr("locus", "1 AS strand", "seq").unionByName(loci.selectExpr("locus", "2 AS strand", f"{reverse_complement('seq')} AS seq"))
     once = kmers(strands, k).groupBy("locus", "kmer").agg(F.count("*").alias("n"), F.min("strand").alias("strand")).where("n = 1")
-    found = kmers(reads.select("read_id", "seq"), k).join(sized(once, loci), "kmer")
+    found = matching_kmers(reads, once, loci, k, ("read_id",)).join(sized(once, loci), "kmer")
     return found.groupBy("read_id", "locus").agg(F.count_if(F.expr("strand = 1")).alias("forward"), F.count_if(F.expr("strand = 2")).alias("reverse"))

@@ -21,7 +21,11 @@ def duck_bases(text: str) -> str:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("source AS sample", "doc_id AS read_id", f"{bases('text')} AS seq").repartition("read_id")
+    """Documents as reads. A table of fewer files than cores is dealt evenly first; larger ones stay as their splits are read."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    dealt = docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return dealt.selectExpr("source AS sample", "doc_id AS read_id", f"{bases('text')} AS seq")
 
 
 def loci(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,12 +196,12 @@ def backbone_table(spark, sf):
 
 
 def contig_table(spark, sf):
-    """Reads recruited to each locus, assembled from its k-mers."""
+    """Reads recruited to each locus, assembled from its k-mers. Only recruited reads are cut into all their k-mers."""
     k = 21
     loci = B.loci(spark, sf)
-    found = R.hits(B.reads(spark, sf), loci, k).select("read_id", "locus")
-    own = found.join(S.kmers(B.reads(spark, sf).select("read_id", "seq"), k).select("read_id", "kmer"), "read_id")
-    depth = own.groupBy("locus", "kmer").agg(F.countDistinct("read_id").alias("depth"))
+    reads = B.reads(spark, sf).select("read_id", "seq")
+    found = G.written(R.hits(reads, loci, k).select("read_id", "locus"))
+    depth = S.kmers(reads.join(found, "read_id"), k).groupBy("locus", "kmer").agg(F.countDistinct("read_id").alias("depth"))
     ref = S.kmers(loci, k).select("locus", "kmer").distinct()
     near = depth.join(ref.withColumn("r", F.lit(1)), ["locus", "kmer"], "left").where("depth >= 2 OR r = 1").select("locus", "kmer", "depth")  # P5
     return G.contigs(near, ref, "locus", k)
@@ -218,8 +218,8 @@ def alignment_scores(spark, sf):
 
 def seed_offsets(spark, sf):
     """The offsets at which a document's k-mers most often meet a locus."""
-    here = S.kmers(B.reads(spark, sf).select("read_id", "seq"), 15)
     there = S.kmers(B.loci(spark, sf), 15).withColumnRenamed("pos", "at")
+    here = R.matching_kmers(B.reads(spark, sf), there, B.loci(spark, sf), 15, ("read_id",))
     return A.best_offsets(here.join(R.sized(there, B.loci(spark, sf)), "kmer").selectExpr("read_id", "locus", "pos - at AS offset"), ["read_id", "locus"], 3)
 
 

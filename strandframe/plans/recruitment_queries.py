@@ -103,14 +103,14 @@ def ownership_breadth(spark, sf):
     index = R.reference_index(B.loci(spark, sf), K)
     single = index.groupBy("canonical").agg(F.countDistinct("locus").alias("n"), F.min("locus").alias("locus")).where("n = 1").select("canonical", "locus")
     keys = index.select("kmer", "canonical").distinct().join(single, "canonical")
-    seen = S.kmers(B.reads(spark, sf).select("seq"), K).join(R.sized(keys, B.loci(spark, sf)), "kmer").select("canonical").distinct().withColumn("seen", F.lit(1))
+    seen = R.matching_kmers(B.reads(spark, sf), keys, B.loci(spark, sf), K, ()).select("kmer").distinct().join(R.sized(keys, B.loci(spark, sf)), "kmer").select("canonical").distinct().withColumn("seen", F.lit(1))
     return single.join(seen, "canonical", "left").groupBy("locus").agg(F.count("*").alias("own"), F.count("seen").alias("covered")).withColumn("breadth", F.round(F.col("covered") / F.col("own"), 6))
 
 
 def scan_only(spark, sf):
     """How many reads hit anything, without the hits."""
     index = R.reference_index(B.loci(spark, sf), K).select("kmer").distinct()
-    found = S.kmers(B.reads(spark, sf).select("sample", "read_id", "seq"), K).join(R.sized(index, B.loci(spark, sf)), "kmer", "left_semi").select("sample", "read_id").distinct()
+    found = R.matching_kmers(B.reads(spark, sf), index, B.loci(spark, sf), K, ("sample", "read_id")).select("sample", "read_id").distinct()
     return found.groupBy("sample").agg(F.count("*").alias("reads"))
 
 

@@ -39,7 +39,7 @@ def mate_links(spark, sf):
     """How many fragments lead from one locus's only k-mers to another's."""
     index = R.reference_index(B.loci(spark, sf), 12)
     single = index.groupBy("kmer").agg(F.countDistinct("locus").alias("n"), F.min("locus").alias("locus")).where("n = 1").select("kmer", "locus")
-    found = S.kmers(B.mates(spark, sf), 12).join(single, "kmer").select("fragment", "mate", "locus").distinct()
+    found = R.matching_kmers(B.mates(spark, sf), single, B.loci(spark, sf), 12, ("fragment", "mate")).join(R.sized(single, B.loci(spark, sf)), "kmer").select("fragment", "mate", "locus").distinct()
     only = found.groupBy("fragment", "mate").agg(F.count("*").alias("n"), F.min("locus").alias("locus")).where("n = 1")
     left = only.where("mate = 1").select("fragment", F.col("locus").alias("from_locus"))
     right = only.where("mate = 2").select("fragment", F.col("locus").alias("to_locus"))
@@ -73,7 +73,7 @@ def pseudoalign(spark, sf):
     index = R.reference_index(B.loci(spark, sf), k).select("kmer", "canonical", "locus")
     own = S.kmers(B.reads(spark, sf).select("read_id", "seq"), k).select("read_id", "kmer")
     n = own.groupBy("read_id").agg(F.countDistinct(F.expr(S.canonical("kmer"))).alias("n"))
-    found = own.join(R.sized(index, B.loci(spark, sf)), "kmer").select("read_id", "canonical", "locus").distinct()
+    found = R.matching_kmers(B.reads(spark, sf), index, B.loci(spark, sf), k, ("read_id",)).join(R.sized(index, B.loci(spark, sf)), "kmer").select("read_id", "canonical", "locus").distinct()
     known = found.groupBy("read_id").agg(F.countDistinct("canonical").alias("known"))
     return found.groupBy("read_id", "locus").agg(F.count("*").alias("hits")).join(known, "read_id").join(n, "read_id").where("known >= 0.05 * n AND hits >= 0.8 * known").select("read_id", "locus", "hits", "known", "n")
 
