@@ -12,6 +12,7 @@ import ctypes
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -27,7 +28,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks whose ids a task keeps; when there are more, it begins anew.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 300_000
 #: Chunks that are encoded in one text.
 JOINT = 200
 #: Threads of the tokenizers library in each worker.
@@ -238,7 +239,7 @@ class Codec:
         self._learn([c for c in seen if c not in self.ids])
         get, lossy = self.ids.__getitem__, self.lossy
         ids = [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
-        like = [len(a) == len(b) and bool((a == np.array(b, np.int32)).all()) for a, b in zip(ids, self.peer.encode(texts, num_threads=THREADS), strict=True)] if self.peer else [True] * len(ids)
+        like = [a.tobytes() == array("i", b).tobytes() for a, b in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)] if self.peer else [True] * len(ids)
         return ids, like, [not lossy or lossy.isdisjoint(s) for s in split]
 
     def _learn(self, chunks: list[str]) -> None:
@@ -253,12 +254,14 @@ class Codec:
             made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             ids = [e.ids for e in made]
             for group, e, got in zip(part, made, ids, strict=True):
-                flat = np.array(got, np.int32)
-                ends = np.searchsorted(np.array([0 if w is None else w for w in e.word_ids]), np.arange(len(group)), "right") if len(group) > 1 else [len(flat)]
+                flat = array("i", got).tobytes()
+                if len(group) == 1:
+                    self.ids[group[0]] = flat
+                    continue
                 begin = 0
-                for chunk, end in zip(group, ends, strict=True):
-                    self.ids[chunk] = flat[begin:end].tobytes()
-                    begin = end
+                for chunk, n in zip(group, np.bincount(e.word_ids, minlength=len(group)).tolist(), strict=True):
+                    self.ids[chunk] = flat[begin : begin + 4 * n]
+                    begin += 4 * n
             for group, text, back in zip(part, texts, self._text(ids), strict=True):
                 if text != back:
                     self.lossy.update(c for c, b in zip(group, self._text([np.frombuffer(self.ids[c], np.int32).tolist() for c in group]), strict=True) if c != b)
