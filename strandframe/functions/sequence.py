@@ -50,8 +50,8 @@ def two_bit(s: str) -> str:
     return f"aggregate(split({s}, ''), 0L, (n, b) -> n * 4 + CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)"
 
 
-def from_two_bit(n: str, k: int) -> str:
-    return f"array_join(transform(sequence({k - 1}, 0, -1), i -> substring('ACGT', cast(shiftright({n}, 2 * i) & 3 AS int) + 1, 1)), '')"
+def from_two_bit(n: str, k: int | str) -> str:
+    return f"array_join(transform(sequence(({k}) - 1, 0, -1), i -> substring('ACGT', cast(shiftright({n}, 2 * i) & 3 AS int) + 1, 1)), '')"
 
 
 def let(value: str, name: str, body: str) -> str:

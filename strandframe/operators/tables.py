@@ -57,19 +57,31 @@ def support(intervals: DataFrame, keys: list[str], length: Column) -> DataFrame:
     return merged.withColumn("_g", F.greatest(gap, tail)).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("supported"), F.max("_g").alias("max_gap"), F.count("*").alias("islands"), F.round(F.sum(F.col("end") - F.col("start")) / F.max("_n"), 6).alias("breadth"))
 
 
-def sorted_values(x: str) -> Column:
-    return F.array_sort(F.collect_list(x))
+def order_statistics(counts: DataFrame, keys: list[str], value: str, wanted: dict[str, str]) -> DataFrame:
+    """For each key of counts (keys, value, c) its number of values _n, and the values at places of the sorted row of them, from 0; wanted gives each place in terms of _n.
 
+    Only distinct values with their counts are sorted, so a key's memory does not grow with its rows.
+    """
+    w = Window.partitionBy(*keys)
+    placed = counts.withColumn("_n", F.sum("c").over(w)).withColumn("_end", F.sum("c").over(w.orderBy(value)))
+    at = [F.max(F.expr(f"CASE WHEN _end - c <= ({place}) AND ({place}) < _end THEN {value} END")).alias(name) for name, place in wanted.items()]
+    return placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *at)
 
-def depth_statistics(rows: DataFrame, keys: list[str], depth: str) -> DataFrame:
-    """Median, quartiles by halves, outlier cap, variation, peak and stability of depths.
 
-    Depths are gathered by key; a locus has as many as it has bases.
-    """
-    held = rows.groupBy(*keys).agg(sorted_values(depth).alias("v"), F.avg(depth).alias("mean"), F.stddev_pop(depth).alias("sd"))
-    held = held.withColumn("median", F.expr(S.middle("v"))).withColumn("q1", F.expr(S.halves_quartile("v", 1))).withColumn("q3", F.expr(S.halves_quartile("v", 3)))
-    held = held.withColumn("upper_median", F.expr(S.upper_median("v"))).withColumn("mad", F.expr(S.middle("array_sort(transform(v, x -> abs(x - median)))")))
-    return held.select(*keys, "median", "q1", "q3", "upper_median", F.expr("q3 + 1.5 * (q3 - q1)").alias("cap"), F.round(F.col("sd") / F.col("mean"), 6).alias("cv"), F.expr("round(array_max(v) / median, 6)").alias("peak"), F.expr("cast(floor(median * 100 / (mad + 1)) AS long)").alias("stability"))
+def depth_statistics(rows: DataFrame, keys: list[str], depth: str) -> DataFrame:
+    """Median, quartiles by halves, outlier cap, variation, peak and stability of depths."""
+    counts = rows.where(F.col(depth).isNotNull()).groupBy(*keys, F.col(depth).alias("_v")).agg(F.count("*").alias("c"))
+    half = "(_n div 2)"
+    places = {"m0": "(_n - 1) div 2", "m1": "_n div 2", "l0": f"({half} - 1) div 2", "l1": f"{half} div 2", "h0": f"_n - {half} + ({half} - 1) div 2", "h1": f"_n - {half} + {half} div 2", "top": "_n - 1"}
+    stats = order_statistics(counts, keys, "_v", places).join(counts.groupBy(*keys).agg((F.sum(F.expr("_v * c")) / F.sum("c")).alias("mean")), keys)
+    alone = "_n = 1"
+    stats = stats.selectExpr(*keys, "mean", "top", "m1 AS upper_median", "(m0 + m1) / 2D AS median", f"CASE WHEN {alone} THEN cast(m0 AS double) ELSE (l0 + l1) / 2D END AS q1", f"CASE WHEN {alone} THEN cast(m0 AS double) ELSE (h0 + h1) / 2D END AS q3")
+    far = counts.join(stats.select(*keys, "median", "mean"), keys)
+    spread = far.groupBy(*keys).agg(F.sqrt(F.sum(F.expr("c * (_v - mean) * (_v - mean)")) / F.sum("c")).alias("sd"))
+    from_median = far.groupBy(*keys, F.expr("abs(_v - median)").alias("_v")).agg(F.sum("c").alias("c"))
+    mad = order_statistics(from_median, keys, "_v", {"d0": "(_n - 1) div 2", "d1": "_n div 2"}).selectExpr(*keys, "(d0 + d1) / 2D AS mad")
+    held = stats.join(spread, keys).join(mad, keys)
+    return held.select(*keys, "median", "q1", "q3", "upper_median", F.expr("q3 + 1.5 * (q3 - q1)").alias("cap"), F.expr("round(sd / mean, 6)").alias("cv"), F.expr("round(top / median, 6)").alias("peak"), F.expr("cast(floor(median * 100 / (mad + 1)) AS long)").alias("stability"))
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

@@ -17,14 +17,6 @@ def genotypes(spark, sf):
     return B.view(spark, sf, "lineitem").sql(f"SELECT * FROM {B.GENOTYPES}")
 
 
-def short(spark, sf):
-    """The first 60 bases of every locus."""
-    return B.loci(spark, sf).selectExpr("locus", "substring(seq, 1, 60) AS seq")
-
-
-SHORT = f"(SELECT locus, substr(seq, 1, 60) AS seq FROM {B.LOCI})"
-
-
 def masked_genotypes(spark, sf):
     return V.masked_genotypes(genotypes(spark, sf)).groupBy("gt").agg(F.count("*").alias("n"))
 
@@ -50,13 +42,13 @@ def variant_counts(spark, sf):
 
 def alignments(spark, sf):
     """Loci as references, their shifted copies as aligned reads with one insertion or deletion."""
-    li = B.table(spark, sf, "lineitem").where("l_quantity <= 30").selectExpr("l_orderkey AS qname", "l_linenumber AS n", "l_partkey % 20 AS ref", "cast(l_suppkey % 50 + 1 AS int) AS pos", "l_partkey AS p", "cast(l_quantity AS int) AS q")
+    li = B.table(spark, sf, "lineitem").selectExpr("l_orderkey AS qname", "l_linenumber AS n", "l_partkey % 20 AS ref", "cast(l_suppkey % 50 + 1 AS int) AS pos", "l_partkey AS p", "cast(l_quantity AS int) AS q")
     cigar = "CASE WHEN q % 3 = 0 THEN concat(q + 5, 'M') WHEN q % 3 = 1 THEN concat(q, 'M2I5M') ELSE concat('3S', q, 'M4D', 5, 'M') END"
     return li.selectExpr("qname", "cast(CASE WHEN q = 7 THEN 256 ELSE 0 END AS int) AS flag", "ref", "pos", f"{cigar} AS cigar", "substring(repeat(translate(md5(cast(p % 7 AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3), 1, 60) AS seq")
 
 
 ALIGNED = """(SELECT *, CASE WHEN q % 3 = 0 THEN (q + 5) || 'M' WHEN q % 3 = 1 THEN q || 'M2I5M' ELSE '3S' || q || 'M4D5M' END AS cigar FROM (SELECT l_orderkey AS qname, CAST(CASE WHEN CAST(l_quantity AS INT) = 7 THEN 256 ELSE 0 END AS INT) AS flag, l_partkey % 20 AS ref, CAST(l_suppkey % 50 + 1 AS INT) AS pos, CAST(l_quantity AS INT) AS q,
-  substr(repeat(translate(md5(CAST(l_partkey % 7 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3), 1, 60) AS seq FROM lineitem WHERE l_quantity <= 30) WHERE flag & 2308 = 0)"""
+  substr(repeat(translate(md5(CAST(l_partkey % 7 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3), 1, 60) AS seq FROM lineitem) WHERE flag & 2308 = 0)"""
 #: DuckDB: the aligned places by kind of read, one union branch for each operation.
 PLACES = f"""al AS (SELECT * FROM {ALIGNED}), pl AS (
   SELECT ref, pos + i AS pos, substr(seq, CAST(1 + i + CASE WHEN q % 3 = 2 THEN 3 ELSE 0 END AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(0, CASE WHEN q % 3 = 0 THEN q + 5 ELSE q END)) AS i FROM al)
@@ -121,11 +113,15 @@ def concatenation(spark, sf):
 
 
 def sequence_functions(spark, sf):
-    """F1, F3, F5, F10, F14, F16, F17, F21, F32, F33, F35 over the loci."""
-    s = short(spark, sf)
+    """F1, F3, F5, F7, F10, F14, F16, F17, F18, F21, F22, F32, F33, F35 over the loci; codes are of tiles of 20 bases, the most of a number."""
+    s = B.loci(spark, sf).where("seq <> ''")
+    tile = "substring(seq, p, 20)"
+    tiles = lambda body: f"transform(sequence(1, length(seq), 20), p -> {body})"
+    gapped = f"concat(left({S.protein('seq')}, 3), '-', substring({S.protein('seq')}, 4))"
     return s.selectExpr(
-        "locus", f"{S.reverse_complement('seq')} AS rc", f"{S.canonical('seq')} AS canonical", f"{S.two_bit('left(seq, 20)')} AS code", f"{S.from_two_bit(S.two_bit('left(seq, 20)'), 20)} AS decoded", f"array_join({S.bottom_sketch('seq', 15, 4)}, ',') AS sketch", f"{S.canonical_motif('left(seq, 9)')} AS motif",
-        f"round({S.pair_entropy('seq')}, 6) AS entropy", f"round({S.inverted_repeat_identity('seq')}, 6) AS inverted", f"{S.protein('seq')} AS protein", "sha2(seq, 256) AS sha", f"{S.circular_slice('left(seq, 10)', '-3', '8')} AS circular", f"{S.short_number('length(seq) / 7')} AS number", f"{S.central_slice('seq', '11')} AS central",
+        "locus", f"{S.reverse_complement('seq')} AS rc", f"{S.canonical('seq')} AS canonical", f"array_join({tiles(f'cast({S.two_bit(tile)} AS string)')}, ',') AS code", f"array_join({tiles(S.let(S.two_bit(tile), 'n', S.from_two_bit('n', 'least(20, length(seq) - p + 1)')))}, '') AS decoded",
+        f"array_join({S.bottom_sketch('seq', 15, 4)}, ',') AS sketch", f"{S.canonical_motif('seq')} AS motif", f"round({S.pair_entropy('seq')}, 6) AS entropy", f"round({S.inverted_repeat_identity('seq')}, 6) AS inverted", f"round({S.diagonal('seq', S.reverse_complement('seq'), '7')}, 6) AS diagonal",
+        f"{S.protein('seq')} AS protein", f"{S.back_translated(gapped, 'seq')} AS codons", "sha2(seq, 256) AS sha", f"{S.circular_slice('seq', '-3', '8')} AS circular", f"{S.short_number('length(seq) / 7')} AS number", f"{S.central_slice('seq', '11')} AS central",
     )
 
 
@@ -142,7 +138,7 @@ def motif_periods(spark, sf):
 
 def sketch_pairs(spark, sf):
     """Pairs of loci by the Jaccard index of their minimizers."""
-    sk = short(spark, sf).selectExpr("locus", f"{S.minimizers('seq', 7, 5)} AS m")
+    sk = B.loci(spark, sf).selectExpr("locus", f"{S.minimizers('seq', 7, 5)} AS m")
     a, b = sk.toDF("a", "x"), sk.toDF("b", "y")
     keys = lambda d, i, c: d.select(i, F.explode(c).alias("k"))
     near = keys(a, "a", "x").join(keys(b, "b", "y"), "k").where("a < b").select("a", "b").distinct()
@@ -175,7 +171,7 @@ def unitig_table(spark, sf):
 
 def component_table(spark, sf):
     """Orders linked to one of the next two, as components."""
-    e = B.table(spark, sf, "lineitem").where("l_partkey % 9 = 0").selectExpr("l_orderkey AS a", "l_orderkey + 1 + l_suppkey % 2 AS b").distinct()
+    e = B.table(spark, sf, "lineitem").selectExpr("l_orderkey AS a", "l_orderkey + 1 + l_suppkey % 2 AS b").distinct()
     return G.components(e)
 
 
@@ -207,15 +203,29 @@ def contig_table(spark, sf):
     return G.contigs(near, ref, "locus", k)
 
 
+def locus_pairs(spark, sf):
+    """Ordered pairs of loci that share a window of 9 bases, whole."""
+    s = B.loci(spark, sf)
+    own = S.kmers(s, 9).select("locus", "kmer").distinct()
+    near = own.join(own.withColumnRenamed("locus", "other"), "kmer").where("locus <> other").select("locus", "other").distinct()
+    return near.join(s.withColumnRenamed("seq", "a_seq"), "locus").join(s.selectExpr("locus AS other", "seq AS b_seq"), "other")
+
+
 def alignment_scores(spark, sf):
-    """Each locus against the next ones."""
-    s = short(spark, sf)
-    pairs = s.toDF("a", "a_seq").join(s.selectExpr("locus AS b", "seq AS b_seq", "explode(array(locus - 1, locus - 2)) AS a").where("a >= 0"), "a")
+    """Every two loci that share a window of 9 bases."""
+    pairs = locus_pairs(spark, sf).where("locus < other").selectExpr("locus AS a", "other AS b", "a_seq", "b_seq").repartition(spark.sparkContext.defaultParallelism)
     out = A.scored_pairs(pairs, "local").withColumnRenamed("score", "local_score")
     out = A.scored_pairs(out, "family").withColumnRenamed("score", "family_score")
     return A.scored_pairs(out, "banded").withColumnRenamed("score", "banded_score").drop("a_seq", "b_seq")
 
 
+def best_foreign(spark, sf):
+    """Each locus's score against itself and the best against another locus, ties to the smallest; null where no other shares a window of 9 bases."""
+    pairs = locus_pairs(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    best = A.scored_pairs(pairs, "local").groupBy("locus").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("b")).select("locus", (-F.col("b.o")).alias("foreign_locus"), F.col("b.score").alias("foreign_score"))
+    return B.loci(spark, sf).selectExpr("locus", "cast(2 * length(seq) AS long) AS own_score").join(best, "locus", "left")
+
+
 def seed_offsets(spark, sf):
     """The offsets at which a document's k-mers most often meet a locus."""
     there = S.kmers(B.loci(spark, sf), 15).withColumnRenamed("pos", "at")
@@ -281,17 +291,18 @@ QUERIES = {
         c AS (SELECT locus, a, b, count(*) FILTER (WHERE substr(s, i, 1) NOT IN ('-', 'N') AND substr(t, i, 1) NOT IN ('-', 'N')) AS n, count(*) FILTER (WHERE substr(s, i, 1) NOT IN ('-', 'N') AND substr(s, i, 1) = substr(t, i, 1)) AS same FROM p GROUP BY ALL) SELECT *, CASE WHEN n >= 7 THEN round(same / n, 6) END AS identity FROM c"""),
     "concatenation": (concatenation, """WITH l AS (SELECT l_suppkey % 25 AS sample, l_partkey % 12 AS locus, substr(translate(md5(CAST(min(l_orderkey) AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5 + l_partkey % 12) AS seq FROM lineitem WHERE l_suppkey % 3 <> l_partkey % 3 GROUP BY 1, 2, l_partkey % 12)
         SELECT n_nationkey AS sample, string_agg(coalesce(seq, repeat('-', 5 + w.range)), '' ORDER BY w.range) AS seq FROM nation CROSS JOIN range(12) w LEFT JOIN l ON l.sample = n_nationkey AND l.locus = w.range GROUP BY 1"""),
-    "sequence_functions": (sequence_functions, f"""WITH s AS (SELECT locus, seq, {RC.format('seq')} AS rc FROM {SHORT}) SELECT locus, rc, least(seq, rc) AS canonical, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(left(seq, 20), ''), lambda b: CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)), lambda n, b: n * 4 + b) AS BIGINT) AS code, left(seq, 20) AS decoded,
-        array_to_string(list_sort(list_distinct(list_transform(range(1, 47), lambda i: least(substr(seq, i, 15), reverse(translate(substr(seq, i, 15), 'ACGT', 'TGCA'))))))[1:4], ',') AS sketch,
-        least(list_min(list_transform(range(1, 10), lambda i: substr(seq, i, 10 - i) || substr(seq, 1, i - 1))), list_min(list_transform(range(1, 10), lambda i: substr({RC.format('left(seq, 9)')}, i, 10 - i) || substr({RC.format('left(seq, 9)')}, 1, i - 1)))) AS motif,
-        round((SELECT -sum(n / 59.0::DOUBLE * log2(n / 59.0::DOUBLE)) FROM (SELECT count(*) AS n FROM (SELECT unnest(list_transform(range(1, 60), lambda i: substr(seq, i, 2))) AS p) GROUP BY p)), 6) AS entropy,
-        round(len(list_filter(range(1, 61), lambda i: substr(seq, i, 1) = substr(rc, i, 1))) / 60, 6) AS inverted, array_to_string(list_transform(range(1, 59, 3), lambda i: {PROTEIN.replace('CASE c', 'CASE substr(seq, i, 3)')}), '') AS protein, sha256(seq) AS sha, substr(seq, 8, 3) || left(seq, 5) AS circular,
-        rtrim(rtrim(printf('%.3f', length(seq) / 7), '0'), '.') AS number, substr(seq, 25, 11) AS central FROM s"""),
+    "sequence_functions": (sequence_functions, f"""WITH s AS (SELECT locus, seq, length(seq) AS n, {RC.format('seq')} AS rc FROM {B.LOCI} WHERE seq <> ''), p AS (SELECT *, array_to_string(list_transform(range(1, n - 1, 3), lambda i: {PROTEIN.replace('CASE c', 'CASE substr(seq, i, 3)')}), '') AS protein FROM s)
+        SELECT locus, rc, least(seq, rc) AS canonical, array_to_string(list_transform(range(1, n + 1, 20), lambda p: CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(seq, p, 20), ''), lambda b: CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)), lambda x, b: x * 4 + b) AS BIGINT)), ',') AS code, seq AS decoded,
+        array_to_string(list_sort(list_distinct(list_transform(range(1, n - 13), lambda i: least(substr(seq, i, 15), reverse(translate(substr(seq, i, 15), 'ACGT', 'TGCA'))))))[1:4], ',') AS sketch,
+        least(list_min(list_transform(range(1, n + 1), lambda i: substr(seq, i) || substr(seq, 1, i - 1))), list_min(list_transform(range(1, n + 1), lambda i: substr(rc, i) || substr(rc, 1, i - 1)))) AS motif,
+        round((SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER ()::DOUBLE AS t FROM (SELECT unnest(list_transform(range(1, n), lambda i: substr(seq, i, 2))) AS p) GROUP BY p)), 6) AS entropy,
+        round(len(list_filter(range(1, n + 1), lambda i: substr(seq, i, 1) = substr(rc, i, 1))) / n, 6) AS inverted, round(len(list_filter(range(1, n - 6), lambda i: substr(seq, i + 7, 1) = substr(rc, i, 1))) / (n - 7), 6) AS diagonal,
+        protein, left(seq, 9) || '---' || substr(seq, 10, 3 * (n // 3) - 9) AS codons, sha256(seq) AS sha, right(seq, 3) || left(seq, 5) AS circular, rtrim(rtrim(printf('%.3f', n / 7), '0'), '.') AS number, substr(seq, (n - 11) // 2 + 1, 11) AS central FROM p"""),
     "text_functions": (text_functions, """WITH p AS (SELECT p_partkey, p_name, translate(substr(md5(p_name), 1, 8), '0123456789abcdef', 'ACGTACGTNNNNACGT') || CASE WHEN p_partkey % 2 = 0 THEN 'NNN-N' ELSE '' END || translate(substr(md5(p_name), 9, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM part)
         SELECT p_partkey, CASE WHEN contains(s, 'NNN') THEN split_part(s, 'NNN', 1) ELSE s END AS left_arm, CASE WHEN contains(s, 'NNN') THEN ltrim(substr(s, instr(s, 'NNN') + 3), 'N-') ELSE '' END AS right_arm, array_to_string(list_filter(regexp_split_to_array(s, '[^ACGT]+'), lambda x: x <> ''), ',') AS runs,
         CASE WHEN starts_with(s, 'A') AND regexp_full_match(substr(s, 2), '[ACGT]+') AND length(s) - 1 >= 5 THEN substr(s, 2) END AS trimmed, regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g') AS safe, 'r' || p_partkey AS read_name FROM p"""),
     "motif_periods": (motif_periods, """WITH p AS (SELECT p_partkey, repeat(translate(substr(md5(p_name), 1, CAST(p_partkey % 5 + 2 AS BIGINT)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 4) || 'A' AS s FROM part) SELECT p_partkey, CAST(list_filter(range(1, length(s) // 2 + 1), lambda p: len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) = substr(s, (i - 1) % p + 1, 1))) >= 0.85 * length(s))[1] AS INTEGER) AS period FROM p"""),
-    "sketch_pairs": (sketch_pairs, f"""WITH c AS (SELECT locus, pos, least(kmer, {RC.format('kmer')}) AS c FROM (SELECT locus, pos, substr(seq, CAST(pos + 1 AS BIGINT), 7) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 6)) AS pos FROM {SHORT}))),
+    "sketch_pairs": (sketch_pairs, f"""WITH c AS (SELECT locus, pos, least(kmer, {RC.format('kmer')}) AS c FROM (SELECT locus, pos, substr(seq, CAST(pos + 1 AS BIGINT), 7) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 6)) AS pos FROM {B.LOCI}))),
         m AS (SELECT DISTINCT locus, m FROM (SELECT locus, pos, min(c) OVER (PARTITION BY locus ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m, count(*) OVER (PARTITION BY locus) AS n FROM c) WHERE pos <= greatest(0, n - 5)), n AS (SELECT locus, count(*) AS n FROM m GROUP BY locus)
         SELECT x.locus AS a, y.locus AS b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM m x JOIN m y ON x.m = y.m AND x.locus < y.locus JOIN n p ON p.locus = x.locus JOIN n q ON q.locus = y.locus GROUP BY 1, 2"""),
     "edit_pairs": (edit_pairs, "WITH s AS (SELECT s_nationkey AS g, s_suppkey AS id, left(md5(CAST(s_suppkey AS VARCHAR)), 6) AS t FROM supplier) SELECT x.g, x.id AS a, y.id AS b, CAST(levenshtein(x.t, y.t) AS INTEGER) AS d FROM s x JOIN s y ON x.g = y.g AND x.id < y.id WHERE levenshtein(x.t, y.t) <= 4"),
@@ -299,12 +310,12 @@ QUERIES = {
     "branching": (branching, f"""WITH k AS (SELECT DISTINCT locus, substr(seq, CAST(pos + 1 AS BIGINT), 11) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 10)) AS pos FROM {B.LOCI})), d AS (SELECT kmer, count(*) AS depth FROM (SELECT locus, kmer FROM k UNION SELECT locus, {RC.format('kmer')} FROM k) GROUP BY kmer),
         e AS (SELECT x.kmer AS a, y.kmer AS b, x.depth AS depth_a, y.depth AS depth_b, count(*) OVER (PARTITION BY x.kmer) AS n FROM d x JOIN d y ON right(x.kmer, 10) = left(y.kmer, 10)) SELECT a, b, depth_a, depth_b FROM e WHERE n > 1"""),
     "unitig_table": (unitig_table, None),
-    "component_table": (component_table, """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 + l_suppkey % 2 AS b FROM lineitem WHERE l_partkey % 9 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM u),
-        r(node, reach) AS (SELECT node, node FROM n UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS root FROM r GROUP BY node"""),
+    "component_table": (component_table, None),  # recursive SQL over whole chains of orders is too slow
     "bridge_table": (bridge_table, None),
     "backbone_table": (backbone_table, None),
     "contig_table": (contig_table, None),
     "alignment_scores": (alignment_scores, None),
+    "best_foreign": (best_foreign, None),
     "seed_offsets": (seed_offsets, f"""WITH k AS (SELECT read_id, pos, substr(seq, CAST(pos + 1 AS BIGINT), 15) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 14)) AS pos FROM {B.READS})), l AS (SELECT locus, pos AS at, substr(seq, CAST(pos + 1 AS BIGINT), 15) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 14)) AS pos FROM {B.LOCI})),
         o AS (SELECT read_id, locus, k.pos - l.at AS off, count(*) AS seeds FROM k JOIN l USING (kmer) GROUP BY ALL) SELECT read_id, locus, off AS "offset", seeds, rank FROM (SELECT *, row_number() OVER (PARTITION BY read_id, locus ORDER BY seeds DESC, off) AS rank FROM o) WHERE rank <= 3"""),
     "merged_hsps": (merged_hsps, """WITH h AS (SELECT l_partkey % 100 AS query, l_suppkey % 10 AS subject, CAST(l_quantity * 10 AS BIGINT) AS x, CAST(l_quantity * 10 + l_linenumber * 7 - 20 AS BIGINT) AS y FROM lineitem), p AS (SELECT DISTINCT query, subject, unnest(range(least(x, y), greatest(x, y) + 1)) AS i FROM h),

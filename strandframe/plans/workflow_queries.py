@@ -48,7 +48,7 @@ def mate_links(spark, sf):
 
 def path_completeness(spark, sf):
     """Which sources have all, some or none of the nodes of each path."""
-    nodes = B.table(spark, sf, "part").selectExpr("p_partkey % 60 AS path", "p_partkey AS node").where("p_partkey % 7 = 0")
+    nodes = B.table(spark, sf, "part").selectExpr("p_partkey % 60 AS path", "p_partkey AS node")
     have = B.table(spark, sf, "lineitem").selectExpr("l_suppkey % 20 AS sample", "l_partkey AS node").distinct()
     n = nodes.groupBy("path").agg(F.count("*").alias("nodes"))
     seen = nodes.join(have, "node").groupBy("path", "sample").agg(F.count("*").alias("seen"))
@@ -124,7 +124,7 @@ QUERIES = {
     "unique_edges": (unique_edges, f"WITH k AS (SELECT DISTINCT kmer FROM {_k(B.LOCI, 'locus', 13)}), e AS (SELECT x.kmer AS a, y.kmer AS b FROM k x JOIN k y ON right(x.kmer, 12) = left(y.kmer, 12)) SELECT a, b FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM e) WHERE n = 1 AND m = 1"),
     "mate_links": (mate_links, f"""WITH i AS (SELECT kmer, min(locus) AS locus FROM (SELECT locus, kmer FROM {_k(B.LOCI, 'locus', 12)} UNION SELECT locus, {RC.format('kmer')} FROM {_k(B.LOCI, 'locus', 12)}) GROUP BY kmer HAVING count(DISTINCT locus) = 1),
         o AS (SELECT fragment, mate, min(locus) AS locus FROM {_k(B.MATES, 'fragment, mate', 12)} JOIN i USING (kmer) GROUP BY fragment, mate HAVING count(DISTINCT locus) = 1) SELECT x.locus AS from_locus, y.locus AS to_locus, count(*) AS fragments FROM o x JOIN o y USING (fragment) WHERE x.mate = 1 AND y.mate = 2 AND x.locus <> y.locus GROUP BY ALL"""),
-    "path_completeness": (path_completeness, "WITH n AS (SELECT p_partkey % 60 AS path, p_partkey AS node, count(*) OVER (PARTITION BY p_partkey % 60) AS nodes FROM part WHERE p_partkey % 7 = 0) SELECT path, l_suppkey % 20 AS sample, count(DISTINCT node) AS seen, any_value(nodes) AS nodes, CASE WHEN count(DISTINCT node) = any_value(nodes) THEN 'complete' ELSE 'partial' END AS state FROM n JOIN lineitem ON l_partkey = node GROUP BY 1, 2"),
+    "path_completeness": (path_completeness, "WITH n AS (SELECT p_partkey % 60 AS path, p_partkey AS node, count(*) OVER (PARTITION BY p_partkey % 60) AS nodes FROM part) SELECT path, l_suppkey % 20 AS sample, count(DISTINCT node) AS seen, any_value(nodes) AS nodes, CASE WHEN count(DISTINCT node) = any_value(nodes) THEN 'complete' ELSE 'partial' END AS state FROM n JOIN lineitem ON l_partkey = node GROUP BY 1, 2"),
     "tiles": (tiles, f"SELECT locus, CAST(start // 30 AS INTEGER) AS tile, CAST(start AS INTEGER) AS start, substr(seq || seq || seq, CAST(start + 1 AS BIGINT), least(60, length(seq))) AS bait FROM (SELECT *, unnest(range(0, length(seq), 30)) AS start FROM {B.LOCI})"),
     "first_contigs": (first_contigs, "SELECT source, lang, min(doc_id) AS first, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL"),
     "pseudoalign": (pseudoalign, f"""WITH r AS (SELECT DISTINCT read_id, least(kmer, {RC.format('kmer')}) AS c FROM {_k(B.READS, 'read_id', 15)}), i AS (SELECT DISTINCT locus, least(kmer, {RC.format('kmer')}) AS c FROM {_k(B.LOCI, 'locus', 15)}), n AS (SELECT read_id, count(*) AS n, count(*) FILTER (WHERE c IN (SELECT c FROM i)) AS known FROM r GROUP BY read_id)
