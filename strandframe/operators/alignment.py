@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import written
 from .tables import merged_intervals
 
 
@@ -91,22 +92,45 @@ def merged_hsps(hsps: DataFrame) -> DataFrame:
     return one.groupBy("query", "subject").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.max(F.col("end") - F.col("start")).alias("longest"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
-def abundance(classes: DataFrame, rounds: int = 64) -> dict[str, float]:
-    """Shares of targets by expectation and maximisation over equivalence classes (targets array, n).
+#: Members of equivalence classes, all told, that one task works through; more are worked out by grouped sums.
+CLASS_MEMBERS = 2_000_000
 
-    The classes are grouped in Spark before; how many there are depends on the targets, not the reads.
+
+def abundance(classes: DataFrame, rounds: int = 64, most: int = CLASS_MEMBERS) -> DataFrame:
+    """Rows (target, share) by expectation and maximisation over equivalence classes (targets array, n), from equal shares.
+
+    Where the classes have few members in all, which is counted first, one task goes through all rounds; else every round
+    is two grouped sums, written at every eighth.
     """
-    rows = [(tuple(r["targets"]), r["n"]) for r in classes.toLocalIterator()]
-    names = sorted({t for ts, _ in rows for t in ts})
-    share = dict.fromkeys(names, 1 / max(1, len(names)))
-    total = sum(n for _, n in rows)
-    for _ in range(rounds):
-        new = dict.fromkeys(names, 0.0)
-        for ts, n in rows:
-            z = sum(share[t] for t in ts)
-            for t in ts:
-                new[t] += n * share[t] / z if z else n / len(ts)
-        share = {t: v / total for t, v in new.items()}
+    classes = classes.where("size(targets) > 0 AND n > 0").select(F.array_distinct("targets").alias("targets"), F.col("n").cast("double").alias("n"))
+    members, total = classes.agg(F.sum(F.size("targets")), F.sum("n")).first()
+    kind = classes.schema["targets"].dataType.elementType
+    schema = f"target {kind.simpleString()}, share double"
+    if not members:
+        return classes.sparkSession.createDataFrame([], schema)
+    if members <= most:
+
+        def run(batches):
+            held = pd.concat(list(batches))
+            place = np.repeat(np.arange(len(held)), held["targets"].map(len))
+            names, of = np.unique(np.concatenate(held["targets"].to_list()), return_inverse=True)
+            n, share = held["n"].to_numpy(), np.full(len(names), 1 / len(names))
+            for _ in range(rounds):
+                z = np.bincount(place, share[of], len(held))
+                part = np.where(z[place] > 0, n[place] * share[of] / np.where(z > 0, z, 1)[place], 0)
+                share = np.bincount(of, part, len(names)) / total
+            yield pd.DataFrame({"target": names, "share": share})
+
+        return classes.coalesce(1).mapInPandas(run, schema)
+    rows = written(classes.withColumn("c", F.monotonically_increasing_id()).select("c", "n", F.explode("targets").alias("target")))
+    share = rows.select("target").distinct()
+    share = share.withColumn("share", F.lit(1.0 / share.count()))
+    for r in range(rounds):
+        held = rows.join(share, "target")
+        z = held.groupBy("c").agg(F.sum("share").alias("z"))
+        share = held.join(z, "c").groupBy("target").agg(F.sum(F.expr("CASE WHEN z > 0 THEN n * share / z ELSE 0D END")).alias("s")).select("target", (F.col("s") / total).alias("share"))
+        if r % 8 == 7:
+            share = written(share)
     return share
 
 

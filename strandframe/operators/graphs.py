@@ -14,9 +14,11 @@ from ..functions import sequence as S
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table under spark.checkpoint.dir, read again, so that the rounds of an iteration don't pile up; cached plainly where that is unset."""
+    """df as a table under spark.checkpoint.dir, read again, so that the rounds of an iteration don't pile up; cached plainly in local mode where that is unset."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return df.cache()
     path = f"{folder}/strandframe/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -186,49 +188,124 @@ def backbones(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.groupBy(key).cogroup(_fresh(edges).groupBy(key)).applyInPandas(kernel, types)
 
 
-def walk(depth: dict[str, int], reference: dict[str, int], seed: str, lookahead: int = 24, limit: int = 4096) -> str:
-    """The sequence found from a seed on by taking at every branch the heavier continuation, looked ahead some steps; reference k-mers count double. No k-mer is used twice."""
-    used = {seed}
-    weight = lambda x: depth[x] + reference.get(x, 0) * depth[x]
-
-    def gain(x: str, seen: set[str], steps: int) -> int:
-        total, seen = 0, set(seen)
-        while steps and x in depth and x not in seen:
-            total += weight(x)
-            seen.add(x)
-            nxt = [y for b in "ACGT" if (y := x[1:] + b) in depth and y not in seen]
-            if not nxt:
-                break
-            x, steps = max(nxt, key=lambda y: (weight(y), y)), steps - 1
-        return total
-
-    out, x = seed, seed
-    for _ in range(limit):
-        nxt = [y for b in "ACGT" if (y := x[1:] + b) in depth and y not in used]
-        if not nxt:
-            return out
-        x = nxt[0] if len(nxt) == 1 else max(nxt, key=lambda y: (gain(y, used, lookahead), weight(y), y))
-        used.add(x)
-        out += x[-1]
+#: Steps of one walk, as the default of a parameter; a walk that uses them all is reported as truncated.
+WALK_STEPS = 8192
+
+
+class WalkGraph:
+    """A locus's k-mers by depth, what the reference says of them, and pairs that pass an edge.
+
+    reference: for a k-mer (weight, position), positions in thousandths of the reference as it is walked; pairs: for an
+    edge (a, b) the number of fragments that pass it.
+    """
+
+    def __init__(self, depth: dict[str, int], reference: dict[str, tuple[int, int]] | None = None, pairs: dict[tuple[str, str], int] | None = None):
+        self.depth, self.reference, self.pairs = depth, reference or {}, pairs or {}
+
+    def continuations(self, x: str, closed: set[str]) -> list[tuple[int, str]]:
+        """The k-mers after x that are not closed, as (weight, k-mer), the best first.
+
+        A weight is the depth and the reference's weight. At a branch two fragments or more on the edge add 6 each, up to
+        four; a step to the neighbouring place in the reference adds 8, and one that leaps within it takes 8; depth beyond
+        four times that of x, and beyond 8, counts half where the reference lacks the k-mer. Ties go to what the reference
+        has, then to the least k-mer.
+        """
+        found = [y for b in "ACGT" if (y := x[1:] + b) in self.depth and y not in closed]
+        rows = []
+        own_weight, own_place = self.reference.get(x, (0, 0))
+        for y in found:
+            weight, place = self.reference.get(y, (0, 0))
+            total = self.depth[y] + weight
+            if len(found) > 1:
+                pairs = self.pairs.get((x, y), 0)
+                total += 6 * min(pairs, 4) if pairs >= 2 else 0
+                if 0 < own_place < 1000 and 0 < place < 1000:
+                    if abs(place - own_place) <= 2:
+                        total += 8
+                    elif own_weight > 0 and weight > 0:
+                        total -= 8
+                peak = max(4 * max(self.depth[x], 2), 8)
+                if weight == 0 and self.depth[y] > peak:
+                    total -= (self.depth[y] - peak) // 2
+            rows.append((-total, place <= 0, y))
+        return [(-t, y) for t, _, y in sorted(rows)]
+
+    def walk(self, seed: str, lookahead: int = 24, limit: int = WALK_STEPS) -> tuple[str, set[str], bool]:
+        """What follows a seed, the k-mers used, and whether the limit cut it short.
+
+        At a branch every way is followed some steps, always to its best continuation; the longest of these wins, then the
+        heaviest, then the one of the best begin. The beginnings of the others are closed to the rest of the walk.
+        """
+        used, lost, out, x = {seed}, set(), [], seed
+        for _ in range(limit):
+            nodes = self.continuations(x, used | lost) if lost else self.continuations(x, used)
+            if not nodes:
+                return "".join(out), used, False
+            chosen = nodes[0][1]
+            if len(nodes) > 1:
+                best = None
+                for weight, y in nodes:
+                    seen, total, steps, here, first = set(used), 0, 0, y, weight
+                    while steps < lookahead and here not in seen:
+                        seen.add(here)
+                        total, steps = total + weight, steps + 1
+                        following = self.continuations(here, seen | lost)
+                        if not following:
+                            break
+                        weight, here = following[0]
+                    if best is None or (steps, total, first) > best[0]:
+                        best = ((steps, total, first), y)
+                chosen = best[1]
+                lost |= {y for _, y in nodes if y != chosen}
+            used.add(chosen)
+            out.append(chosen[-1])
+            x = chosen
+        return "".join(out), used, bool(self.continuations(x, used | lost))
+
+
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def other_strand(x: str) -> str:
+    return x.translate(_COMPLEMENT)[::-1]
+
+
+def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24, limit: int = WALK_STEPS) -> list[tuple[str, int, bool]]:
+    """Contigs (sequence, weight, truncated) of a locus, from its k-mers and those of its reference in order.
+
+    The heaviest reference k-mer that has reads is walked both ways; the seeds that its contig uses are done, on either
+    strand, and the next one begins, until half of the seeds are used up.
+    """
+    graph_depth = dict(depth)
+    for x, d in depth.items():  # both strands of every k-mer, counted once where both are there already
+        graph_depth.setdefault(other_strand(x), d)
+    place = {x: (1, max(1, min(999, 1000 * (i + 1) // len(reference)))) for i, x in reversed(list(enumerate(reference)))}
+    turned = {other_strand(x): (w, 1000 - p) for x, (w, p) in place.items()}
+    right, left = WalkGraph(graph_depth, place), WalkGraph(graph_depth, turned)
+    seeds = sorted((x for x in place if x in graph_depth), key=lambda x: (-graph_depth[x], x))
+    most, out = len(seeds) // 2, []
+    while seeds and len(seeds) > most:
+        seed = seeds[0]
+        after, used_after, cut_after = right.walk(seed, lookahead, limit)
+        before, used_before, cut_before = left.walk(other_strand(seed), lookahead, limit)
+        seq, k = other_strand(before) + seed + after, len(seed)
+        out.append((seq, sum(graph_depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1)), cut_after or cut_before))
+        used = used_after | {other_strand(x) for x in used_before}
+        seeds = [x for x in seeds if x not in used and other_strand(x) not in used]
     return out
 
 
-def contigs(kmers: DataFrame, reference: DataFrame, key: str, k: int) -> DataFrame:
-    """For each locus the contig walked both ways from its heaviest reference k-mer: (key, seq, weight). kmers (key, kmer, depth), reference (key, kmer)."""
-    flip = str.maketrans("ACGT", "TGCA")
+def contigs(kmers: DataFrame, reference: DataFrame, key: str, lookahead: int = 24, limit: int = WALK_STEPS) -> DataFrame:
+    """For each locus the contig of the largest weight, ties to the longest, then to the least sequence: (key, seq, weight, candidates, truncated).
+
+    kmers (key, kmer, depth), reference (key, pos, kmer). A locus's distinct k-mers meet in one task: the error filter
+    bounds them by what several reads share. limit bounds one walk; truncated tells where it did.
+    """
 
     def kernel(name, own: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        depth = dict(zip(own["kmer"], own["depth"], strict=True))
-        for x, d in list(depth.items()):  # both strands of every k-mer, counted once where both are there already
-            depth.setdefault(x.translate(flip)[::-1], d)
-        known = dict.fromkeys(ref["kmer"], 1)
-        seeds = sorted((x for x in known if x in depth), key=lambda x: (-depth[x], x))
-        if not seeds:
-            return pd.DataFrame({key: [], "seq": [], "weight": []}, dtype=object)
-        right = walk(depth, known, seeds[0])
-        left = walk(depth, {x.translate(flip)[::-1]: 1 for x in known}, seeds[0].translate(flip)[::-1]).translate(flip)[::-1]
-        seq = left[: len(left) - k] + right
-        return pd.DataFrame({key: [name[0]], "seq": [seq], "weight": [sum(depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1))]}, dtype=object)
-
-    types = f"{key} {kmers.schema[key].dataType.simpleString()}, seq string, weight long"
+        made = assembled(dict(zip(own["kmer"], own["depth"], strict=True)), ref.sort_values("pos")["kmer"].tolist(), lookahead, limit)
+        best = sorted(made, key=lambda c: (-c[1], -len(c[0]), c[0]))[:1]
+        return pd.DataFrame([(name[0], *c[:2], len(made), c[2]) for c in best], columns=[key, "seq", "weight", "candidates", "truncated"], dtype=object)
+
+    types = f"{key} {kmers.schema[key].dataType.simpleString()}, seq string, weight long, candidates int, truncated boolean"
     return kmers.groupBy(key).cogroup(_fresh(reference).groupBy(key)).applyInPandas(kernel, types)

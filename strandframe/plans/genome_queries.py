@@ -192,15 +192,15 @@ def backbone_table(spark, sf):
 
 
 def contig_table(spark, sf):
-    """Reads recruited to each locus, assembled from its k-mers. Only recruited reads are cut into all their k-mers."""
+    """Reads recruited to each locus, assembled from its k-mers. Only recruited reads are cut into all their k-mers."""
     k = 21
     loci = B.loci(spark, sf)
     reads = B.reads(spark, sf).select("read_id", "seq")
     found = G.written(R.hits(reads, loci, k).select("read_id", "locus"))
     depth = S.kmers(reads.join(found, "read_id"), k).groupBy("locus", "kmer").agg(F.countDistinct("read_id").alias("depth"))
-    ref = S.kmers(loci, k).select("locus", "kmer").distinct()
-    near = depth.join(ref.withColumn("r", F.lit(1)), ["locus", "kmer"], "left").where("depth >= 2 OR r = 1").select("locus", "kmer", "depth")  # P5
-    return G.contigs(near, ref, "locus", k)
+    ref = S.kmers(loci, k).select("locus", "pos", "kmer")
+    near = depth.join(ref.select("locus", "kmer").distinct().withColumn("r", F.lit(1)), ["locus", "kmer"], "left").where("depth >= 2 OR r = 1").select("locus", "kmer", "depth")  # P5
+    return G.contigs(near, ref, "locus")
 
 
 def locus_pairs(spark, sf):
@@ -242,7 +242,7 @@ def merged_hsps(spark, sf):
 def em_abundance(spark, sf):
     """A30, X20."""
     classes = B.table(spark, sf, "events").groupBy(F.expr("event_id div 4").alias("f")).agg(F.array_sort(F.collect_set("event_type")).alias("targets")).groupBy("targets").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(sorted(A.abundance(classes).items()), "target string, share double")
+    return A.abundance(classes)
 
 
 def bootstrap(spark, sf):

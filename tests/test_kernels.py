@@ -69,8 +69,45 @@ def test_walk_rebuilds_a_sequence():
     seq = "".join(rng.choices("ACGT", k=300))
     k = 15
     depth = {seq[i : i + k]: 5 for i in range(len(seq) - k + 1)}
-    depth |= {seq[100 + i : 100 + i + k - 1] + ("A" if seq[100 + i + k - 1] != "A" else "C"): 1 for i in range(1)}
-    assert G.walk(depth, {}, seq[:k]) == seq
+    side = seq[100 : 100 + k - 1] + ("A" if seq[100 + k - 1] != "A" else "C")
+    depth[side] = 1
+    out, used, cut = G.WalkGraph(depth).walk(seq[:k])
+    assert seq[:k] + out == seq and side not in used and not cut
+    assert G.WalkGraph(depth).walk(seq[:k], limit=50)[2]
+
+
+def test_continuations_weigh_pairs_places_and_peaks():
+    x, a, c = "AACC", "ACCA", "ACCC"
+    first = lambda depth, reference=None, pairs=None: G.WalkGraph({x: 5, **depth}, reference, pairs).continuations(x, set())
+    assert first({a: 5, c: 6}) == [(6, c), (5, a)] and first({a: 5, c: 5})[0][1] == a
+    assert first({a: 5, c: 6}, pairs={(x, a): 2}) == [(17, a), (6, c)]
+    assert first({a: 5, c: 6}, pairs={(x, a): 1})[0] == (6, c)
+    assert first({a: 5, c: 6}, {x: (1, 500), a: (1, 501)}) == [(14, a), (6, c)]
+    assert first({a: 15, c: 6}, {x: (1, 500), a: (1, 700)})[0] == (8, a)
+    assert first({a: 60, c: 30}) == [(40, a), (25, c)]  # beyond 20 by 40 and by 10
+    assert first({c: 99}) == [(99, c)]
+
+
+def test_contigs_go_on_until_half_of_the_seeds_are_used(spark):
+    rng = random.Random(11)
+    one, two = ("".join(rng.choices("ACGT", k=n)) for n in (120, 90))
+    k = 17
+    depth = {one[i : i + k]: 3 for i in range(len(one) - k + 1)} | {two[i : i + k]: 4 for i in range(len(two) - k + 1)}
+    made = G.assembled(depth, [two[i : i + k] for i in range(20)] + [one[i : i + k] for i in range(60)])
+    assert [m[0] for m in made] == [two, one]
+    kmers = spark.createDataFrame([(1, x, d) for x, d in depth.items()], "locus int, kmer string, depth long")
+    ref = spark.createDataFrame([(1, i, s[i : i + k]) for s, n in ((two, 20), (one, 60)) for i in range(n)], "locus int, pos int, kmer string")
+    got = G.contigs(kmers, ref, "locus").first()
+    assert (got["seq"], got["candidates"], got["truncated"]) == (max((one, two), key=lambda s: sum(depth[s[i : i + k]] for i in range(len(s) - k + 1))), 2, False)
+    cut = G.contigs(kmers, ref, "locus", limit=10).first()
+    assert cut["truncated"]
+
+
+def test_a_long_contig_is_whole(spark):
+    rng = random.Random(12)
+    seq, k = "".join(rng.choices("ACGT", k=9000)), 21
+    made = G.assembled({seq[i : i + k]: 2 for i in range(len(seq) - k + 1)}, [seq[4000 : 4000 + k]])
+    assert made[0][0] == seq and not made[0][2]
 
 
 def test_components(spark):
@@ -90,18 +127,12 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_contigs(spark):
-    rng = random.Random(6)
-    seq = "".join(rng.choices("ACGT", k=200))
-    kmers = spark.createDataFrame([(1, seq[i : i + 21], 3) for i in range(180)], "locus int, kmer string, depth long")
-    ref = spark.createDataFrame([(1, seq[90:111])], "locus int, kmer string")
-    assert G.contigs(kmers, ref, "locus", 21).first()["seq"] == seq
-
-
 def test_abundance_and_bootstrap(spark):
-    classes = spark.createDataFrame([(["a"], 30), (["b"], 10), (["a", "b"], 40)], "targets array<string>, n long")
-    share = A.abundance(classes)
-    assert abs(share["a"] - 0.75) < 1e-6
+    classes = spark.createDataFrame([(["a"], 30), (["b"], 10), (["a", "b"], 40), ([], 5)], "targets array<string>, n long")
+    for most in (100, 1):
+        share = {r["target"]: r["share"] for r in A.abundance(classes, 40, most).collect()}
+        assert abs(share["a"] - 0.75) < 1e-6 and abs(share["b"] - 0.25) < 1e-6
+    assert A.abundance(classes.where("false")).count() == 0
     rows = spark.createDataFrame([("x", 30, 100)], "k string, h long, t long")
     one, two = (A.bootstrap_interval(rows, ["k"], "h", "t").first() for _ in range(2))
     assert one == two and one["low"] < 0.3 < one["high"]
