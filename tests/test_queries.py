@@ -1,4 +1,4 @@
-"""Every query with SQL of its own must give DuckDB's rows; those without must run and keep their schema."""
+"""Every query with SQL of its own must give DuckDB's rows; those without are held to plain versions in test_brute.py."""
 
 import duckdb
 import numpy as np
@@ -31,12 +31,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, duck, name):
     got = catalogue.queries()[name](spark, SF)
-    if name not in catalogue.oracle_sql():
-        assert got.columns and got.count() >= 0
-        return
     a, b = plain(got.toPandas()), plain(duck.execute(catalogue.oracle_sql()[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
     for c in a.columns:
