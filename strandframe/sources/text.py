@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FASTX_SCHEMA = "path string, ord long, name string, seq string, qual string"
@@ -38,18 +38,80 @@ def parse_fastx(data: bytes) -> Iterator[tuple[str, str, str | None]]:
             raise ValueError(f"line {at + 1}: neither > nor @")
 
 
-def read_fastx(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record; ord counts from 0 in each file. gzip is known by its magic."""
+#: Extensions that say how a file is stored; of other files the first two bytes are looked at.
+KNOWN = (".gz", ".fa", ".fas", ".fasta", ".fq", ".fastq", ".fna", ".ffn")
+
+
+def _hidden_gzip(spark: SparkSession, files: list[str]) -> list[str]:
+    """The files that are gzip by their magic, though their names don't say so."""
+    found = []
+    for f in files:
+        if not f.lower().endswith(KNOWN):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+            if stream.read() == 0x1F and stream.read() == 0x8B:
+                found.append(f)
+            stream.close()
+    return found
+
+
+def _whole_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Records of gzip files whose names hide it: each is one task's, which Spark's text reader cannot open."""
     import gzip
 
     def kernel(batches):
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(p, i, *r) for i, r in enumerate(parse_fastx(raw))]
-                yield pd.DataFrame(rows, columns=["path", "ord", "name", "seq", "qual"], dtype=object)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(kernel, FASTX_SCHEMA)
+                yield pd.DataFrame([(p, i, *r) for i, r in enumerate(parse_fastx(gzip.decompress(data)))], columns=["path", "ord", "name", "seq", "qual"], dtype=object)
+
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(kernel, FASTX_SCHEMA)
+
+
+def numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Rows (path, line, value): the lines of text files with their numbers from 0, read by splits.
+
+    A split's lines follow one another in its task, so a line's number is the lines of the splits before, and its distance
+    from the first of its own; only one row for each split is looked at to know these.
+    """
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("r"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.min("r").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.withColumn("before", before).drop("n"), ["path", "block"]).select("path", (F.col("before") + F.col("r") - F.col("first")).alias("line"), "value")
+
+
+def read_fastx(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row for each record of FASTA or FASTQ files; ord counts from 0 in each file.
+
+    Plain files are read by splits, gzip as a stream; no task holds a whole file. A broken record is an error when it is
+    read. Blank lines after the last record are left out.
+    """
+    files = list(spark.read.text(path).inputFiles())
+    hidden = _hidden_gzip(spark, files)
+    open_files = [f for f in files if f not in hidden]
+    out = _whole_files(spark, hidden) if hidden else None
+    if not open_files:
+        return out if out is not None else spark.createDataFrame([], FASTX_SCHEMA)
+    lines = numbered_lines(spark, open_files)
+    kinds = lines.where("value <> ''").groupBy("path").agg(F.min_by(F.substring("value", 1, 1), "line").alias("mark"))
+    marked = lines.join(kinds, "path")
+    four = marked.where("mark <> '>'").groupBy("path", F.expr("line div 4").alias("ord")).agg(*[F.max(F.when(F.expr(f"line % 4 = {i}"), F.col("value"))).alias(c) for i, c in enumerate(("head", "seq", "plus", "qual"))])
+    wrong = "NOT startswith(head, '@') OR plus IS NULL OR NOT startswith(plus, '+') OR qual IS NULL OR length(seq) <> length(qual)"
+    fastq = four.where("concat_ws('', head, seq, plus, qual) <> ''").selectExpr("path", "ord", f"CASE WHEN {wrong} THEN raise_error(concat('record ', ord, ' of ', path, ' is broken')) ELSE substring(head, 2) END AS name", "seq", "qual")
+    # a record's number is the heads up to its line: those of the parts of lines before, and those before it in its own part
+    body = marked.where("mark = '>'").withColumn("head", F.startswith("value", F.lit(">"))).withColumn("part", F.expr("line div 65536"))
+    heads = body.groupBy("path", "part").agg(F.count_if("head").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = body.join(heads.withColumn("before", before).drop("n"), ["path", "part"])
+    numbered = placed.withColumn("ord", F.col("before") + F.sum(F.col("head").cast("long")).over(Window.partitionBy("path", "part").orderBy("line")) - 1)
+    records = numbered.groupBy("path", "ord").agg(F.max(F.when(F.col("head"), F.substring("value", 2, 1 << 30))).alias("name"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line", F.trim("value").alias("t"))))).alias("p"))
+    fasta = records.where("name IS NOT NULL").select("path", "ord", "name", F.array_join("p.t", "").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    found = fastq.unionByName(fasta)
+    return found if out is None else found.unionByName(out)
+
+
+def fastq_records(spark: SparkSession, path: str) -> int:
+    """The records of FASTQ files, by their lines."""
+    return spark.read.text(path).count() // 4
 
 
 def locus_name(path: str) -> str:
@@ -63,11 +125,15 @@ def read_id(header: str) -> str:
 
 
 def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """Two files in lock-step; a missing mate or another name is an error when it is read."""
-    a = read_fastx(spark, first).selectExpr("ord", "name AS name1", "seq AS seq1", "qual AS qual1")
-    b = read_fastx(spark, second).selectExpr("ord", "name AS name2", "seq AS seq2", "qual AS qual2")
+    """Two files in lock-step, or two folders whose files are mates in the order of their names; a missing mate or another name is an error when it is read."""
+
+    def side(path: str, n: int) -> DataFrame:
+        reads = read_fastx(spark, path)
+        files = reads.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")))
+        return reads.join(files, "path").select("file", "ord", *[F.col(c).alias(f"{c}{n}") for c in ("name", "seq", "qual")])
+
     wrong = f"name1 IS NULL OR name2 IS NULL OR {read_id('name1')} <> {read_id('name2')}"
-    return a.join(b, "ord", "full").withColumn("name1", F.expr(f"CASE WHEN {wrong} THEN raise_error(concat('mates differ at record ', ord)) ELSE name1 END")).withColumnRenamed("ord", "fragment")
+    return side(first, 1).join(side(second, 2), ["file", "ord"], "full").withColumn("name1", F.expr(f"CASE WHEN {wrong} THEN raise_error(concat('mates differ at record ', ord)) ELSE name1 END")).withColumnRenamed("ord", "fragment")
 
 
 def interleaved_pairs(reads: DataFrame) -> DataFrame:

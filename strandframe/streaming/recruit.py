@@ -15,11 +15,15 @@ def streamed_counts(reads: DataFrame, loci: DataFrame, k: int) -> DataFrame:
     return kmers(reads.select("read_id", "seq"), k).join(index, "kmer").groupBy("locus").agg(F.count("*").alias("hits"))
 
 
-def run_available(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now and gives the table of its results."""
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there now, writes the table of its results to a path, and gives it."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.table(name)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
 
 
 def windowed_events(spark: SparkSession, path: str, schema) -> DataFrame:

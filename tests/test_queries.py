@@ -47,6 +47,6 @@ def test_streamed_recruitment_equals_batch(spark, tmp_path):
     reads = B.reads(spark, SF).select("read_id", "seq")
     reads.repartition(3).write.parquet(str(tmp_path / "reads"))
     stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "reads"))
-    got = run_available(streamed_counts(stream, B.loci(spark, SF), 15), "streamed", str(tmp_path / "state"))
+    got = run_available(streamed_counts(stream, B.loci(spark, SF), 15), str(tmp_path / "counts"), str(tmp_path / "state"))
     want = streamed_counts(reads, B.loci(spark, SF), 15)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -23,6 +23,41 @@ def test_fastx_records_and_broken_files(spark, tmp_path):
             list(text.parse_fastx(bad))
 
 
+def test_files_are_read_by_splits(spark, tmp_path):
+    reads = [(f"r{i} x", "ACGT" * (i % 7), "I" * (4 * (i % 7))) for i in range(700)]
+    seqs = [(f"s{i}", "ACGTN" * (i % 50)) for i in range(300)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    put(folder, "a.fastq", "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in reads) + "\n\n")
+    put(folder, "b.fasta", "".join(f">{n}\n" + "".join(f"{s[i : i + 60]}\n" for i in range(0, len(s), 60)) for n, s in seqs))
+    put(folder, "c.fq.gz", gzip.compress(b"@z\nAC\n+\nII\n"))
+    put(folder, "hidden", gzip.compress(b"@h\nGT\n+\nII\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = text.read_fastx(spark, str(folder)).selectExpr(f"{text.locus_name('path')} AS f", "ord", "name", "seq", "qual").orderBy("f", "ord").collect()
+        assert spark.read.text(str(folder / "a.fastq")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r)[1:] for r in got if r["f"] == "a"] == [(i, *r) for i, r in enumerate(reads)]
+    assert [tuple(r)[1:] for r in got if r["f"] == "b"] == [(i, *r, None) for i, r in enumerate(seqs)]
+    assert [r["name"] for r in got if r["f"] in ("c", "hidden")] == ["z", "h"]
+    assert text.fastq_records(spark, str(folder / "c.fq.gz")) == 1
+    for bad in ("@r\nACGT\n+\n", "@r\nACGT\n+\nII\n", "ACGT\n", "@r\nACGT\nIIII\n+\n"):
+        with pytest.raises(Exception, match="broken"):
+            text.read_fastx(spark, put(tmp_path, "bad.fq", bad)).collect()
+
+
+def test_folders_of_mates_pair_by_file(spark, tmp_path):
+    for side in (1, 2):
+        folder = tmp_path / str(side)
+        folder.mkdir()
+        for f in "ab":
+            put(folder, f"{f}.fq", "".join(f"@{f}{i}/{side}\nA{'CG'[side - 1]}\n+\nII\n" for i in range(3)))
+    got = text.read_pairs(spark, str(tmp_path / "1"), str(tmp_path / "2")).collect()
+    assert sorted((r["name1"], r["name2"]) for r in got) == [(f"{f}{i}/1", f"{f}{i}/2") for f in "ab" for i in range(3)]
+
+
 def test_pairs_must_agree(spark, tmp_path):
     one = put(tmp_path, "1.fq", "@a/1\nAC\n+\nII\n@b/1\nGT\n+\nII\n")
     two = put(tmp_path, "2.fq", "@a/2\nCC\n+\nII\n@b/2\nTT\n+\nII\n")
