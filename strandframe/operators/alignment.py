@@ -79,6 +79,16 @@ def scored_pairs(pairs: DataFrame, kernel: str = "local") -> DataFrame:
     return pairs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields) + ", score long")
 
 
+def scored_on_diagonals(pairs: DataFrame) -> DataFrame:
+    """Pairs (a_seq, b_seq, diagonal, ...) with the banded score around each pair's own diagonal, a place in a less one in b."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(score=[banded_affine_score(a, b, d) for a, b, d in zip(pdf["a_seq"], pdf["b_seq"], pdf["diagonal"], strict=True)])
+
+    return pairs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields) + ", score long")
+
+
 def best_offsets(seeds: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Of seeds (keys, offset) the n most frequent offsets of each key, ties to the smallest."""
     counted = seeds.groupBy(*keys, "offset").agg(F.count("*").alias("seeds"))

@@ -267,7 +267,82 @@ def arm_catalogue(got):
                 centres.append((left, right))
 
 
-BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue)}
+def tiles():
+    """Fragments of each locus as the queries make them: (locus, fragment) to sequence."""
+    out = {}
+    for i, s in loci().items():
+        for t, start in enumerate(range(0, len(s), 30)):
+            bait = (s + s + s)[start : start + min(60, len(s))]
+            out[i, i * 1000 + t] = other(bait) if t % 2 else bait
+    return out
+
+
+def affine_on_diagonal(a, b, diagonal, band=8):
+    """The best local score with gaps of 5 and 1 a base, in a band of places i in a and j in b with |i - j - diagonal| up to its width."""
+    low, best = -(10**9), 0
+    h, e, f = {}, {}, {}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            if abs(i - j - diagonal) <= band:
+                e[i, j] = max(h.get((i, j - 1), low) - 6, e.get((i, j - 1), low) - 1)
+                f[i, j] = max(h.get((i - 1, j), low) - 6, f.get((i - 1, j), low) - 1)
+                h[i, j] = max(0, h.get((i - 1, j - 1), 0) + (2 if a[i - 1] == b[j - 1] else -3), e[i, j], f[i, j])
+                best = max(best, h[i, j])
+    return best
+
+
+def shadow_report(got):
+    s, by = loci(), defaultdict(list)
+    for n, ((_, fragment), x) in enumerate(tiles().items()):
+        for locus, y in s.items():
+            here = defaultdict(list)
+            for j, w in enumerate(windows(y, 11)):
+                here[w].append(j)
+            offsets = Counter(j - i for i, w in enumerate(windows(x, 11)) for j in here.get(w, ()))
+            if offsets:
+                offset = min(offsets, key=lambda o: (-offsets[o], o))  # noqa: B023
+                by[locus].append(affine_on_diagonal(x, y, -offset))
+    assert {r["locus"]: (r["mates"], r["aligned"], r["best"], pytest.approx(r["mean"], abs=1e-5)) for r in got} == {i: (len(v), sum(x >= 80 for x in v), max(v), sum(v) / len(v)) for i, v in by.items()}
+
+
+def extensions(got):
+    found = {(r["locus"], r["kind"]): r["seq"] for r in got}
+    s = {i: x for i, x in loci().items() if len(x) >= 15}
+    assert len(found) == 3 * len(s)
+    for i, x in s.items():
+        nodes = {w: 1 + j * 7 % 3 for j, w in enumerate(windows(x, 15))}
+        for kind in ("deepest", "greedy", "beam"):
+            path = windows(found[i, kind], 15)
+            assert path[0] == x[:15] and len(set(path)) == len(path) and set(path) <= set(nodes)
+        branches = any(sum(w[1:] + b in nodes for b in "ACGT") > 1 for w in nodes)
+        if not branches and len(nodes) == len(x) - 14:  # one way only: all must go to the end, or to the beam's length
+            assert found[i, "deepest"] == found[i, "greedy"] == x and found[i, "beam"] == x[:515]
+
+
+def circles(got):
+    s = {i: x for i, x in loci().items() if len(x) >= 100}
+    assert {r["locus"] for r in got} == set(s)
+    for r in got:
+        x = s[r["locus"]]
+        text = x + x[:45]
+        # the longest overlap of the two ends that is alike to 0.98 closes the circle
+        longest = next(n for n in range(len(text) // 2, 0, -1) if len(text) - n >= 41 and sum(p == q for p, q in zip(text[:n], text[-n:], strict=True)) >= 0.98 * n)
+        assert r["closed"] == text[: len(text) - longest] and r["standard"] in {x[i:] + x[:i] for i in range(len(x)) if (x + x)[i : i + 60] == x[:60]}
+
+
+def local_alignments(got):
+    s, found = loci(), {r["fragment"]: r for r in got}
+    for (locus, fragment), x in tiles().items():
+        r = found.pop(fragment)
+        a, b = x[r["a_start"] : r["a_end"]], s[locus][r["b_start"] : r["b_end"]]
+        assert r["score"] == local_score(x, s[locus])
+        assert local_score(a, b) == r["score"] and r["same"] <= min(len(a), len(b))  # its spans alone give the score
+        if len(a) == len(b) and r["score"] == 2 * len(a):
+            assert a == b and r["same"] == len(a)
+    assert not found
+
+
+BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments)}
 
 
 def test_every_query_has_sql_or_a_plain_version():
