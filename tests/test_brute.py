@@ -342,7 +342,37 @@ def local_alignments(got):
     assert not found
 
 
-BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments)}
+def rescue_rounds(got):
+    from strandframe.operators.graphs import assembled
+
+    reads = {i: set(windows(bases(t or ""), 21)) for i, t in rows("SELECT doc_id, text FROM $documents")}
+    found = {r["locus"]: r for r in got}
+    for locus, whole in loci().items():
+        seq = whole[len(whole) // 3 : len(whole) // 3 * 2]
+        ref = windows(seq, 21)
+
+        def recruited(texts):
+            known = {x for t in texts for x in windows(t, 21)}
+            known |= {other(x) for x in known}
+            return {i for i, own in reads.items() if own & known}
+
+        def contig(ids):
+            depth = Counter(x for i in ids for x in reads[i])
+            made = assembled({x: d for x, d in depth.items() if d >= 2 or x in set(ref)}, ref)  # noqa: B023; the walks have tests of their own
+            return min(made, key=lambda c: (-c[1], -len(c[0]), c[0]))[0] if made else None
+
+        one = recruited([seq])
+        first = contig(one)
+        assert (locus in found) == (first is not None)
+        if first is None:
+            continue
+        two = one | recruited([first[:60], first[-60:]])
+        second, r = contig(two), found[locus]
+        state = "inactive" if two == one else "rescued" if len(second) > len(first) else "rolled_back"
+        assert (r["length"], r["rescued_length"], r["new_reads"], r["state"]) == (len(first), len(second), len(two - one), state)
+
+
+BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments, rescue_rounds)}
 
 
 def test_every_query_has_sql_or_a_plain_version():
