@@ -161,7 +161,7 @@ def backend(model: Model):
         usable = {p: i for i, (p, _, k) in enumerate(model.pieces) if k == NORMAL}
         rank = sorted(usable, key=lambda p: (-model.pieces[usable[p]][1], usable[p]))
         merges = [(p[:i], p[i:]) for p in rank for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable]
-        inner = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges, unk_token=model.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=model.byte_fallback)
+        inner = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges, unk_token=model.pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)  # every chunk comes once
     else:
         raise ValueError(f"model type {model.kind} is not unigram or BPE")
     made = Tokenizer(inner)
@@ -207,6 +207,9 @@ class Codec:
         self.chunk = re.compile(" *[^ ]+| +" if self.splits else r"(?s).+")
         self.ids: dict[str, bytes] = {}  # of each chunk, as 32-bit integers
         self.lossy: set[str] = set()  # chunks that don't come back
+        # what each piece decodes to, which is all that decoding looks at
+        self.said = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, _, k in self.model.pieces]
+        self.size = np.array([len(x) for x in self.said])
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.peer = None
         if verify:
@@ -244,27 +247,42 @@ class Codec:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one text where they part again before their blanks."""
-        joins = self.splits and not self.user  # a user-defined piece has no number of its chunk
+        joins = self.splits and not self.user  # a user-defined piece could reach over where chunks meet
         alone = [c for c in chunks if not joins or c[0] != " " or c[-1] == " "]
         joint = [c for c in chunks if joins and c[0] == " " and c[-1] != " "]
         groups = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)] + [[c] for c in alone]
         for at in range(0, len(groups), 2048):
             part = groups[at : at + 2048]
             texts = ["".join(g) for g in part]
-            made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            ids = [e.ids for e in made]
-            for group, e, got in zip(part, made, ids, strict=True):
-                flat = array("i", got).tobytes()
+            parted: list[str] = []  # chunks of texts that don't come back whole
+            for group, text, got in zip(part, texts, self._encoded(texts), strict=True):
+                ids = array("i", got)
+                back = b"".join(map(self.said.__getitem__, ids))
                 if len(group) == 1:
-                    self.ids[group[0]] = flat
-                    continue
-                begin = 0
-                for chunk, n in zip(group, np.bincount(e.word_ids, minlength=len(group)).tolist(), strict=True):
-                    self.ids[chunk] = flat[begin : begin + 4 * n]
-                    begin += 4 * n
-            for group, text, back in zip(part, texts, self._text(ids), strict=True):
-                if text != back:
-                    self.lossy.update(c for c, b in zip(group, self._text([np.frombuffer(self.ids[c], np.int32).tolist() for c in group]), strict=True) if c != b)
+                    self.ids[text] = ids.tobytes()
+                    if back != text.encode("utf-8", "surrogatepass"):
+                        self.lossy.add(text)
+                elif back != text.encode("utf-8", "surrogatepass"):
+                    parted += group
+                else:
+                    # pieces and chunks are parts of the same bytes, so sizes tell where a chunk's ids end
+                    ends = np.cumsum(self.size[np.frombuffer(ids, np.int32)])
+                    cuts = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group])) + 1
+                    flat, begin = ids.tobytes(), 0
+                    for chunk, end in zip(group, (4 * cuts).tolist(), strict=True):
+                        self.ids[chunk] = flat[begin:end]
+                        begin = end
+            if parted:
+                self._learn_alone(parted)
+
+    def _learn_alone(self, chunks: list[str]) -> None:
+        for chunk, got in zip(chunks, self._encoded(chunks), strict=True):
+            self.ids[chunk] = array("i", got).tobytes()
+            if b"".join(map(self.said.__getitem__, got)) != chunk.encode("utf-8", "surrogatepass"):
+                self.lossy.add(chunk)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _text(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
