@@ -190,3 +190,33 @@ def shared_alleles(dosage: DataFrame) -> DataFrame:
     """Rows (a, b, sites, ibs): for every two samples the sites that both have called and the mean share of alleles alike. Sites meet by site; samples are a dimension."""
     a, b = dosage.select("site", F.col("sample").alias("a"), F.col("n").alias("x")), dosage.select("site", F.col("sample").alias("b"), F.col("n").alias("y"))
     return a.join(b, "site").where("a < b").groupBy("a", "b").agg(F.count("*").alias("sites"), F.round(F.avg(1 - F.abs(F.col("x") - F.col("y")) / 2), 6).alias("ibs"))
+
+
+#: Samples whose relations fit the driver: their number is that of a study, not of its reads.
+MOST_SAMPLES = 5_000
+
+
+def sample_components(dosage: DataFrame, n: int = 3) -> DataFrame:
+    """Rows (component, sample, value, share): the first n principal components of samples over standardised dosages, a sample without a call at a site standing at its mean.
+
+    The relations of all samples are summed up in Spark; only their square reaches the driver, and more than MOST_SAMPLES
+    are refused. Of each component the largest value is positive.
+    """
+    import numpy as np
+
+    sites = dosage.groupBy("site").agg((F.avg("n") / 2).alias("p")).where("p > 0 AND p < 1")
+    z = dosage.join(sites, "site").selectExpr("site", "sample", "(n - 2 * p) / sqrt(2 * p * (1 - p)) AS z")
+    names = [r["sample"] for r in z.select("sample").distinct().orderBy("sample").limit(MOST_SAMPLES + 1).collect()]
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    place, square = {s: i for i, s in enumerate(names)}, np.zeros((len(names), len(names)))
+    a, b = z.selectExpr("site", "sample AS a", "z AS x"), z.selectExpr("site", "sample AS b", "z AS y")
+    for r in a.join(b, "site").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect():
+        square[place[r["a"]], place[r["b"]]] = square[place[r["b"]], place[r["a"]]] = r["s"]
+    values, vectors = np.linalg.eigh(square) if names else (np.zeros(0), np.zeros((0, 0)))
+    rows = []
+    for c, k in enumerate(np.argsort(-values)[:n], 1):
+        v = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
+        rows += [(c, s, float(v[i]), float(values[k] / values.sum())) for s, i in place.items()]
+    kind = dosage.schema["sample"].dataType.simpleString()
+    return dosage.sparkSession.createDataFrame(rows, f"component int, sample {kind}, value double, share double")

@@ -270,11 +270,27 @@ def other_strand(x: str) -> str:
     return x.translate(_COMPLEMENT)[::-1]
 
 
-def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24, limit: int = WALK_STEPS) -> list[tuple[str, int, bool]]:
-    """Contigs (sequence, weight, truncated) of a locus, from its k-mers and those of its reference in order.
+def lower_quartile(values: list[int]) -> float:
+    """the median of the lower half, the median itself left out of an odd number; of one value, itself."""
+    half = sorted(values)[: len(values) // 2] or values
+    return (half[(len(half) - 1) // 2] + half[len(half) // 2]) / 2
+
+
+def boundary(weights: list[int], soft: int) -> int:
+    """How many steps of a side stay: up to the last whose weight reaches the side's lower quartile, and some soft ones more; sides of up to two steps stay whole."""
+    if len(weights) <= 2:
+        return len(weights)
+    least = lower_quartile(weights)
+    last = max(i for i, w in enumerate(weights) if w >= least)
+    return min(len(weights), last + 1 + soft)
+
+
+def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24, limit: int = WALK_STEPS, soft_boundary: int | None = None) -> list[tuple[str, int, bool]]:
+    """Contigs (sequence, weight, truncated) of a locus, from its k-mers and those of its reference in order.
 
     The heaviest reference k-mer that has reads is walked both ways; the seeds that its contig uses are done, on either
-    strand, and the next one begins, until half of the seeds are used up.
+    strand, and the next one begins, until half of the seeds are used up. With a soft boundary each side is cut where its
+    weights stay below their lower quartile.
     """
     graph_depth = dict(depth)
     for x, d in depth.items():  # both strands of every k-mer, counted once where both are there already
@@ -288,22 +304,26 @@ def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24,
         seed = seeds[0]
         after, used_after, cut_after = right.walk(seed, lookahead, limit)
         before, used_before, cut_before = left.walk(other_strand(seed), lookahead, limit)
-        seq, k = other_strand(before) + seed + after, len(seed)
+        k = len(seed)
+        if soft_boundary is not None:
+            along = lambda begin, bases: [graph_depth[(begin + bases)[i : i + k]] for i in range(1, len(bases) + 1)]  # noqa: B023, E731
+            after, before = after[: boundary(along(seed, after), soft_boundary)], before[: boundary(along(other_strand(seed), before), soft_boundary)]
+        seq = other_strand(before) + seed + after
         out.append((seq, sum(graph_depth.get(seq[i : i + k], 0) for i in range(len(seq) - k + 1)), cut_after or cut_before))
         used = used_after | {other_strand(x) for x in used_before}
         seeds = [x for x in seeds if x not in used and other_strand(x) not in used]
     return out
 
 
-def contigs(kmers: DataFrame, reference: DataFrame, key: str, lookahead: int = 24, limit: int = WALK_STEPS) -> DataFrame:
-    """For each locus the contig of the largest weight, ties to the longest, then to the least sequence: (key, seq, weight, candidates, truncated).
+def contigs(kmers: DataFrame, reference: DataFrame, key: str, lookahead: int = 24, limit: int = WALK_STEPS, soft_boundary: int | None = None) -> DataFrame:
+    """For each locus the contig of the largest weight, ties to the longest, then to the least sequence: (key, seq, weight, candidates, truncated).
 
     kmers (key, kmer, depth), reference (key, pos, kmer). A locus's distinct k-mers meet in one task: the error filter
     bounds them by what several reads share. limit bounds one walk; truncated tells where it did.
     """
 
     def kernel(name, own: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        made = assembled(dict(zip(own["kmer"], own["depth"], strict=True)), ref.sort_values("pos")["kmer"].tolist(), lookahead, limit)
+        made = assembled(dict(zip(own["kmer"], own["depth"], strict=True)), ref.sort_values("pos")["kmer"].tolist(), lookahead, limit, soft_boundary)
         best = sorted(made, key=lambda c: (-c[1], -len(c[0]), c[0]))[:1]
         return pd.DataFrame([(name[0], *c[:2], len(made), c[2]) for c in best], columns=[key, "seq", "weight", "candidates", "truncated"], dtype=object)
 

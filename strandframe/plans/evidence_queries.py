@@ -121,7 +121,16 @@ def linked_sites(spark, sf):
 
 def shared_alleles(spark, sf):
     """Identity by state of every two samples of a tenth of the suppliers' numbers, taken as populations."""
-    return V.shared_alleles(_dosages(spark, sf).groupBy("site", F.expr("sample % 10").alias("sample")).agg(F.max("n").alias("n")))
+    return V.shared_alleles(_populations(spark, sf))
+
+
+def _populations(spark, sf):
+    return _dosages(spark, sf).groupBy("site", F.expr("sample % 10").alias("sample")).agg(F.max("n").alias("n"))
+
+
+def sample_components(spark, sf):
+    """Principal components of these populations."""
+    return V.sample_components(_populations(spark, sf))
 
 
 GT = f"d AS (SELECT site, sample, CAST(length(gt) - length(replace(gt, '1', '')) AS DOUBLE) AS n FROM {B.GENOTYPES} WHERE gt NOT LIKE '%.%')"
@@ -200,5 +209,6 @@ QUERIES = {
         f"""WITH {GT}, p AS (SELECT site % 50 AS locus, site, row_number() OVER (PARTITION BY site % 50 ORDER BY site) AS i FROM (SELECT DISTINCT site FROM d)), q AS (SELECT locus, i, d.* FROM d JOIN p USING (site)),
         r AS (SELECT x.locus, x.site AS a, y.site AS b, pow(corr(x.n, y.n), 2) AS r2 FROM q x JOIN q y ON x.locus = y.locus AND x.sample = y.sample AND y.i BETWEEN x.i + 1 AND x.i + 5 GROUP BY ALL) SELECT locus, a, b, round(r2, 6) AS r2 FROM r WHERE round(r2, 6) >= 0.1 AND NOT isnan(r2)""",
     ),
+    "sample_components": (sample_components, None),
     "shared_alleles": (shared_alleles, f"WITH {GT}, g AS (SELECT site, sample % 10 AS sample, max(n) AS n FROM d GROUP BY ALL) SELECT x.sample AS a, y.sample AS b, count(*) AS sites, round(avg(1 - abs(x.n - y.n) / 2), 6) AS ibs FROM g x JOIN g y ON x.site = y.site AND x.sample < y.sample GROUP BY ALL"),
 }

@@ -106,8 +106,9 @@ def pair_identity(spark, sf):
 
 
 def concatenation(spark, sf):
-    """J20, S5."""
-    li = B.table(spark, sf, "lineitem").where("l_suppkey % 3 <> l_partkey % 3").groupBy(F.expr("l_suppkey % 25").alias("sample"), F.expr("l_partkey % 12").alias("locus")).agg(F.expr("substring(translate(md5(cast(min(l_orderkey) AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, cast(5 + locus AS int))").alias("seq"))
+    """Sequences of samples and loci from all line items; a third of them is missing."""
+    seq = "CASE WHEN min(l_orderkey) % 3 > 0 THEN substring(translate(md5(cast(min(l_orderkey) AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, cast(5 + locus AS int)) END"
+    li = B.table(spark, sf, "lineitem").groupBy(F.expr("l_suppkey % 25").alias("sample"), F.expr("l_partkey % 12").alias("locus")).agg(F.expr(seq).alias("seq"))
     loci = spark.range(12).selectExpr("id AS locus", "cast(5 + id AS int) AS width")
     return T.concatenated(li, B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("sample")), loci)
 
@@ -289,7 +290,7 @@ QUERIES = {
     "occupancy": (occupancy, f"SELECT locus, CAST(i - 1 AS INTEGER) AS i, count(*) AS n, count(*) FILTER (WHERE substr(seq, i, 1) NOT IN ('-', 'N')) AS informative, count(*) FILTER (WHERE substr(seq, i, 1) NOT IN ('-', 'N')) * 2 >= count(*) AS kept FROM (SELECT *, unnest(range(1, 13)) AS i FROM {COLUMNS}) GROUP BY locus, i"),
     "pair_identity": (pair_identity, """WITH r AS (SELECT s_nationkey AS locus, s_suppkey AS id, substr(translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'AACCGGTTACGTAC-N'), 1, 30) AS seq FROM supplier), p AS (SELECT x.locus, x.id AS a, y.id AS b, x.seq AS s, y.seq AS t, unnest(range(1, 31)) AS i FROM r x JOIN r y ON x.locus = y.locus AND x.id < y.id),
         c AS (SELECT locus, a, b, count(*) FILTER (WHERE substr(s, i, 1) NOT IN ('-', 'N') AND substr(t, i, 1) NOT IN ('-', 'N')) AS n, count(*) FILTER (WHERE substr(s, i, 1) NOT IN ('-', 'N') AND substr(s, i, 1) = substr(t, i, 1)) AS same FROM p GROUP BY ALL) SELECT *, CASE WHEN n >= 7 THEN round(same / n, 6) END AS identity FROM c"""),
-    "concatenation": (concatenation, """WITH l AS (SELECT l_suppkey % 25 AS sample, l_partkey % 12 AS locus, substr(translate(md5(CAST(min(l_orderkey) AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5 + l_partkey % 12) AS seq FROM lineitem WHERE l_suppkey % 3 <> l_partkey % 3 GROUP BY 1, 2, l_partkey % 12)
+    "concatenation": (concatenation, """WITH l AS (SELECT l_suppkey % 25 AS sample, l_partkey % 12 AS locus, CASE WHEN min(l_orderkey) % 3 > 0 THEN substr(translate(md5(CAST(min(l_orderkey) AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 5 + l_partkey % 12) END AS seq FROM lineitem GROUP BY 1, 2, l_partkey % 12)
         SELECT n_nationkey AS sample, string_agg(coalesce(seq, repeat('-', 5 + w.range)), '' ORDER BY w.range) AS seq FROM nation CROSS JOIN range(12) w LEFT JOIN l ON l.sample = n_nationkey AND l.locus = w.range GROUP BY 1"""),
     "sequence_functions": (sequence_functions, f"""WITH s AS (SELECT locus, seq, length(seq) AS n, {RC.format('seq')} AS rc FROM {B.LOCI} WHERE seq <> ''), p AS (SELECT *, array_to_string(list_transform(range(1, n - 1, 3), lambda i: {PROTEIN.replace('CASE c', 'CASE substr(seq, i, 3)')}), '') AS protein FROM s)
         SELECT locus, rc, least(seq, rc) AS canonical, array_to_string(list_transform(range(1, n + 1, 20), lambda p: CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(seq, p, 20), ''), lambda b: CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END)), lambda x, b: x * 4 + b) AS BIGINT)), ',') AS code, seq AS decoded,

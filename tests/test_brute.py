@@ -342,6 +342,24 @@ def local_alignments(got):
     assert not found
 
 
+def sample_components(got):
+    from strandframe.plans.bridges import GENOTYPES
+
+    best = {}
+    for site, sample, gt in rows(f"SELECT site, sample % 10, gt FROM {GENOTYPES.replace('FROM lineitem', 'FROM $lineitem')} WHERE gt NOT LIKE '%.%'"):
+        best[site, sample] = max(best.get((site, sample), 0), gt.count("1"))
+    sites = sorted({s for s, _ in best})
+    x = np.array([[best.get((s, p), np.nan) for s in sites] for p in range(10)])
+    p = np.nanmean(x, axis=0) / 2
+    x, p = x[:, (p > 0) & (p < 1)], p[(p > 0) & (p < 1)]
+    z = np.nan_to_num((x - 2 * p) / np.sqrt(2 * p * (1 - p)))
+    u, d, _ = np.linalg.svd(z, full_matrices=False)
+    for c in range(3):
+        mine = np.array([r["value"] for r in sorted(got, key=lambda r: r["sample"]) if r["component"] == c + 1])
+        assert abs(abs(mine @ u[:, c]) - 1) < 1e-6 and mine[np.abs(mine).argmax()] > 0
+        assert next(r["share"] for r in got if r["component"] == c + 1) == pytest.approx(d[c] ** 2 / (d**2).sum())
+
+
 def rescue_rounds(got):
     from strandframe.operators.graphs import assembled
 
@@ -372,7 +390,7 @@ def rescue_rounds(got):
         assert (r["length"], r["rescued_length"], r["new_reads"], r["state"]) == (len(first), len(second), len(two - one), state)
 
 
-BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments, rescue_rounds)}
+BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments, rescue_rounds, sample_components)}
 
 
 def test_every_query_has_sql_or_a_plain_version():

@@ -103,6 +103,16 @@ def test_contigs_go_on_until_half_of_the_seeds_are_used(spark):
     assert cut["truncated"]
 
 
+def test_sides_are_cut_where_they_stay_thin():
+    assert G.boundary([9, 9, 8, 9, 1, 1], 0) == 6 and G.boundary([9, 9, 9, 9, 9, 9, 9, 1, 1], 0) == 7 and G.boundary([9] * 7 + [1, 1], 1) == 8 and G.boundary([1, 9], 0) == 2
+    rng = random.Random(13)
+    seq, k = "".join(rng.choices("ACGT", k=200)), 15
+    depth = {seq[i : i + k]: 9 if i < 180 else 1 for i in range(len(seq) - k + 1)}
+    ref = [seq[50 : 50 + k]]
+    assert G.assembled(depth, ref)[0][0] == seq
+    assert G.assembled(depth, ref, soft_boundary=0)[0][0] == seq[: 179 + k] and G.assembled(depth, ref, soft_boundary=2)[0][0] == seq[: 181 + k]
+
+
 def test_a_long_contig_is_whole(spark):
     rng = random.Random(12)
     seq, k = "".join(rng.choices("ACGT", k=9000)), 21
