@@ -78,6 +78,8 @@ def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int,
         probe = np.zeros(1 << _PROBE_BITS, bool)
         probe[_hashed(known)] = True
         for batch in batches:
+            if not batch.num_rows:
+                continue
             column = batch.column(len(keys))
             if column.null_count:
                 column = column.fill_null("")

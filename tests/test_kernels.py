@@ -139,9 +139,9 @@ def test_components(spark):
 
 def test_abundance_and_bootstrap(spark):
     classes = spark.createDataFrame([(["a"], 30), (["b"], 10), (["a", "b"], 40), ([], 5)], "targets array<string>, n long")
-    for most in (100, 1):
-        share = {r["target"]: r["share"] for r in A.abundance(classes, 40, most).collect()}
-        assert abs(share["a"] - 0.75) < 1e-6 and abs(share["b"] - 0.25) < 1e-6
+    for rounds, most, near in ((40, 100, 1e-6), (10, 1, 1e-3)):
+        share = {r["target"]: r["share"] for r in A.abundance(classes, rounds, most).collect()}
+        assert abs(share["a"] - 0.75) < near and abs(share["b"] - 0.25) < near
     assert A.abundance(classes.where("false")).count() == 0
     rows = spark.createDataFrame([("x", 30, 100)], "k string, h long, t long")
     one, two = (A.bootstrap_interval(rows, ["k"], "h", "t").first() for _ in range(2))
