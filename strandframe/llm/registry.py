@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, licenses, neighbours, quality, sentencepiece_tokens, simhash, token_counts, url_lists
+from . import centroids, chat, decontamination, html_text, licenses, line_dedup, neighbours, quality, sentencepiece_tokens, simhash, token_counts, url_lists, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_html": html_text.op9_html,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_licenses": licenses.oracle(),
         "op6_chat": chat.OP6_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
+        "op11_vector_codes": vector_codes.oracle(),
+        "op12_line_dedup": line_dedup.OP12_SQL,
+        "op13_centroids": centroids.oracle(),
     }
