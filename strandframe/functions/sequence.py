@@ -78,7 +78,7 @@ def jaccard(a: str, b: str) -> str:
 def period(s: str, share: float = 0.85) -> str:
     """the least p up to half the length with the share of characters equal to those p after the begin, cyclically; else null."""
     same = f"size(filter(sequence(1, length({s})), i -> substring({s}, i, 1) = substring({s}, (i - 1) % p + 1, 1)))"
-    return f"CASE WHEN length({s}) >= 2 THEN filter(sequence(1, length({s}) div 2), p -> {same} >= {share} * length({s}))[0] END"
+    return f"CASE WHEN length({s}) >= 2 THEN get(filter(sequence(1, length({s}) div 2), p -> {same} >= {share} * length({s})), 0) END"
 
 
 def rotations(s: str) -> str:

@@ -25,21 +25,93 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more; a cached one is given up."""
+    if df.is_cached:
+        df.unpersist()
+        return
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Nodes of more neighbours than this, and than a thousandth of all edges, meet their least one by broadcast; there are at most a thousand.
+HOT_EDGES = 10_000
+
+
+def _nearest(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v), of which there are about total, with m, the least v among the rows of the same u. The rows of a hot u stay where they are."""
+    most = max(HOT_EDGES, total // 1000)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    if total <= most:
+        return edges.join(least.drop("_n"), "u")
+    hot = F.broadcast(least.where(F.col("_n") > most).select("u", "m"))
+    return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(least.where(F.col("_n") <= most).drop("_n"), "u"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with each partition's own components as stars around their least node: as many edges at most, and the same components."""
+
+    def kernel(batches):
+        up: dict = {}
+        for pdf in batches:
+            for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                while up[a] != a:
+                    up[a] = a = up[up[a]]
+                while up[b] != b:
+                    up[b] = b = up[up[b]]
+                if a < b:
+                    up[b] = a
+                else:
+                    up[a] = b
+        out = []
+        for x in up:
+            root = x
+            while up[root] != root:
+                root = up[root]
+            up[x] = root
+            if root != x:
+                out.append((x, root))
+        yield pd.DataFrame(out, columns=["u", "v"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.mapInPandas(kernel, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, root) of the nodes of edges (a, b), root the least node of each component: least labels spread over the edges, and labels of labels are followed, until nothing changes."""
-    both = written(edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    total = None
+    """Rows (node, root) of the nodes of edges (a, b), root the least node of each component.
+
+    Rounds of large and small stars: every node hangs its greater neighbours on its least one, then itself and its lesser
+    ones; before and after, each task joins what its own edges connect. Chains of n nodes settle in about log n rounds, and
+    each round's table replaces the one before.
+    """
+
+    def oriented(df: DataFrame) -> DataFrame:
+        return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    def state(df: DataFrame) -> tuple:
+        row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        return row["n"], row["x"]
+
+    current = written(oriented(_contracted(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"))))
+    before = state(current)
     for _ in range(rounds):
-        spread = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        nearer = labels.join(spread, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
-        far = nearer.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        labels = written(nearer.join(far, F.col("root") == F.col("_n"), "left").select("node", F.least("root", "_r").alias("root")))
-        now = labels.agg(F.sum(F.xxhash64("node", "root") % 1_000_003), F.count("*")).first()
-        if now == total:
-            return labels
-        total = now
-    raise RuntimeError("components did not settle")
+        if not before[0]:
+            break
+        both = _nearest(current.union(current.select("v", "u")), 2 * before[0])
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+        small = _nearest(large, before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        last, current = current, written(oriented(_contracted(small.where("u <> v"))))
+        discard(last)
+        after = state(current)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
 
 
 def adjacency(rows: DataFrame, k: int) -> DataFrame:
