@@ -192,8 +192,8 @@ def shared_alleles(dosage: DataFrame) -> DataFrame:
     return a.join(b, "site").where("a < b").groupBy("a", "b").agg(F.count("*").alias("sites"), F.round(F.avg(1 - F.abs(F.col("x") - F.col("y")) / 2), 6).alias("ibs"))
 
 
-#: Samples whose relations fit the driver: their number is that of a study, not of its reads.
-MOST_SAMPLES = 5_000
+#: Samples whose relations fit the driver (125,000 sums): their number is that of a study, not of its reads.
+MOST_SAMPLES = 500
 
 
 def sample_components(dosage: DataFrame, n: int = 3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Whole flows against plain versions: closed circles, repeat families."""
+"""Whole flows against plain versions: closed circles, repeat families, pruned sites."""
 
 import math
 import random
@@ -291,7 +291,65 @@ def test_extension_keeps_open_paths_and_tells_cuts():
     assert found == [(20, "AACCGGT")] and cut
 
 
-FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal)}
+def plain_pruning(calls, window=50, step=5, most=0.2):
+    """{(chrom, site): kept}, windows gone through one after the other; calls {chrom: {site: {sample: n}}}."""
+    out = {}
+    for chrom, by_site in calls.items():
+        order = sorted(by_site)
+        kept = dict.fromkeys(order, True)
+        maf = {s: min(p, 1 - p) for s, v in by_site.items() for p in [sum(v.values()) / (2 * len(v))]}
+
+        def linked(s, t):
+            both = [(by_site[s][x], by_site[t][x]) for x in by_site[s] if x in by_site[t]]  # noqa: B023
+            c, x, y = len(both), sum(a for a, _ in both), sum(b for _, b in both)
+            cov = c * sum(a * b for a, b in both) - x * y
+            return cov * cov > most * ((c * sum(a * a for a, _ in both) - x * x) * (c * sum(b * b for _, b in both) - y * y))
+
+        for begin in range(0, max(1, len(order)), step):
+            held = order[begin : begin + window]
+            for i, s in enumerate(held):
+                for t in held[i + 1 :]:
+                    if kept[s] and kept[t] and linked(s, t):
+                        kept[s if maf[s] < maf[t] else t] = False
+        out |= {(chrom, s): k for s, k in kept.items()}
+    return out
+
+
+def pruned_sites(got):
+    calls = defaultdict(lambda: defaultdict(dict))
+    for chrom, site, sample, gt in rows(
+        """SELECT p_brand, l_partkey, l_suppkey, CASE WHEN sum(l_linenumber) % 5 = 0 THEN './.' WHEN min(l_returnflag) = 'A' THEN '0/1' WHEN min(l_returnflag) = 'N' THEN '1/1' ELSE '0/0' END
+        FROM $lineitem JOIN $part ON p_partkey = l_partkey GROUP BY ALL"""
+    ):
+        if "." not in gt:
+            calls[chrom][site][sample] = gt.count("1")
+    want = plain_pruning(calls)
+    assert {(r["chrom"], r["site"]): r["kept"] for r in got} == want and len(got) == len(want)
+    assert 0 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("window,step,most", [(50, 5, 0.2), (10, 3, 0.5), (7, 7, 0.1), (4, 1, 0.3)])
+def test_pruning_equals_a_sequential_reading(spark, window, step, most):
+    from strandframe.operators.pruning import pruned
+
+    rng = random.Random(window)
+    calls = {}
+    for chrom, n in (("c1", 120), ("c2", 30), ("c3", 1)):
+        sites, last = {}, [rng.choice((0, 1, 2)) for _ in range(25)]
+        for s in range(n):
+            if rng.random() < 0.3:
+                last = [rng.choice((0, 1, 2)) for _ in range(25)]
+            own = [rng.choice((0, 1, 2)) if rng.random() < 0.15 else x for x in last]
+            sites[10 * s] = {i: x for i, x in enumerate(own) if rng.random() < 0.95}
+        sites[10 * n + 5] = dict.fromkeys(range(25), 1)  # does not vary
+        calls[chrom] = sites
+    table = [(c, s, x, float(n)) for c, v in calls.items() for s, w in v.items() for x, n in w.items()]
+    got = pruned(spark.createDataFrame(table, "chrom string, site long, sample int, n double").repartition(5), "chrom", window, step, most)
+    assert {(r["chrom"], r["site"]): r["kept"] for r in got.collect()} == plain_pruning(calls, window, step, most)
+    assert pruned(spark.createDataFrame([], "chrom string, site long, sample int, n double"), "chrom").count() == 0
+
+
+FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites)}
 
 
 @pytest.mark.parametrize("name", sorted(FLOWS))
