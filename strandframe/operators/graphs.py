@@ -265,42 +265,45 @@ WALK_STEPS = 8192
 
 
 class WalkGraph:
-    """A locus's k-mers by depth, what the reference says of them, and pairs that pass an edge.
+    """A locus's k-mers by depth, what the reference says of them, pairs that pass an edge, and k-mers that stand by pairs alone.
 
     reference: for a k-mer (weight, position), positions in thousandths of the reference as it is walked; pairs: for an
-    edge (a, b) the number of fragments that pass it.
+    edge (a, b) the number of fragments that pass it; rescued: thin k-mers that a mate's anchor has kept.
     """
 
-    def __init__(self, depth: dict[str, int], reference: dict[str, tuple[int, int]] | None = None, pairs: dict[tuple[str, str], int] | None = None):
-        self.depth, self.reference, self.pairs = depth, reference or {}, pairs or {}
+    def __init__(self, depth: dict[str, int], reference: dict[str, tuple[int, int]] | None = None, pairs: dict[tuple[str, str], int] | None = None, rescued: set[str] | None = None):
+        self.depth, self.reference, self.pairs, self.rescued = depth, reference or {}, pairs or {}, rescued or set()
+
+    def terms(self, x: str, y: str) -> dict[str, int]:
+        """What speaks for the step from x to y at a branch and what against it, by name.
+
+        Fragments on the edge count from two on, up to four; without them a rescued k-mer loses. A step to the neighbouring
+        place of the reference gains and a leap within it loses. A depth that rises to over four times that of x, and over
+        8, is held for a repeat where the reference lacks the k-mer, and half of what is beyond does not count.
+        """
+        passing = self.pairs.get((x, y), 0)
+        (own, here), (weight, there) = self.reference.get(x, (0, 0)), self.reference.get(y, (0, 0))
+        inside = 0 < here < 1000 and 0 < there < 1000
+        beyond = self.depth[y] - max(8, 4 * self.depth[x])
+        return {
+            "pairs": 6 * min(passing, 4) * (passing >= 2),
+            "rescued": -16 * (passing < 2 and y in self.rescued),
+            "neighbour": 8 * (inside and abs(there - here) <= 2),
+            "leap": -8 * (inside and abs(there - here) > 2 and own > 0 and weight > 0),
+            "surge": -(beyond // 2) * (beyond > 0 and not weight),
+        }
 
     def continuations(self, x: str, closed: set[str]) -> list[tuple[int, str]]:
         """The k-mers after x that are not closed, as (weight, k-mer), the best first.
 
-        A weight is the depth and the reference's weight. At a branch two fragments or more on the edge add 6 each, up to
-        four; a step to the neighbouring place in the reference adds 8, and one that leaps within it takes 8; depth beyond
-        four times that of x, and beyond 8, counts half where the reference lacks the k-mer. Ties go to what the reference
-        has, then to the least k-mer.
+        A weight is the depth and the reference's weight, and where there are several ways also what their terms add up to.
+        Ties go to what the reference has, then to the least k-mer.
         """
-        found = [y for b in "ACGT" if (y := x[1:] + b) in self.depth and y not in closed]
-        rows = []
-        own_weight, own_place = self.reference.get(x, (0, 0))
-        for y in found:
-            weight, place = self.reference.get(y, (0, 0))
-            total = self.depth[y] + weight
-            if len(found) > 1:
-                pairs = self.pairs.get((x, y), 0)
-                total += 6 * min(pairs, 4) if pairs >= 2 else 0
-                if 0 < own_place < 1000 and 0 < place < 1000:
-                    if abs(place - own_place) <= 2:
-                        total += 8
-                    elif own_weight > 0 and weight > 0:
-                        total -= 8
-                peak = max(4 * max(self.depth[x], 2), 8)
-                if weight == 0 and self.depth[y] > peak:
-                    total -= (self.depth[y] - peak) // 2
-            rows.append((-total, place <= 0, y))
-        return [(-t, y) for t, _, y in sorted(rows)]
+        ways = [y for b in "ACGT" if (y := x[1:] + b) in self.depth and y not in closed]
+        plain = {y: self.depth[y] + self.reference.get(y, (0, 0))[0] for y in ways}
+        weights = {y: n + sum(self.terms(x, y).values()) for y, n in plain.items()} if len(ways) > 1 else plain
+        best_first = sorted(ways, key=lambda y: (-weights[y], self.reference.get(y, (0, 0))[1] <= 0, y))
+        return [(weights[y], y) for y in best_first]
 
     def walk(self, seed: str, lookahead: int = 24, limit: int = WALK_STEPS) -> tuple[str, set[str], bool]:
         """What follows a seed, the k-mers used, and whether the limit cut it short.
@@ -357,19 +360,30 @@ def boundary(weights: list[int], soft: int) -> int:
     return min(len(weights), last + 1 + soft)
 
 
-def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24, limit: int = WALK_STEPS, soft_boundary: int | None = None) -> list[tuple[str, int, bool]]:
+def assembled(depth: dict[str, int], reference: list[str], lookahead: int = 24, limit: int = WALK_STEPS, soft_boundary: int | None = None, pairs: dict[tuple[str, str], int] | None = None, rescued: set[str] | None = None, error_limit: int | None = None) -> list[tuple[str, int, bool]]:
     """Contigs (sequence, weight, truncated) of a locus, from its k-mers and those of its reference in order.
 
     The heaviest reference k-mer that has reads is walked both ways; the seeds that its contig uses are done, on either
     strand, and the next one begins, until half of the seeds are used up. With a soft boundary each side is cut where its
-    weights stay below their lower quartile.
+    weights stay below their lower quartile. pairs and rescued go into the weights of branches. With an error limit depths
+    are cut at the third quartile and one and a half times the middle half's width more, of the k-mers that are not rescued,
+    and a reference k-mer of more depth than the limit weighs one more than that bound, else one (A6).
     """
+    rescued = rescued or set()
     graph_depth = dict(depth)
     for x, d in depth.items():  # both strands of every k-mer, counted once where both are there already
         graph_depth.setdefault(other_strand(x), d)
-    place = {x: (1, max(1, min(999, 1000 * (i + 1) // len(reference)))) for i, x in reversed(list(enumerate(reference)))}
+    weigh = lambda x: 1
+    if error_limit is not None and graph_depth:
+        usual = sorted(d for x, d in graph_depth.items() if x not in rescued) or sorted(graph_depth.values())
+        q1, q3 = lower_quartile(usual), -lower_quartile([-d for d in usual])
+        most = int((q3 - q1) * 1.5 + q3)
+        before = graph_depth
+        graph_depth = {x: min(d, most) for x, d in before.items()}
+        weigh = lambda x: most + 1 if before.get(x, 0) > error_limit else 1
+    place = {x: (weigh(x), max(1, min(999, 1000 * (i + 1) // len(reference)))) for i, x in reversed(list(enumerate(reference)))}
     turned = {other_strand(x): (w, 1000 - p) for x, (w, p) in place.items()}
-    right, left = WalkGraph(graph_depth, place), WalkGraph(graph_depth, turned)
+    right, left = (WalkGraph(graph_depth, where, pairs, rescued) for where in (place, turned))
     seeds = sorted((x for x in place if x in graph_depth), key=lambda x: (-graph_depth[x], x))
     most, out = len(seeds) // 2, []
     while seeds and len(seeds) > most:

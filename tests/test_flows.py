@@ -1,4 +1,4 @@
-"""Whole flows against plain versions: closed circles, repeat families, pruned sites."""
+"""Whole flows against plain versions: closed circles, repeat families, pruned sites, contigs led by pairs."""
 
 import math
 import random
@@ -349,7 +349,111 @@ def test_pruning_equals_a_sequential_reading(spark, window, step, most):
     assert pruned(spark.createDataFrame([], "chrom string, site long, sample int, n double"), "chrom").count() == 0
 
 
-FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites)}
+def plain_kmers(pairs, ref, k, error_limit=2, least=2):
+    """{kmer: (depth, rescued)} of one locus and its mates as (fragment, sequence, is anchored, whose other is)."""
+    both = set(ref) | {other(x) for x in ref}
+    anchored = lambda s: any(x in both for x in windows(s, k))
+    mates = [(f, s, anchored(s), anchored(t)) for f, a, b in pairs for s, t in ((a, b), (b, a))]
+    depth, vouched = Counter(), Counter()
+    for _, s, own, opposite in mates:
+        for x in set(windows(s, k)) | set(windows(other(s), k)):
+            depth[x] += 1
+            vouched[x] += opposite and not own
+    keep = {x: (d, False) for x, d in depth.items() if d > error_limit or x in both}
+    keep |= {x: (d, True) for x, d in depth.items() if x not in keep and vouched[x] >= least}
+    return keep, mates
+
+
+def plain_edges(kmers, mates, k):
+    forks = {x + b for x in kmers for b in "ACGT" if x[1:] + b in kmers and sum(x[1:] + c in kmers for c in "ACGT") > 1}
+    passed = {e: set() for e in forks}
+    for f, s, _, opposite in mates:
+        if opposite:
+            for e in set(windows(s, k + 1)) | set(windows(other(s), k + 1)):
+                if e in forks:
+                    passed[e].add(f)
+    return {e: len(v) for e, v in passed.items()}
+
+
+def circle_pairs():
+    own, out = loci(), {}
+    for n, seq in own.items():
+        texts = [seq]
+        if n % 4 == 0 and n + 1 in own:
+            texts.append(seq[:-12] + own[n + 1][:30])
+        out[n] = [((of, at), f[:40], other(f[-40:])) for of, t in enumerate(texts) for at in range(0, len(t), 3) for f in [(t[at:] + t[:at])[:64]]]
+    return out
+
+
+def branch_support(got):
+    want = {}
+    for n, pairs in circle_pairs().items():
+        seq = loci()[n]
+        kmers, mates = plain_kmers(pairs, windows(seq[: 2 * len(seq) // 3], 21), 21)
+        want |= {(n, e): c for e, c in plain_edges(kmers, mates, 21).items()}
+    assert {(r["locus"], r["edge"]): r["fragments"] for r in got} == want and any(want.values())
+
+
+def paired_contigs(got):
+    from strandframe.operators.graphs import assembled
+
+    reads = {i: bases(t or "") for i, t in rows("SELECT doc_id, text FROM $documents")}
+    both = lambda s: set(windows(s, 21)) | set(windows(other(s), 21))
+    every = set().union(*map(both, loci().values()))
+    cut = [((i, at), s[at : at + 40], other(s[at + 50 : at + 90])) for i, s in reads.items() if set(windows(s, 21)) & every for at in range(0, len(s) - 89, 15)]
+    found = {r["locus"]: r for r in got}
+    for n, seq in loci().items():
+        own = both(seq)
+        pairs = [p for p in cut if set(windows(p[1], 21)) & own or set(windows(p[2], 21)) & own]
+        kmers, mates = plain_kmers(pairs, windows(seq, 21), 21)
+        edges = {(e[:-1], e[1:]): c for e, c in plain_edges(kmers, mates, 21).items() if c}
+        made = assembled({x: d for x, (d, _) in kmers.items()}, windows(seq, 21), soft_boundary=5, pairs=edges, rescued={x for x, (_, r) in kmers.items() if r}, error_limit=2)
+        assert bool(made) == (n in found)
+        if made:
+            best = min(made, key=lambda c: (-c[1], -len(c[0]), c[0]))
+            assert (found[n]["seq"], found[n]["weight"], found[n]["candidates"]) == (best[0], best[1], len(made))
+
+
+def test_a_repeat_is_crossed_by_pairs_alone(spark):
+    from strandframe.functions import sequence as S
+    from strandframe.operators.pair_edges import paired_contigs as run
+
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, repeat, b, c, d = text(120), text(30), "T" + text(119), text(120), "A" + text(119)
+    right, wrong = a + repeat + b, c + repeat + d  # the second one is foreign, as deep, and comes first where nothing else decides
+    pairs = lambda s, times, first, gap: [("x", first + 1000 * t + i, s[i : i + 50], other(s[i + gap : i + gap + 50])) for t in range(times) for i in range(0, len(s) - gap - 49, 4)]
+    singles = lambda rows: [(n, f + 500_000 + 10_000 * m, s, "") for n, f, x, y in rows for m, s in ((1, x), (2, y))]
+    rows_ = pairs(right, 1, 0, 70) + pairs(wrong, 1, 100_000, 70)
+    loc = spark.createDataFrame([("x", a)], "locus string, seq string")
+    ref = S.kmers(loc, 21).select("locus", "pos", "kmer")
+    frame_ = lambda rows: spark.createDataFrame(rows, "locus string, fragment long, seq1 string, seq2 string")
+    led = run(frame_(rows_), ref).first()
+    alone = run(frame_(singles(rows_)), ref).first()
+    assert b[:60] in led["seq"] and d[:60] not in led["seq"]
+    assert d[:60] in alone["seq"] and b[:60] not in alone["seq"]
+    assert run(frame_([]), ref).count() == 0 and run(frame_([("x", 1, None, "")]), ref).count() == 0
+
+
+def test_thin_kmers_stay_where_a_mate_vouches_for_them(spark):
+    from strandframe.operators import graphs as G
+    from strandframe.operators import pair_edges as P
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    anchor, flank, error = text(60), text(40), text(40)
+    pairs = [("x", 1, anchor, other(flank)), ("x", 2, anchor[5:], other(flank)), ("x", 3, error, error), ("x", 4, error, "")]
+    ref = spark.createDataFrame([("x", i, w) for i, w in enumerate(windows(anchor, 21))], "locus string, pos int, kmer string")
+    mates = P.anchored_mates(spark.createDataFrame(pairs, "locus string, fragment long, seq1 string, seq2 string"), ref, 21)
+    got = {r["kmer"]: (r["depth"], r["rescued"]) for r in P.weighed_kmers(mates, ref, 21).collect()}
+    want, _ = plain_kmers([p[1:] for p in pairs], windows(anchor, 21), 21)
+    assert got == want and got[flank[:21]] == (2, True) and windows(error, 21)[0] in got
+    terms = G.WalkGraph({"AAC": 5, "ACG": 2, "ACT": 3}, {}, {("AAC", "ACT"): 3}, {"ACG"})
+    assert terms.terms("AAC", "ACG")["rescued"] == -16 and terms.terms("AAC", "ACT")["pairs"] == 18
+    assert terms.continuations("AAC", set()) == [(21, "ACT"), (-14, "ACG")]
+
+
+FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs)}
 
 
 @pytest.mark.parametrize("name", sorted(FLOWS))
