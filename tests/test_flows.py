@@ -1,4 +1,4 @@
-"""Whole flows against plain versions: closed circles, repeat families, pruned sites, contigs led by pairs."""
+"""Whole flows against plain versions: closed circles, repeat families, pruned sites, contigs led by pairs, rounds of doubling."""
 
 import math
 import random
@@ -453,7 +453,87 @@ def test_thin_kmers_stay_where_a_mate_vouches_for_them(spark):
     assert terms.continuations("AAC", set()) == [(21, "ACT"), (-14, "ACG")]
 
 
-FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs)}
+def plain_rounds(reads, see, initial, maximum):
+    """{sample: (observation, rounds, reads, settled)} by a plain loop, and which samples each round took."""
+    out, took, before, limit, number = {}, [], {}, initial, 0
+    while limit <= maximum:
+        active = [s for s in reads if s not in out]
+        if not active:
+            break
+        took.append((limit, sorted(active)))
+        now = {s: see(s, reads[s][:limit]) for s in active}
+        number += 1
+        last = limit == maximum
+        for s in active:
+            if before.get(s) == now[s] or last:
+                out[s] = (now[s], number, limit, before.get(s) == now[s])
+        before, limit = now, maximum + 1 if last else min(2 * limit, maximum)
+    return out, took
+
+
+def adaptive_circles(got):
+    import hashlib
+
+    from strandframe.operators.graphs import assembled
+
+    own = loci()
+
+    def see(sample, pairs):
+        ref = windows(own[sample][:60], 21)
+        kmers, mates = plain_kmers(pairs, ref, 21, error_limit=0)
+        edges = {(e[:-1], e[1:]): c for e, c in plain_edges(kmers, mates, 21).items() if c}
+        made = assembled({x: d for x, (d, _) in kmers.items()}, ref, pairs=edges, error_limit=0)
+        if not made:
+            return "missing", None
+        seq = min(made, key=lambda c: (-c[1], -len(c[0]), c[0]))[0]
+        circle = next((seq[:p] for p in range(1, len(seq) - 19) if seq[p:] == seq[:-p]), None)
+        return ("circular", C.canonical_circle(circle)) if circle else ("linear", min(seq, other(seq)))
+
+    number = lambda sample, f: (sample * 2 + f[0]) * 100000 + f[1]
+    reads = {n: [p for _, p in sorted(((number(n, p[0]) * 48271 % 2147483647, number(n, p[0])), p) for p in pairs)] for n, pairs in circle_pairs().items()}
+    want, took = plain_rounds(reads, see, 12, 192)
+    assert len(took) > 2 and len(took[-1][1]) < len(took[0][1])
+    assert {r["sample"] for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        (status, seq), rounds, n, settled = want[r["sample"]]
+        assert (r["status"], r["seq"], r["rounds"], r["reads"], r["settled"]) == (status, seq, rounds, n, settled)
+        assert r["digest"] == hashlib.sha256((seq or "").encode()).hexdigest()
+    assert sum(r["status"] == "circular" and r["settled"] for r in got) > len(got) // 2
+
+
+def test_settled_samples_are_not_read_again(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators import doubling as D
+
+    df = spark.createDataFrame([(s, i, v) for s, values in {"early": "aaaaaaaaaaaaaaaa", "late": "abcdefgggggggggg", "never": "abcdefghijklmnop", "short": "x"}.items() for i, v in enumerate(values)], "sample string, ord long, value string")
+    stored = D.stored_by_sample(df)
+    plans, took = [], []
+
+    def observe(reads):
+        plans.append(reads._jdf.queryExecution().toString())
+        took.append(sorted({r["sample"] for r in reads.select("sample").distinct().collect()}))
+        return reads.groupBy("sample").agg(F.max("value").alias("seq")).withColumn("status", F.lit("linear"))
+
+    for listed in (1000, 0):
+        monkeypatch.setattr(D, "LISTED", listed)
+        plans.clear()
+        took.clear()
+        results, history = D.adaptive(stored, observe, 2, 12)
+        reads = {s: [v for _, v in sorted((r["ord"], r["value"]) for r in df.collect() if r["sample"] == s)] for s in ("early", "late", "never", "short")}
+        want, rounds = plain_rounds(reads, lambda s, v: ("linear", max(v)), 2, 12)
+        assert {r["sample"]: ((r["status"], r["seq"]), r["rounds"], r["reads"], r["settled"]) for r in results.collect()} == want
+        assert took == [r[1] for r in rounds] and took[-1] == ["late", "never"]
+        assert sorted({(r["reads"], r["sample"]) for r in history.collect()}) == sorted((n, s) for n, names in rounds for s in names)
+        if listed:
+            assert all("PartitionFilters: [" in p and "sample" in p for p in plans)
+    assert D.adaptive(stored, observe, 20, 12)[0].count() == 0
+    assert D.adaptive(D.stored_by_sample(df.where("false")), observe, 2, 12)[0].count() == 0
+    silent = D.adaptive(stored, lambda reads: observe(reads).where("sample = 'late'"), 2, 4)[0].collect()
+    assert {r["status"] for r in silent if r["sample"] != "late"} == {"missing"}
+
+
+FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles)}
 
 
 @pytest.mark.parametrize("name", sorted(FLOWS))
