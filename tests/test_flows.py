@@ -1,4 +1,4 @@
-"""Whole flows against plain versions: closed circles, repeat families, pruned sites, contigs led by pairs, rounds of doubling."""
+"""Whole flows against plain versions: closed circles, repeat families, pruned sites, contigs led by pairs, rounds of doubling, clades."""
 
 import math
 import random
@@ -533,7 +533,87 @@ def test_settled_samples_are_not_read_again(spark, monkeypatch):
     assert {r["status"] for r in silent if r["sample"] != "late"} == {"missing"}
 
 
-FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles)}
+def plain_tree(leaves, seqs, k=7):
+    cut = {x: {min(w, other(w)) for w in windows(seqs[x], k)} for x in leaves}
+    far = lambda x, y: 1 - len(cut[x] & cut[y]) / len(cut[x] | cut[y])
+    groups = [[x] for x in sorted(leaves)]
+    trees = {x: x for x in leaves}
+    while len(groups) > 1:
+        mean = lambda g, h: round(sum(far(x, y) for x in g for y in h) / (len(g) * len(h)), 12)
+        g, h = min(((g, h) for i, g in enumerate(groups) for h in groups[i + 1 :]), key=lambda p: (mean(*p), min(p[0][0], p[1][0]), max(p[0][0], p[1][0])))
+        if h[0] < g[0]:
+            g, h = h, g
+        groups = sorted([x for x in groups if x not in (g, h)] + [g + h])
+        trees[g[0]] = (trees[g[0]], trees[h[0]])
+    return trees[groups[0][0]]
+
+
+def leaves_of(t):
+    return [t] if isinstance(t, str) else [x for c in t for x in leaves_of(c)]
+
+
+def plain_clades(tree, least, outgroups=frozenset()):
+    """Every way to part the tree by one edge, both sides."""
+    whole, sides = set(leaves_of(tree)), []
+
+    def go(t):
+        for c in () if isinstance(t, str) else t:
+            own = frozenset(leaves_of(c))
+            sides.extend([own, frozenset(whole - own)])
+            go(c)
+
+    go(tree)
+    names = lambda own: {x.split("|")[0] for x in own}
+    if outgroups and len({frozenset([s, frozenset(whole - s)]) for s in sides if names(s) == outgroups}) != 1:
+        return None
+    every = set(sides) | (set() if outgroups else {frozenset(whole)})
+    good = sorted((sorted(s) for s in every if len(names(s)) == len(s) >= least and not names(s) & outgroups), key=lambda s: (-len(s), s))
+    out = []
+    for s in good:
+        if not any(set(s) & set(t) for t in out):
+            out.append(s)
+    return out
+
+
+def single_copy_clades(got):
+    families = defaultdict(dict)
+    for n, seq in loci().items():
+        families[n // 10][f"s{n % 7 % 5}|{n // 10}|{n}"] = seq
+    found = defaultdict(list)
+    for r in got:
+        assert r["error"] is None and r["n"] == len(r["leaves"]) == len(r["samples"])
+        found[r["family"]].append((r["clade"], r["leaves"]))
+    want = {f: plain_clades(plain_tree(list(own), own), 3) for f, own in families.items()}
+    assert {f: [x for _, x in sorted(v)] for f, v in found.items()} == {f: v for f, v in want.items() if v} and found
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_clades_are_those_of_all_bipartitions(seed):
+    from strandframe.operators.clades import chosen_clades
+
+    rng = random.Random(seed)
+    trees = [f"s{rng.randrange(6)}|{i}" for i in range(rng.randint(1, 14))]
+    while len(trees) > 1:
+        k = min(len(trees), rng.choice((2, 2, 3)))
+        joined = tuple(trees.pop(rng.randrange(len(trees))) for _ in range(k))
+        trees.append(joined)
+    text = lambda t: t if isinstance(t, str) else "(" + ",".join(text(c) for c in t) + "):0.1"
+    for outgroups in (frozenset(), frozenset({"s0"}), frozenset({"s1", "s2"})):
+        error, found = chosen_clades(text(trees[0]) + ";", 2, outgroups)
+        want = plain_clades(trees[0], 2, outgroups)
+        assert (error is not None) == (want is None)
+        assert want is None or [list(x) for x, _ in found] == want
+
+
+def test_trees_that_cannot_be_read_are_told(spark):
+    from strandframe.operators.clades import single_copy
+
+    df = spark.createDataFrame([(1, "((a|1,b|1),(c|1,d|1));"), (2, "((a|1,b|1)"), (3, None), (4, "((a|1,a|2),(b|1,a|3));")], "family int, newick string")
+    got = {(r["family"], r["clade"]): (r["leaves"], r["error"]) for r in single_copy(df, 2).collect()}
+    assert got[1, 0] == (["a|1", "b|1", "c|1", "d|1"], None) and got[2, None][1] and got[4, 0][0] == ["a|3", "b|1"]
+
+
+FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles, single_copy_clades)}
 
 
 @pytest.mark.parametrize("name", sorted(FLOWS))
