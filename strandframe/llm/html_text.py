@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,11 @@ ENDS_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of class and id that name furniture: readers' remarks, parts of a page, and parts that a layout may also wrap the article in.
-REMARKS = frozenset("comment comments commentlist disqus remarks replies reply respond".split())
+REMARKS = frozenset("comment comments commentlist discussion discussions disqus feedback remarks replies reply respond responses".split())
+#: Elements that may hold remarks; a name on a span, a paragraph or code says something of its text instead.
+HOLDERS = frozenset("article aside dd details div dl footer form li ol section table ul".split())
 PARTS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adslot breadcrumb breadcrumbs consent cookie cookies footer footers masthead nav navbar navigation newsletter
+    """ad ads adv advert adverts advertisement advertising adsense adslot alert alerts breadcrumb breadcrumbs consent cookie cookies footer footers gdpr masthead nav navbar navigation newsletter
     notice notices pagination pager related share sharing signup social sponsor sponsored sponsors subscribe subscription toolbar topbar""".split()
 )
 WRAPS = frozenset("banner banners header menu menus modal overlay popup promo promos promotion sidebar sidebars widget widgets".split())
@@ -59,28 +62,40 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\shidden(?=[\s=/>])", re.I)
+_NOT_SHOWN = re.compile(r"\saria-hidden\s*=\s*[\"']?true\b|\sstyle\s*=\s*(?:\"[^\"]*?|'[^']*?|)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 GOOD_SIBLING = 0.2
+#: Characters outside links from which an article or main element is taken for the page's.
+LEAST_ARTICLE = 60
 
 
 class Node:
-    __slots__ = ("children", "inside", "kind", "links", "parent", "passed", "size", "tag", "within")
+    __slots__ = ("children", "inside", "kind", "links", "name", "parent", "passed", "size", "tag", "within")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.children: list[Node | str] = []
         self.kind = ""  # of furniture, if it is suspected: remarks, part or wrap
+        self.name = ""  # its class
         self.passed = 0.0  # points of the paragraphs below
         self.size = self.links = self.within = 0  # characters: of all text, in links, in articles
 
 
+def _hidden(source: str) -> bool:
+    """Whether a tag's attributes hide its element from readers."""
+    bare = _QUOTED.sub('""', source)
+    return bool(_HIDDEN.search(bare) or _NOT_SHOWN.search(source))
+
+
 def _suspected(tag: str, source: str, parent: Node) -> str:
     """What kind of furniture an element may be, or nothing; a header within an article is the article's own."""
     within = parent.inside
-    if tag in ASIDE:
+    if tag in ASIDE or ("=" in source or "hidden" in source) and _hidden(source):
         return "part"
     if tag == "form" or (tag == "header" and not within):
         return "wrap"
@@ -98,7 +113,9 @@ def _suspected(tag: str, source: str, parent: Node) -> str:
             if not named or words & EXCEPT or not words <= FURNITURE | NEUTRAL or (within and named == {"header"}):
                 continue
             if named & REMARKS:
-                return "remarks"
+                if tag in HOLDERS:
+                    return "remarks"
+                continue
             first, last = _WORDS.match(name), _WORDS.findall(name)[-1].lower()
             if tag == "article" or (last in CONTENT and first is not None and first[0].lower() not in FURNITURE):
                 continue
@@ -170,7 +187,7 @@ def parse(source: str) -> Node:
         if tag in SIBLINGS:
             ended, within = SIBLINGS[tag]
             least = max(map(open_.last, within))
-            places = [p for e in ended if (p := next((q for q in open_.at.get(e, ()) if q > least), 0))] if max(map(open_.last, ended)) > least else []
+            places = [at_[i] for e in ended if (i := bisect_right(at_ := open_.at.get(e, ()), least)) < len(at_)]
             if places:
                 open_.close(min(places))
         if open_.stack[-1].tag == "head" and tag not in ("script", "style", "title", "noscript", "template"):
@@ -179,6 +196,7 @@ def parse(source: str) -> Node:
         child = Node(tag, node)
         if not dropped:
             child.kind = _suspected(tag, part, node)
+            child.name = next((next(g for g in a.groups()[1:] if g is not None) for a in _ATTRIBUTE.finditer(part) if a[1].lower() == "class"), "")
             node.children.append(child)
         if tag in RAW:
             end = _END[tag].search(source, at)
@@ -201,7 +219,7 @@ def _in_order(root: Node) -> list[Node]:
 def _cleared(root: Node) -> None:
     """Takes furniture out of the tree.
 
-    Readers' remarks always go. Other parts stay where an article or main element within them holds over half of the
+    Readers' remarks go unless the page holds nothing else. Other parts stay where an article or main element within them holds over half of the
     page's text; a wrapper or form also where it holds so much itself and no article or main element has text elsewhere.
     """
     nodes = _in_order(root)
@@ -209,7 +227,13 @@ def _cleared(root: Node) -> None:
     for x in nodes:
         linked[x] = x.tag == "a" or (x.parent is not None and linked[x.parent])
         x.size = 0 if linked[x] else sum(len(c.strip()) for c in x.children if isinstance(c, str))
+    above: dict[Node, bool] = {}
+    for x in nodes:
+        above[x] = x.kind == "remarks" or (x.parent is not None and above[x.parent])
+    alone = not any(x.size for x in nodes if not above[x])
     for x in reversed(nodes):
+        if x.kind == "remarks" and alone:
+            x.kind = ""
         if x.kind == "remarks":
             x.size = x.within = 0
         if x.tag in ("article", "main"):
@@ -259,10 +283,12 @@ def _blocks(root: Node) -> list[tuple[str, Node, int]]:
     return out
 
 
-def _keeps(x: Node, best: Node, top: float, score: dict[Node, float], paragraphs: set[Node]) -> bool:
+def _keeps(x: Node, best: Node, top: float, score: dict[Node, float], paragraphs: set[Node], running: set[Node]) -> bool:
     """Whether a sibling of the best container is part of the article."""
     density = x.links / x.size
     alike = x.tag == best.tag or x.tag in ("article", "section")
+    if x.tag == best.tag and x.name and x.name == best.name and density < 0.25 and x in running:
+        return True  # another row of the same kind
     long = x.size > (40 if alike else 80)
     if density < 0.5 and (x.tag in HEADINGS or score.get(x, 0.0) >= (GOOD_SIBLING * top if alike and (long or x in paragraphs) else max(10, GOOD_SIBLING * top))):
         return True
@@ -299,15 +325,31 @@ def extract(source: str | None) -> str:
             x.parent.passed += x.passed / 2
             if x.passed:
                 score[x] = x.passed * (1 - x.links / max(1, x.size))
-    best = max((x for x in nodes if x in score), key=score.__getitem__, default=root)
+    running: set[Node] = set()  # with a paragraph somewhere below
+    for x in reversed(nodes):
+        if x.parent is not None and (x in paragraphs or x in running):
+            running.update((x, x.parent))
+    # the page's one article, or else its one main element, wins over what weighs more outside it
+    outer: dict[str, list[Node]] = {"article": [], "main": []}
+    where: dict[Node, dict[str, Node]] = {}
+    for x in nodes:
+        where[x] = dict(where[x.parent]) if x.parent is not None else {}
+        if x.tag in outer and x.tag not in where[x]:
+            where[x][x.tag] = x
+            if x.size - x.links >= LEAST_ARTICLE and x.links < x.size / 3 and x in running:
+                outer[x.tag].append(x)
+    only = next((x[0] for x in outer.values() if len(x) == 1), None) if len(outer["article"]) < 2 else None
+    best = max((x for x in nodes if x in score and (only is None or where[x].get(only.tag) is only)), key=score.__getitem__, default=only or root)
     up, top = best, score.get(best, 0.0)
     while up is not None:
         if up.tag in ("article", "main"):
             best = up
-        up = up.parent
+        up = None if up is only else up.parent
+    while best.parent is not None and best.parent is not root and best.parent.size == best.size and best.tag not in ("article", "main"):
+        best = best.parent  # a wrapper of nothing else: what stands beside it counts
     kept = {best}
     if best is not root and best.tag != "main":
-        kept |= {x for x in best.parent.children if isinstance(x, Node) and x is not best and x.size and _keeps(x, best, score.get(best, top), score, paragraphs)}
+        kept |= {x for x in best.parent.children if isinstance(x, Node) and x is not best and x.size and (x.tag in HEADINGS if best is only else _keeps(x, best, score.get(best, top), score, paragraphs, running))}
     stays: set[Node] = set()
     for x in nodes:
         if x in kept or x.parent in stays:
