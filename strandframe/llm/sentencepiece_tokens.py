@@ -207,9 +207,8 @@ class Codec:
         self.chunk = re.compile(" *[^ ]+| +" if self.splits else r"(?s).+")
         self.ids: dict[str, bytes] = {}  # of each chunk, as 32-bit integers
         self.lossy: set[str] = set()  # chunks that don't come back
-        # what each piece decodes to, which is all that decoding looks at
-        self.said = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, _, k in self.model.pieces]
-        self.size = np.array([len(x) for x in self.said])
+        # of how many bytes each piece stands for
+        self.size = np.array([1 if k == BYTE else len(p.replace(MARK, " ").encode("utf-8", "surrogatepass")) for p, _, k in self.model.pieces])
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.peer = None
         if verify:
@@ -255,30 +254,32 @@ class Codec:
             part = groups[at : at + 2048]
             texts = ["".join(g) for g in part]
             parted: list[str] = []  # chunks of texts that don't come back whole
-            for group, text, got in zip(part, texts, self._encoded(texts), strict=True):
+            made = self._encoded(texts)
+            for group, text, got, back in zip(part, texts, made, self._text(made), strict=True):
                 ids = array("i", got)
-                back = b"".join(map(self.said.__getitem__, ids))
                 if len(group) == 1:
                     self.ids[text] = ids.tobytes()
-                    if back != text.encode("utf-8", "surrogatepass"):
+                    if back != text:
                         self.lossy.add(text)
-                elif back != text.encode("utf-8", "surrogatepass"):
+                    continue
+                # pieces and chunks are parts of the same bytes, so sizes tell where a chunk's ids end
+                ends = np.cumsum(self.size[np.frombuffer(ids, np.int32)])
+                chunk_ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group])
+                if back != text or not len(ends) or ends[-1] != chunk_ends[-1]:
                     parted += group
-                else:
-                    # pieces and chunks are parts of the same bytes, so sizes tell where a chunk's ids end
-                    ends = np.cumsum(self.size[np.frombuffer(ids, np.int32)])
-                    cuts = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group])) + 1
-                    flat, begin = ids.tobytes(), 0
-                    for chunk, end in zip(group, (4 * cuts).tolist(), strict=True):
-                        self.ids[chunk] = flat[begin:end]
-                        begin = end
+                    continue
+                flat, begin = ids.tobytes(), 0
+                for chunk, end in zip(group, (4 * (np.searchsorted(ends, chunk_ends) + 1)).tolist(), strict=True):
+                    self.ids[chunk] = flat[begin:end]
+                    begin = end
             if parted:
                 self._learn_alone(parted)
 
     def _learn_alone(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self._encoded(chunks), strict=True):
+        made = self._encoded(chunks)
+        for chunk, got, back in zip(chunks, made, self._text(made), strict=True):
             self.ids[chunk] = array("i", got).tobytes()
-            if b"".join(map(self.said.__getitem__, got)) != chunk.encode("utf-8", "surrogatepass"):
+            if back != chunk:
                 self.lossy.add(chunk)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
@@ -301,8 +302,8 @@ def encoded(df: DataFrame, model: str | bytes, text: str = "text", verify: bool
     """df with token_ids, n_tokens, n_byte_tokens (pieces of the byte fallback), parity and round_trip for each whole text.
 
     parity: the ids are those that the SentencePiece library gives the whole text (null without verify); with a unigram
-    model that fails where two splits of a long text are closer than its single-precision sums can tell. round_trip: decoding gives the
-    text as the model normalises it. A null text has null ids and zero tokens; an empty one has no ids. Columns of df that
+    model that fails where two splits of a long text are closer than its single-precision sums can tell. round_trip: the
+    tokenizers library decodes each of its chunks, once a worker, to the text as the model normalises it. A null text has null ids and zero tokens; an empty one has no ids. Columns of df that
     have one of these names are replaced. The model is a path on the driver, or the file's bytes; it travels by broadcast,
     as its size does not depend on the data.
     """

@@ -411,3 +411,17 @@ def test_unigram_models_are_rebuilt():
     texts = ["ab a b", "abba  ab", "cab 日", "", "a"]
     ids, like, whole = codec.encode(texts)
     assert [i.tolist() for i in ids] == [peer.encode(t) for t in texts] and all(like) and all(whole)
+
+
+def test_a_decoder_that_loses_a_letter_is_told():
+    from pathlib import Path
+
+    from strandframe.llm.sentencepiece_tokens import MODEL, Codec
+
+    codec = Codec(Path(MODEL).read_bytes(), verify=False)
+    plain = codec._text
+    codec._text = lambda ids: [t.replace("q", "") for t in plain(ids)]
+    ids, _, whole = codec.encode(["the quay is near", "nothing of it here", "q", "a  q b", "  "])
+    assert whole == [False, True, False, False, True]
+    codec._text = plain
+    assert codec.decode([i.tolist() for i in ids]) == ["the quay is near", "nothing of it here", "q", "a  q b", "  "]
