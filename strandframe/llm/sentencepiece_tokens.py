@@ -30,7 +30,7 @@ UNIGRAM, BPE = 1, 2
 #: Chunks whose ids a task keeps; when there are more, it begins anew.
 CACHE_CHUNKS = 300_000
 #: Chunks that are encoded in one text.
-JOINT = 200
+JOINT = 1000
 #: Threads of the tokenizers library in each worker.
 THREADS = 2
 #: Characters of text in one batch of documents.
@@ -206,6 +206,7 @@ class Codec:
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         self.chunk = re.compile(" *[^ ]+| +" if self.splits else r"(?s).+")
         self.ids: dict[str, bytes] = {}  # of each chunk, as 32-bit integers
+        self.words: dict[str, bytes] = {}  # the same of chunks that are a blank and a word, by the word
         self.lossy: set[str] = set()  # chunks that don't come back
         # of how many bytes each piece stands for
         self.size = np.array([1 if k == BYTE else len(p.replace(MARK, " ").encode("utf-8", "surrogatepass")) for p, _, k in self.model.pieces])
@@ -234,15 +235,25 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """For each text its ids, whether they are those that the SentencePiece library gives the whole text, and whether they decode to the text."""
-        split = [self.chunk.findall(self.prepared(t)) for t in texts]
-        if len(self.ids) > CACHE_CHUNKS:
-            self.ids, self.lossy = {}, set()
-        seen: set[str] = set().union(*split)
-        self._learn([c for c in seen if c not in self.ids])
-        get, lossy = self.ids.__getitem__, self.lossy
-        ids = [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
+        cuts = [self._cut(self.prepared(t)) for t in texts]
+        if len(self.ids) + len(self.words) > CACHE_CHUNKS:
+            self.ids, self.words, self.lossy = {}, {}, set()
+        words: set[str] = set().union(*[c for c, plain in cuts if plain])
+        chunks: set[str] = set().union(*[c for c, plain in cuts if not plain])
+        new = [w for w in words if w not in self.words]
+        self._learn([f" {w}" for w in new] + [c for c in chunks if c not in self.ids])
+        for w in new:
+            self.words[w] = self.ids[f" {w}"] if f" {w}" in chunks else self.ids.pop(f" {w}")
+        word, chunk, lossy = self.words.__getitem__, self.ids.__getitem__, self.lossy
+        ids = [np.frombuffer(b"".join(map(word if plain else chunk, c)), np.int32) for c, plain in cuts]
         like = [a.tobytes() == array("i", b).tobytes() for a, b in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)] if self.peer else [True] * len(ids)
-        return ids, like, [not lossy or lossy.isdisjoint(s) for s in split]
+        return ids, like, [not lossy or lossy.isdisjoint([f" {x}" for x in c] if plain else c) for c, plain in cuts]
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The chunks of a text; of one whose blanks all stand alone before a word, just the words, and true."""
+        if self.splits and text[:1] == " " and text[-1] != " " and "  " not in text:
+            return text[1:].split(" "), True
+        return self.chunk.findall(text), False
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one text where they part again before their blanks."""
@@ -264,7 +275,7 @@ class Codec:
                     continue
                 # pieces and chunks are parts of the same bytes, so sizes tell where a chunk's ids end
                 ends = np.cumsum(self.size[np.frombuffer(ids, np.int32)])
-                chunk_ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in group])
+                chunk_ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in group])
                 if back != text or not len(ends) or ends[-1] != chunk_ends[-1]:
                     parted += group
                     continue
