@@ -87,15 +87,6 @@ def shadow_report(spark, sf):
     return scored.groupBy("locus").agg(F.count("*").alias("mates"), F.count_if(F.expr("score >= 80")).alias("aligned"), F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-def _graph(pdf, k=15):
-    return {x: 1 + (i * 7 + n) % 3 for n, s in enumerate(pdf["seq"]) for i in range(len(s) - k + 1) for x in [s[i : i + k]]}
-
-
-def extensions(spark, sf):
-    """From the first window of each locus, in the graph of its windows of 15 bases: the heaviest path, the greedy one, and the beam's best."""
-    return Y.per_group(B.loci(spark, sf).where("length(seq) >= 15"), ["locus"], "kind string, seq string", lambda p: [("deepest", Y.deepest_walk(_graph(p), p["seq"].iloc[0][:15])), ("greedy", Y.greedy_extension(_graph(p), p["seq"].iloc[0][:15])), ("beam", Y.beam_extension(_graph(p), p["seq"].iloc[0][:15])[0])])
-
-
 def circles(spark, sf):
     """Loci that run on into their own begin, closed, and turned from the other strand to begin with their first 60 bases."""
 
@@ -172,7 +163,6 @@ QUERIES = {
         k AS (SELECT locus, count(*) AS runs, greatest(21, least(51, list_sort(list(length))[count(*) // 2 + 1])) AS k FROM m GROUP BY locus) SELECT locus, runs, CAST(k - (1 - k % 2) AS INTEGER) AS k FROM k""",
     ),
     "shadow_report": (shadow_report, None),
-    "extensions": (extensions, None),
     "circles": (circles, None),
     "local_alignments": (local_alignments, None),
 }

@@ -305,20 +305,6 @@ def shadow_report(got):
     assert {r["locus"]: (r["mates"], r["aligned"], r["best"], pytest.approx(r["mean"], abs=1e-5)) for r in got} == {i: (len(v), sum(x >= 80 for x in v), max(v), sum(v) / len(v)) for i, v in by.items()}
 
 
-def extensions(got):
-    found = {(r["locus"], r["kind"]): r["seq"] for r in got}
-    s = {i: x for i, x in loci().items() if len(x) >= 15}
-    assert len(found) == 3 * len(s)
-    for i, x in s.items():
-        nodes = {w: 1 + j * 7 % 3 for j, w in enumerate(windows(x, 15))}
-        for kind in ("deepest", "greedy", "beam"):
-            path = windows(found[i, kind], 15)
-            assert path[0] == x[:15] and len(set(path)) == len(path) and set(path) <= set(nodes)
-        branches = any(sum(w[1:] + b in nodes for b in "ACGT") > 1 for w in nodes)
-        if not branches and len(nodes) == len(x) - 14:  # one way only: all must go to the end, or to the beam's length
-            assert found[i, "deepest"] == found[i, "greedy"] == x and found[i, "beam"] == x[:515]
-
-
 def circles(got):
     s = {i: x for i, x in loci().items() if len(x) >= 100}
     assert {r["locus"] for r in got} == set(s)
@@ -390,7 +376,7 @@ def rescue_rounds(got):
         assert (r["length"], r["rescued_length"], r["new_reads"], r["state"]) == (len(first), len(second), len(two - one), state)
 
 
-BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, extensions, circles, local_alignments, rescue_rounds, sample_components)}
+BRUTE = {f.__name__: f for f in (unitig_table, component_table, bridge_table, backbone_table, contig_table, alignment_scores, best_foreign, em_abundance, bootstrap, bubble_table, shortest_bridges, overlap_collapse, arm_catalogue, shadow_report, circles, local_alignments, rescue_rounds, sample_components)}
 
 
 def test_every_query_has_sql_or_a_plain_version():

@@ -613,7 +613,47 @@ def test_trees_that_cannot_be_read_are_told(spark):
     assert got[1, 0] == (["a|1", "b|1", "c|1", "d|1"], None) and got[2, None][1] and got[4, 0][0] == ["a|3", "b|1"]
 
 
-FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles, single_copy_clades)}
+def extensions(got):
+    found = {(r["locus"], r["kind"]): (r["seq"], r["truncated"]) for r in got}
+    own, branched = loci(), 0
+    assert len(found) == 3 * len(own) == len(got)
+    for n, pairs in circle_pairs().items():
+        depth, seed = Counter(x for _, a, b in pairs for s in (a, b) for x in set(windows(s, 15)) | set(windows(other(s), 15))), own[n][:15]
+        assert found[n, "beam"] == (plain_extension(depth, seed)[0][1], False)
+        text = seed
+        while True:  # the greedy one
+            ways = sorted(((depth[y], y) for b in "ACGT" if (y := text[-14:] + b) in depth and y not in windows(text, 15)), reverse=True)
+            if not ways or len(ways) > 1 and ways[0][0] < 1.5 * ways[1][0]:
+                break
+            text += ways[0][1][-1]
+        assert found[n, "greedy"] == (text, False)
+        deepest, cut = found[n, "deepest"]
+        weight = lambda s: sum(depth[x] for x in windows(s, 15))  # noqa: B023, E731
+        path = windows(deepest, 15)
+        assert path[0] == seed and len(set(path)) == len(path) and set(path) <= set(depth)
+        branched += cut
+        if not cut:  # all was searched
+            assert weight(deepest) >= max(weight(found[n, "beam"][0]), weight(text))
+    assert branched < len(own)
+
+
+def test_searches_tell_when_they_are_cut_short():
+    from strandframe.operators import assembly as Y
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("ACGT") for _ in range(3000))
+    depth = Counter(windows(text, 15))
+    assert Y.deepest_walk(depth, text[:15]) == (text, False) and Y.deepest_walk(depth, text[:15], 100) == (text[:115], True)
+    assert Y.deepest_walk(depth, text[:15], 2985) == (text, False)
+    assert Y.beam_extension(depth, text[:15]) == ([text], False) and Y.beam_extension(depth, text[:15], length=100) == ([text[:115]], True)
+    assert Y.beam_extension(depth, text[:15], length=2985) == ([text], False)
+    assert Y.greedy_extension(depth, text[:15]) == text
+    long = [(f"a{i:04}", f"a{i + 1:04}") for i in range(600)] + [("a0000", "b"), ("b", "a0600")]
+    assert Y.bubbles(long) == [("a0000", "a0600", "simple")]
+    assert Y.bubbles([("a", "b"), ("a", "c"), ("c", "d"), ("d", "c"), ("b", "e"), ("e", "f"), ("f", "e")]) == [("a", None, "complex")]
+
+
+FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles, single_copy_clades, extensions)}
 
 
 @pytest.mark.parametrize("name", sorted(FLOWS))
