@@ -653,6 +653,31 @@ def test_searches_tell_when_they_are_cut_short():
     assert Y.bubbles([("a", "b"), ("a", "c"), ("c", "d"), ("d", "c"), ("b", "e"), ("e", "f"), ("f", "e")]) == [("a", None, "complex")]
 
 
+def test_duplicates_of_pairs_and_single_mates(spark):
+    from strandframe.operators.duplicates import marked
+
+    best, fine, poor = "I" * 10, "5" * 10, "#" * 10
+
+    def pair(name, at, end, q, clip=0, sample="s"):
+        first = f"{clip}S{10 - clip}M" if clip else "10M"
+        return [(sample, name, 65, "c", at + clip, first, q), (sample, name, 145, "c", end - 11, "4M2D6M", q)]
+
+    table = [
+        *pair("a", 100, 200, fine), *pair("b", 100, 200, best), *pair("c", 100, 200, poor, clip=3),  # three copies, one of them clipped
+        *pair("d", 100, 205, best), *pair("e", 100, 200, best, sample="t"),  # another end, another sample
+        *pair("h", 100, 200, best), ("s", "h", 65 | 256, "c", 7, "10M", best),  # as good as b; a second alignment does not count
+        ("s", "f", 73, "c", 100, "10M", best), ("s", "f", 133, "*", 0, "*", best),  # one mate, where pairs begin
+        ("s", "g", 73, "c", 300, "10M", fine), ("s", "i", 73, "c", 300, "2H10M", fine), ("s", "j", 73, "c", 298, "10M", best), ("s", "k", 89, "c", 289, "10M", best),
+        ("s", "l", 77, "*", 0, "*", best), ("s", "m", 73, "c", 900, "10M", None), ("s", "n", 73, "c", 900, "10M", "*"),
+    ]
+    got = {(r["sample"], r["qname"]): (r["ends"], r["duplicate"], r["of"]) for r in marked(spark.createDataFrame(table, "sample string, qname string, flag int, rname string, pos int, cigar string, qual string")).collect()}
+    assert got == {
+        ("s", "a"): (2, True, "b"), ("s", "b"): (2, False, "b"), ("s", "c"): (2, True, "b"), ("s", "h"): (2, True, "b"), ("s", "d"): (2, False, "d"), ("t", "e"): (2, False, "e"),
+        ("s", "f"): (1, True, None), ("s", "g"): (1, False, "g"), ("s", "i"): (1, True, "j"), ("s", "j"): (1, False, "j"), ("s", "k"): (1, False, "k"),
+        ("s", "m"): (1, False, "m"), ("s", "n"): (1, True, "m"),
+    }
+
+
 FLOWS = {f.__name__: f for f in (closed_circles, repeat_families, repeat_signal, pruned_sites, branch_support, paired_contigs, adaptive_circles, single_copy_clades, extensions)}
 
 
