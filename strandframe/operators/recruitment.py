@@ -59,24 +59,60 @@ def _hashed(codes: np.ndarray) -> np.ndarray:
     return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PROBE_BITS)
 
 
-def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int, keys: tuple[str, ...], most: int = BROADCAST_KMERS) -> DataFrame:
-    """Rows (keys, pos, kmer) of the windows of reads (keys, seq) whose k-mer stands in index (kmer, more).
+#: Bits of a sieve: sixteen for each k-mer of the index, but never more than this, which is 128 MB in a worker.
+SIEVE_BITS = 30
+#: Bits of one block of a sieve, which a single row holds.
+_BLOCK_BITS = 20
+#: Bases whose code fits a number.
+_CODED = 31
+
+
+def _window_hashes(text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every window of k bases by the codes of its first and its last bases, 31 at most, and whether it has bases only."""
+    part = min(k, _CODED)
+    code, _ = window_codes(text, part)
+    n = max(0, len(text) - k + 1)
+    wrong = np.concatenate([[0], np.cumsum(_CODES[text] == 4)])
+    clean = wrong[k:] == wrong[:-k] if n else np.zeros(0, bool)
+    mixed = code[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if k > part:
+        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ code[k - part : k - part + n].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32)), clean
+
+
+def sieve(index: DataFrame, k: int, kmers_at_most: int) -> np.ndarray:
+    """A bit for every hash of the k-mers of index. Executors fill its blocks; the driver gets these, of a size that SIEVE_BITS bounds whatever the index holds."""
+    bits = min(SIEVE_BITS, max(_BLOCK_BITS, int(16 * max(1, kmers_at_most)).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            text = np.frombuffer("".join(batch.column(0).to_pylist()).encode(), np.uint8)
+            at = np.unique(_window_hashes(text, k)[0][::k] >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> _BLOCK_BITS), pa.array(at & ((1 << _BLOCK_BITS) - 1))], names=["block", "bit"])
 
-    Where the k-mers of both strands of loci are few enough, their codes go to every executor: whole batches of reads are
-    encoded at once, a hashed map is asked first, sorted codes decide, and only what matches becomes a row. A longer index,
-    or one of over 31 bases, is joined with all windows.
-    """
-    bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
-    if 2 * bases > most or k > 31:
-        return kmers(reads.select(*keys, "seq"), k).select(*keys, "pos", "kmer").join(index.select("kmer").distinct(), "kmer", "left_semi").select(*keys, "pos", "kmer")
-    listed = [r["kmer"].encode() for r in index.select("kmer").distinct().collect()]
-    codes = np.unique(window_codes(np.frombuffer(b"".join(listed), np.uint8), k)[0][::k]) if listed else np.zeros(0, np.int64)
-    shared = reads.sparkSession.sparkContext.broadcast(codes)
+    def blocks(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for b in np.unique(block).tolist():
+                own.setdefault(b, np.zeros(1 << _BLOCK_BITS, bool))[bit[block == b]] = True
+        for b, flags in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["block", "flags"])
+
+    placed = index.select("kmer").where("kmer IS NOT NULL").mapInArrow(places, "block long, bit long")
+    filled = placed.repartition("block").mapInArrow(blocks, "block long, flags binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in filled.toLocalIterator():
+        at = row["block"] << (_BLOCK_BITS - 3)
+        out[at : at + (1 << (_BLOCK_BITS - 3))] |= np.frombuffer(row["flags"], np.uint8)
+    return out
+
+
+def _passing(reads: DataFrame, keys: tuple[str, ...], k: int, test) -> DataFrame:
+    """Rows (keys, pos, kmer) of the windows of reads (keys, seq) that test(text) leaves; it gives the places in a batch's bytes."""
 
     def kernel(batches):
-        known = shared.value
-        probe = np.zeros(1 << _PROBE_BITS, bool)
-        probe[_hashed(known)] = True
+        leaves = test()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -86,10 +122,7 @@ def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int,
             ends = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             text = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
             ends = ends - ends[0]
-            code, clean = window_codes(text, k)
-            at = np.flatnonzero(clean & probe[_hashed(code)]) if len(known) else np.zeros(0, np.int64)
-            place = np.searchsorted(known, code[at])
-            at = at[known[np.minimum(place, max(0, len(known) - 1))] == code[at]] if len(known) else at
+            at = leaves(text)
             row = np.searchsorted(ends, at, "right") - 1
             within = at + k <= ends[row + 1]
             at, row = at[within], row[within]
@@ -102,6 +135,52 @@ def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int,
     return reads.select(*keys, "seq").mapInArrow(kernel, schema)
 
 
+def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int, keys: tuple[str, ...], most: int = BROADCAST_KMERS) -> DataFrame:
+    """Rows (keys, pos, kmer) of the windows of reads (keys, seq) whose k-mer stands in index (kmer, more).
+
+    Whole batches of reads are encoded at once and only what matches becomes a row. Where the k-mers of both strands of loci
+    are few enough, their codes go to every executor: a hashed map is asked first, sorted codes decide. A longer index, or one
+    of over 31 bases, sends a sieve of bounded size instead; what passes is joined with the index, which decides.
+    """
+    bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if 2 * bases > most or k > _CODED:
+        flags = reads.sparkSession.sparkContext.broadcast(sieve(index, k, 2 * bases))
+        shift = np.uint64(65 - (8 * len(flags.value)).bit_length())
+
+        def sieved():
+            bits = flags.value
+
+            def leaves(text):
+                hashes, clean = _window_hashes(text, k)
+                at = np.flatnonzero(clean)
+                place = hashes[at] >> shift
+                return at[(bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1]
+
+            return leaves
+
+        return _passing(reads, keys, k, sieved).join(index.select("kmer").distinct(), "kmer", "left_semi").select(*keys, "pos", "kmer")
+    listed = [r["kmer"].encode() for r in index.select("kmer").distinct().collect()]
+    codes = np.unique(window_codes(np.frombuffer(b"".join(listed), np.uint8), k)[0][::k]) if listed else np.zeros(0, np.int64)
+    shared = reads.sparkSession.sparkContext.broadcast(codes)
+
+    def exact():
+        known = shared.value
+        probe = np.zeros(1 << _PROBE_BITS, bool)
+        probe[_hashed(known)] = True
+
+        def leaves(text):
+            code, clean = window_codes(text, k)
+            if not len(known):
+                return np.zeros(0, np.int64)
+            at = np.flatnonzero(clean & probe[_hashed(code)])
+            place = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
+            return at[known[place] == code[at]]
+
+        return leaves
+
+    return _passing(reads, keys, k, exact)
+
+
 def hits(reads: DataFrame, loci: DataFrame, k: int, step: int = 1, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """Rows (keys, locus, shared): how many distinct canonical k-mers each read shares with each locus.
 
