@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("recruitment_queries", "table_queries", "genome_queries", "workflow_queries", "evidence_queries", "link_queries", "composite_queries", "flow_queries")
+MODULES = ("recruitment_queries", "table_queries", "genome_queries", "workflow_queries", "evidence_queries", "link_queries", "composite_queries", "flow_queries", "marker_queries")
 
 
 def _all() -> dict:
