@@ -36,31 +36,23 @@ def one_per_locus(sites: DataFrame, locus: str) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(locus).orderBy(*order))).where("_r = 1").drop("_r", "_m")
 
 
-def aligned_bases(alignments: DataFrame, max_deletion: int = 150) -> DataFrame:
-    """Rows (ref, pos, base) for every aligned base and every deleted place (base -), and insertions (base null, motif).
+def inserted_motifs(alignments: DataFrame) -> DataFrame:
+    """Rows (ref, pos, motif) of the insertions of mapped, primary records; pos is the place that the motif stands before."""
+    kept = alignments.where("(flag & 2308) = 0 AND cigar LIKE '%I%'").withColumn("ops", F.expr(S.cigar_operations("cigar")))
+    at = "aggregate(slice(ops, 1, i), {0}, (s, o) -> s + CASE WHEN o.op IN ({1}) THEN o.n ELSE 0 END)"
+    found = f"""transform(filter(transform(ops, (o, i) -> struct(o.op AS op, o.n AS n, i AS i)), o -> o.op = 'I'), x -> {S.let("x.i", "i", f"struct({at.format('pos', "'M', 'D', 'N', '=', 'X'")} AS pos, substring(seq, {at.format('1', "'M', 'I', 'S', '=', 'X'")}, x.n) AS motif)")})"""
+    return kept.select("ref", F.explode(F.expr(found)).alias("x")).selectExpr("ref", "cast(x.pos AS int) AS pos", "x.motif AS motif")
 
-    Unmapped, secondary and supplementary records go. A read with a deletion longer than allowed has no deleted places.
-    """
-    kept = alignments.where("(flag & 2308) = 0 AND cigar <> '*'").withColumn("ops", F.expr(S.cigar_operations("cigar")))
-    kept = kept.withColumn("long_gap", F.expr(f"exists(ops, o -> o.op = 'D' AND o.n > {max_deletion})"))
-    walk = """aggregate(ops, named_struct('q', 1, 'r', pos, 'out', cast(array() AS array<struct<op: string, n: int, q: int, r: int>>)), (s, o) -> named_struct(
-        'q', s.q + CASE WHEN o.op IN ('M', 'I', 'S', '=', 'X') THEN o.n ELSE 0 END, 'r', s.r + CASE WHEN o.op IN ('M', 'D', 'N', '=', 'X') THEN o.n ELSE 0 END,
-        'out', concat(s.out, array(named_struct('op', o.op, 'n', o.n, 'q', s.q, 'r', s.r)))), s -> s.out)"""
-    pieces = kept.select("qname", "ref", "seq", "long_gap", F.explode(F.expr(walk)).alias("o")).select("qname", "ref", "seq", "long_gap", "o.*")
-    bases = pieces.where("op IN ('M', '=', 'X') OR op = 'D' AND NOT long_gap").select("qname", "ref", F.posexplode(F.expr("transform(sequence(0, n - 1), i -> CASE WHEN op = 'D' THEN '-' ELSE substring(seq, q + i, 1) END)")).alias("i", "base"), "r")
-    inserted = pieces.where("op = 'I'").selectExpr("qname", "ref", "cast(r AS int) AS pos", "cast(NULL AS string) AS base", "substring(seq, q, n) AS motif")
-    return bases.selectExpr("qname", "ref", "cast(r + i AS int) AS pos", "upper(base) AS base", "cast(NULL AS string) AS motif").unionByName(inserted)
-
-
-def pileup(bases: DataFrame) -> DataFrame:
-    """Counts by place."""
-    n = [F.count_if(F.col("base") == b).alias(name) for b, name in (("-", "gap"), ("A", "a"), ("C", "c"), ("G", "g"), ("N", "n"), ("T", "t"))]
-    return bases.where("base IS NOT NULL").groupBy("ref", "pos").agg(*n, F.count("*").alias("depth"))
-
-
-def consensus_calls(bases: DataFrame, threshold: float, least_depth: int = 2) -> DataFrame:
-    """Bases in groups of equal counts, the most frequent first, until they reach the threshold's share; their IUPAC code, in lower case next to a gap; N below the least depth."""
-    counts = bases.where("base IN ('A', 'C', 'G', 'T', '-')").groupBy("ref", "pos", "base").count()
+
+def pileup(counts: DataFrame) -> DataFrame:
+    """Counts by place, from rows (ref, pos, base, n)."""
+    n = [F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(name) for b, name in (("-", "gap"), ("A", "a"), ("C", "c"), ("G", "g"), ("N", "n"), ("T", "t"))]
+    return counts.groupBy("ref", "pos").agg(*n, F.sum("n").alias("depth"))
+
+
+def consensus_calls(counts: DataFrame, threshold: float, least_depth: int = 2) -> DataFrame:
+    """From rows (ref, pos, base, n), bases in groups of equal counts, the most frequent first, until they reach the threshold's share; their IUPAC code, in lower case next to a gap; N below the least depth."""
+    counts = counts.where("base IN ('A', 'C', 'G', 'T', '-')").withColumnRenamed("n", "count")
     w = Window.partitionBy("ref", "pos")
     taken = counts.withColumn("depth", F.sum("count").over(w)).withColumn("before", F.coalesce(F.sum("count").over(w.orderBy(F.desc("count")).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     taken = taken.where(F.col("before") < threshold * F.col("depth"))
@@ -70,9 +62,9 @@ def consensus_calls(bases: DataFrame, threshold: float, least_depth: int = 2) ->
     return sets.select("ref", "pos", "depth", call.alias("call"))
 
 
-def insertion_columns(bases: DataFrame) -> DataFrame:
+def insertion_columns(inserted: DataFrame) -> DataFrame:
     """Counts of inserted bases at each place and column of the insertion."""
-    motifs = bases.where("motif IS NOT NULL").select("ref", "pos", F.posexplode(F.split("motif", "")).alias("column", "base"))
+    motifs = inserted.where("motif IS NOT NULL").select("ref", "pos", F.posexplode(F.split("motif", "")).alias("column", "base"))
     return motifs.groupBy("ref", "pos", "column", "base").agg(F.count("*").alias("n"))
 
 

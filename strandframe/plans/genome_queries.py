@@ -9,6 +9,7 @@ from ..operators import alignment as A
 from ..operators import graphs as G
 from ..operators import recruitment as R
 from ..operators import tables as T
+from ..operators import places as P
 from ..operators import variants as V
 from . import bridges as B
 
@@ -58,16 +59,16 @@ PLACES = f"""al AS (SELECT * FROM {ALIGNED}), pl AS (
 
 
 def pileup(spark, sf):
-    return V.pileup(V.aligned_bases(alignments(spark, sf)))
+    return V.pileup(P.base_counts(alignments(spark, sf)))
 
 
 def consensus(spark, sf):
-    return V.consensus_calls(V.aligned_bases(alignments(spark, sf)), 0.6)
+    return V.consensus_calls(P.base_counts(alignments(spark, sf)), 0.6)
 
 
 def consensus_thresholds(spark, sf):
     """The calls at several thresholds, counted by code."""
-    bases = V.aligned_bases(alignments(spark, sf))
+    bases = P.base_counts(alignments(spark, sf))
     out = None
     for t in (0.25, 0.5, 0.75):
         c = V.consensus_calls(bases, t).groupBy("call").agg(F.count("*").alias("n")).withColumn("threshold", F.lit(t))
@@ -76,12 +77,12 @@ def consensus_thresholds(spark, sf):
 
 
 def insertions(spark, sf):
-    return V.insertion_columns(V.aligned_bases(alignments(spark, sf)))
+    return V.insertion_columns(V.inserted_motifs(alignments(spark, sf)))
 
 
 def mapping_qc(spark, sf):
     """Mean depth, weighted, and breadth."""
-    p = V.pileup(V.aligned_bases(alignments(spark, sf)))
+    p = V.pileup(P.base_counts(alignments(spark, sf)))
     return p.groupBy("ref").agg(F.count("*").alias("covered"), F.round(F.avg("depth"), 6).alias("mean_depth"), F.round(F.sum(F.col("depth") * F.col("depth")) / F.sum("depth"), 6).alias("weighted_depth"))
 
 
