@@ -20,12 +20,15 @@ def duck_bases(text: str) -> str:
     return f"translate(upper(regexp_replace({text}, '[^A-Za-z]', '', 'g')), '{ALPHABET}', '{BASES}')"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt evenly; larger ones stay as their splits are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reads. A table of fewer files than cores is dealt evenly first; larger ones stay as their splits are read."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    dealt = docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
-    return dealt.selectExpr("source AS sample", "doc_id AS read_id", f"{bases('text')} AS seq")
+    """Documents as reads."""
+    return dealt(table(spark, sf_dir, "documents")).selectExpr("source AS sample", "doc_id AS read_id", f"{bases('text')} AS seq")
 
 
 def loci(spark: SparkSession, sf_dir: str) -> DataFrame:

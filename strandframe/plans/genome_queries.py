@@ -43,7 +43,7 @@ def variant_counts(spark, sf):
 
 def alignments(spark, sf):
     """Loci as references, their shifted copies as aligned reads with one insertion or deletion."""
-    li = B.table(spark, sf, "lineitem").selectExpr("l_orderkey AS qname", "l_linenumber AS n", "l_partkey % 20 AS ref", "cast(l_suppkey % 50 + 1 AS int) AS pos", "l_partkey AS p", "cast(l_quantity AS int) AS q")
+    li = B.dealt(B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).selectExpr("l_orderkey AS qname", "l_linenumber AS n", "l_partkey % 20 AS ref", "cast(l_suppkey % 50 + 1 AS int) AS pos", "l_partkey AS p", "cast(l_quantity AS int) AS q")
     cigar = "CASE WHEN q % 3 = 0 THEN concat(q + 5, 'M') WHEN q % 3 = 1 THEN concat(q, 'M2I5M') ELSE concat('3S', q, 'M4D', 5, 'M') END"
     return li.selectExpr("qname", "cast(CASE WHEN q = 7 THEN 256 ELSE 0 END AS int) AS flag", "ref", "pos", f"{cigar} AS cigar", "substring(repeat(translate(md5(cast(p % 7 AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3), 1, 60) AS seq")
 
