@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import tempfile
@@ -37,6 +38,12 @@ def content_key(name: str, inputs: dict[str, DataFrame], parameters: dict, versi
     return hashlib.sha256(said.encode()).hexdigest()
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One folder for a local session without spark.checkpoint.dir, as in tests; stages last as long as it does."""
+    return tempfile.mkdtemp(prefix="stages-")
+
+
 class _Folder:
     """The folder of one stage's tables, on any file system that Spark can reach."""
 
@@ -45,8 +52,7 @@ class _Folder:
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="stages-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            root = _local_folder(spark.sparkContext.applicationId)
         self.path = f"{root}/strandframe/stages/{name}"
         self._new = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._new(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
