@@ -85,6 +85,18 @@ def distinct_codes(batch: pa.RecordBatch, column: int, k: int, strands: str = "c
         yield code[first], row[first] + at, np.diff(np.append(first, len(code)))
 
 
+def own_codes(reads: DataFrame, k: int, keys: list[str], strands: str = "canonical") -> DataFrame:
+    """Rows (keys, code, n): how often each k-mer stands in each row of reads (keys, seq)."""
+
+    def kernel(batches):
+        for batch in batches:
+            for code, row, n in distinct_codes(batch, len(keys), k, strands):
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in batch.columns[: len(keys)]], pa.array(code), pa.array(n.astype(np.int64))], names=[*keys, "code", "n"])
+
+    schema = T.StructType([*[reads.schema[c] for c in keys], T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    return reads.select(*keys, "seq").mapInArrow(kernel, schema)
+
+
 def read_depths(reads: DataFrame, k: int, keys: list[str], strands: str = "canonical") -> DataFrame:
     """A2: rows (keys, code, depth): in how many rows of reads (keys, seq) each k-mer is. Reads of the same keys are counted together before anything is shuffled."""
 

@@ -74,3 +74,15 @@ def test_depths_of_groups(spark):
     want = Counter((g, x) for g, s in reads for x in {min(w, other(w)) for w in windows(s)})
     got = packed.read_depths(spark.createDataFrame(reads, "g string, seq string").coalesce(1), K, ["g"]).collect()
     assert {(r["g"], packed.decoded(np.array([r["code"]]), K)[0]): r["depth"] for r in got} == want
+
+
+def test_solid_minimizers_send_no_kmers_whole(spark):
+    from strandframe.operators import evidence
+
+    seqs = [s for s in drawn() if s] + ["ACGTACGTNACGTT", "ACGTACGT"]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read long, seq string")
+    got = evidence.solid_minimizers(reads, ("read",), K, 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    every = Counter(min(w, other(w)) for s in seqs for w in windows(s))
+    solid = {i: [x for w in windows(s) if every[x := min(w, other(w))] >= 3] for i, s in enumerate(seqs)}
+    assert {r["read"]: r["minimizer"] for r in got.collect()} == {i: min(own) for i, own in solid.items() if own}
