@@ -1,4 +1,8 @@
-"""Contigs led by pairs: which fragments pass an edge, which thin k-mers a mate vouches for, and the walk that weighs both."""
+"""Contigs led by pairs: which fragments pass an edge, which thin k-mers a mate vouches for, and the walk that weighs both.
+
+Joins of tables that k-mers are cut from ask for a merge: the planner knows the compressed size of what they are cut from
+alone, takes a fraction of theirs for it and would send them whole.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,21 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from .graphs import WALK_STEPS, assembled, written
+from .recruitment import BROADCAST_KMERS
+
+
+def _either(reference: DataFrame, k: int) -> DataFrame:
+    """The k-mers of both strands of a reference (locus, kmer), sent to every executor where a count tells that they are few; else they meet others by a merge join."""
+    both = reference.selectExpr("locus", f"explode(array(kmer, {S.reverse_complement('kmer')})) AS kmer").distinct()
+    return F.broadcast(both) if 2 * reference.count() <= BROADCAST_KMERS else both.hint("merge")
 
 
 def anchored_mates(pairs: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """Rows (locus, fragment, mate, seq, own, opposite): the mates of pairs (locus, fragment, seq1, seq2); whether they, and their other mate, have a k-mer of the reference (locus, kmer) on either strand."""
     mates = pairs.selectExpr("locus", "fragment", "inline(array(struct(1 AS mate, seq1 AS seq), struct(2 AS mate, seq2 AS seq)))")
-    either = reference.selectExpr("locus", f"explode(array(kmer, {S.reverse_complement('kmer')})) AS kmer").distinct()
-    hits = S.kmers(mates, k).select("locus", "fragment", "mate", "kmer").join(either, ["locus", "kmer"]).select("locus", "fragment", "mate").distinct()
+    hits = S.kmers(mates, k).select("locus", "fragment", "mate", "kmer").join(_either(reference, k), ["locus", "kmer"]).select("locus", "fragment", "mate").distinct()
     both = hits.groupBy("locus", "fragment").agg(F.bit_or(F.expr("mate")).alias("_m"))
-    return mates.join(both, ["locus", "fragment"], "left").selectExpr("locus", "fragment", "mate", "seq", "coalesce(_m, 0) & mate <> 0 AS own", "coalesce(_m, 0) & (3 - mate) <> 0 AS opposite")
+    return mates.hint("merge").join(both, ["locus", "fragment"], "left").selectExpr("locus", "fragment", "mate", "seq", "coalesce(_m, 0) & mate <> 0 AS own", "coalesce(_m, 0) & (3 - mate) <> 0 AS opposite")
 
 
 def _strands(mates: DataFrame, k: int) -> DataFrame:
@@ -31,7 +41,7 @@ def weighed_kmers(mates: DataFrame, reference: DataFrame, k: int, error_limit: i
     A k-mer stays if more mates than error_limit have it or the reference has it. A thinner one is rescued if it stands in
     enough fragments in a mate without an anchor whose other mate has one.
     """
-    either = reference.selectExpr("locus", f"explode(array(kmer, {S.reverse_complement('kmer')})) AS kmer").distinct().withColumn("_ref", F.lit(True))
+    either = _either(reference, k).withColumn("_ref", F.lit(True))
     counted = _strands(mates, k).groupBy("locus", "kmer").agg(F.count("*").alias("depth"), F.count_if(F.expr("opposite AND NOT own")).alias("fragments"))
     known = counted.join(either, ["locus", "kmer"], "left").withColumn("_thin", F.expr(f"_ref IS NULL AND depth <= {error_limit}"))
     return known.where(F.expr(f"NOT _thin OR fragments >= {least_fragments}")).select("locus", "kmer", "depth", "fragments", F.col("_thin").alias("rescued"))
@@ -40,11 +50,11 @@ def weighed_kmers(mates: DataFrame, reference: DataFrame, k: int, error_limit: i
 def branch_support(mates: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
     """Rows (locus, edge, fragments): for the edges out of k-mers with several, as texts of k + 1 bases, how many fragments pass them in a mate whose other mate is anchored. Edges without any have 0."""
     left = kmers.selectExpr("locus", "kmer AS a", f"right(kmer, {k - 1}) AS _k")
-    edges = left.join(kmers.selectExpr("locus", "right(kmer, 1) AS base", f"left(kmer, {k - 1}) AS _k"), ["locus", "_k"]).select("locus", "a", "base")
+    edges = left.hint("merge").join(kmers.selectExpr("locus", "right(kmer, 1) AS base", f"left(kmer, {k - 1}) AS _k"), ["locus", "_k"]).select("locus", "a", "base")
     forks = edges.groupBy("locus", "a").agg(F.collect_list("base").alias("bases")).where("size(bases) > 1")
     edge = forks.select("locus", F.explode("bases").alias("base"), "a").selectExpr("locus", "concat(a, base) AS edge")
-    passed = _strands(mates.where("opposite"), k + 1).select("locus", "fragment", F.col("kmer").alias("edge")).distinct().join(edge, ["locus", "edge"]).groupBy("locus", "edge").agg(F.count("*").alias("fragments"))
-    return edge.join(passed, ["locus", "edge"], "left").na.fill(0, ["fragments"])
+    passed = _strands(mates.where("opposite"), k + 1).select("locus", "fragment", F.col("kmer").alias("edge")).distinct().hint("merge").join(edge, ["locus", "edge"]).groupBy("locus", "edge").agg(F.count("*").alias("fragments"))
+    return edge.hint("merge").join(passed, ["locus", "edge"], "left").na.fill(0, ["fragments"])
 
 
 def paired_contigs(pairs: DataFrame, reference: DataFrame, k: int = 21, error_limit: int = 2, least_fragments: int = 2, lookahead: int = 24, limit: int = WALK_STEPS, soft_boundary: int | None = None) -> DataFrame:
