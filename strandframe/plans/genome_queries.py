@@ -199,7 +199,7 @@ def contig_table(spark, sf):
     loci = B.loci(spark, sf)
     reads = B.reads(spark, sf).select("read_id", "seq")
     found = G.written(R.hits(reads, loci, k).select("read_id", "locus"))
-    depth = S.kmers(reads.join(found, "read_id"), k).groupBy("locus", "kmer").agg(F.countDistinct("read_id").alias("depth"))
+    depth = G.recruited_depths(reads, found, k)
     ref = S.kmers(loci, k).select("locus", "pos", "kmer")
     near = depth.join(ref.select("locus", "kmer").distinct().withColumn("r", F.lit(1)), ["locus", "kmer"], "left").where("depth >= 2 OR r = 1").select("locus", "kmer", "depth")  # P5
     return G.contigs(near, ref, "locus")
