@@ -128,7 +128,7 @@ def unique_adjacency(edges: DataFrame) -> DataFrame:
     return edges.join(out, "a").join(into, "b").select("a", "b")
 
 
-def _repeated(reads: DataFrame, keys: tuple[str, ...]) -> bool:
+def repeated(reads: DataFrame, keys: tuple[str, ...]) -> bool:
     """Whether an id stands in several rows, so that these count as one read; only ids are shuffled to tell."""
     return not reads.groupBy(*keys, "read_id").count().where("count > 1").isEmpty()
 
@@ -138,7 +138,7 @@ def solid_kmers(reads: DataFrame, k: int, least: int, keys: tuple[str, ...] = ()
 
     Reads of one row each are counted piece by piece before the shuffle; where an id repeats, its rows' k-mers are made distinct first.
     """
-    if k <= CODED and not _repeated(reads, keys):
+    if k <= CODED and not repeated(reads, keys):
         depths = read_depths(reads, k, list(keys), "both").where(F.col("depth") >= least)
         return depths.select(*keys, F.expr(S.from_two_bit("code", k)).alias("kmer"), "depth")
     own = S.kmers(reads, k).select(*keys, "read_id", F.explode(F.expr(f"array(kmer, {S.reverse_complement('kmer')})")).alias("kmer")).distinct()
@@ -148,7 +148,7 @@ def solid_kmers(reads: DataFrame, k: int, least: int, keys: tuple[str, ...] = ()
 def recruited_depths(reads: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """A2: rows (locus, kmer, depth): in how many reads (read_id, seq) of a locus, by found (read_id, locus), each k-mer is, as it stands."""
     own = reads.select("read_id", "seq").join(found.select("read_id", "locus"), "read_id")
-    if k <= CODED and not _repeated(reads, ()):
+    if k <= CODED and not repeated(reads, ()):
         return read_depths(own, k, ["locus"], "own").select("locus", F.expr(S.from_two_bit("code", k)).alias("kmer"), "depth")
     return S.kmers(own, k).groupBy("locus", "kmer").agg(F.countDistinct("read_id").alias("depth"))
 

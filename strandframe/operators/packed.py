@@ -98,6 +98,19 @@ def own_codes(reads: DataFrame, k: int, keys: list[str], strands: str = "canonic
     return reads.select(*keys, "seq").mapInArrow(kernel, schema)
 
 
+def distinct_counts(reads: DataFrame, k: int, key: str) -> DataFrame:
+    """Rows (key, n): how many different canonical k-mers each row of reads (key, seq) has; rows without any are left out."""
+
+    def kernel(batches):
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for _, row, _ in distinct_codes(batch, 1, k):
+                n += np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=[key, "n"])
+
+    return reads.select(key, "seq").mapInArrow(kernel, T.StructType([reads.schema[key], T.StructField("n", T.LongType())])).where("n > 0")
+
+
 def read_depths(reads: DataFrame, k: int, keys: list[str], strands: str = "canonical") -> DataFrame:
     """A2: rows (keys, code, depth): in how many rows of reads (keys, seq) each k-mer is. Reads of the same keys are counted together before anything is shuffled."""
 

@@ -9,6 +9,7 @@ from ..functions import sequence as S
 from ..operators import assembly as Y
 from ..operators import graphs as G
 from ..operators import recruitment as R
+from ..operators.packed import distinct_counts
 from . import bridges as B
 
 
@@ -71,8 +72,8 @@ def pseudoalign(spark, sf):
     """Loci that hold at least 0.8 of a read's k-mers known to the index, where those are at least a twentieth of all its k-mers."""
     k = 15
     index = R.reference_index(B.loci(spark, sf), k).select("kmer", "canonical", "locus")
-    own = S.kmers(B.reads(spark, sf).select("read_id", "seq"), k).select("read_id", "kmer")
-    n = own.groupBy("read_id").agg(F.countDistinct(F.expr(S.canonical("kmer"))).alias("n"))
+    own = B.reads(spark, sf).select("read_id", "seq")
+    n = S.kmers(own, k).groupBy("read_id").agg(F.countDistinct(F.expr(S.canonical("kmer"))).alias("n")) if G.repeated(own, ()) else distinct_counts(own, k, "read_id")
     found = R.matching_kmers(B.reads(spark, sf), index, B.loci(spark, sf), k, ("read_id",)).join(R.sized(index, B.loci(spark, sf)), "kmer").select("read_id", "canonical", "locus").distinct()
     known = found.groupBy("read_id").agg(F.countDistinct("canonical").alias("known"))
     return found.groupBy("read_id", "locus").agg(F.count("*").alias("hits")).join(known, "read_id").join(n, "read_id").where("known >= 0.05 * n AND hits >= 0.8 * known").select("read_id", "locus", "hits", "known", "n")
