@@ -169,3 +169,18 @@ def concatenated(rows: DataFrame, samples: DataFrame, loci: DataFrame) -> DataFr
 def equal_trees(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, repeats counted."""
     return a.exceptAll(b).withColumn("only_in", F.lit("a")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("b")))
+
+
+#: Parts that the left rows of a group are dealt in, so that its pairs are many tasks' work.
+PAIR_PARTS = 64
+
+
+def spread_pairs(a: DataFrame, b: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Every row of a with every row of b of the same keys, evenly over the tasks whatever the sizes of groups and files; by is a column of a that tells its rows apart.
+
+    Pairs grow with the square of the rows, so files too small for several splits may give all the work there is.
+    """
+    n = max(PAIR_PARTS, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = a.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PAIR_PARTS))).repartition(n, *keys, "_part")
+    right = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_PARTS - 1).cast("long")))).repartition(n, *keys, "_part")
+    return left.hint("merge").join(right, [*keys, "_part"]).drop("_part")
