@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .tables import spread_pairs
 
 
 def masked_genotypes(genotypes: DataFrame, least_dp: int = 5, least_gq: int = 20) -> DataFrame:
@@ -91,7 +94,20 @@ def column_occupancy(rows: DataFrame, keys: list[str]) -> DataFrame:
 def pair_identities(rows: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
     """Identity of every two sequences of a locus over comparable columns; null below the least number of them."""
     a, b = rows.select(*keys, F.col("id").alias("a"), F.col("seq").alias("x")), rows.select(*keys, F.col("id").alias("b"), F.col("seq").alias("y"))
-    both = a.join(b, keys).where("a < b")
-    n = "size(filter(sequence(1, least(length(x), length(y))), i -> substring(x, i, 1) NOT IN ('-', 'N') AND substring(y, i, 1) NOT IN ('-', 'N')))"
-    same = "size(filter(sequence(1, least(length(x), length(y))), i -> substring(x, i, 1) NOT IN ('-', 'N') AND substring(x, i, 1) = substring(y, i, 1)))"
-    return both.select(*keys, "a", "b", F.expr(n).alias("n"), F.expr(same).alias("same")).withColumn("identity", F.expr(f"CASE WHEN n >= {least} THEN round(same / n, 6) END"))
+    both = spread_pairs(a, b, keys, "a").where("a < b")
+
+    def kernel(batches):
+        for pdf in batches:
+            known = pdf["x"].notna() & pdf["y"].notna()
+            x, y = (np.array(pdf[c].fillna("").tolist(), "U") for c in ("x", "y"))
+            least_length = np.minimum(np.char.str_len(x), np.char.str_len(y)) if len(pdf) else np.zeros(0, int)
+            width = int(least_length.max(initial=0))
+            x, y = (v.astype(f"U{max(1, width)}").view(np.uint32).reshape(len(pdf), -1)[:, :width] for v in (x, y))
+            bases = lambda v: (v != ord("-")) & (v != ord("N"))
+            both_bases = bases(x) & bases(y) & (np.arange(width) < least_length[:, None])
+            counts = {"n": both_bases.sum(1), "same": (both_bases & (x == y)).sum(1)}
+            yield pdf[[*keys, "a", "b"]].assign(**{c: pd.array(v, "Int32") for c, v in counts.items()}).assign(**{c: lambda d, c=c: d[c].where(known.to_numpy()) for c in counts})
+
+    kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in [*keys, "a", "b"])
+    counted = both.select(*keys, "a", "b", "x", "y").mapInPandas(kernel, f"{kinds}, n int, same int")
+    return counted.withColumn("identity", F.expr(f"CASE WHEN n >= {least} THEN round(same / n, 6) END"))
\ No newline at end of file
