@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from . import recruitment as R
 from .graphs import written
+from .packed import CODED, own_codes
 
 #: The group of every decoy.
 DECOY = "DECOY"
@@ -52,11 +53,24 @@ def colour_classes(colours: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     Sets are told apart by their size and 128 bits of hashes, which add up before a shuffle, so the colours of a k-mer that
     most references hold are never gathered; the members of a class are those of the k-mer that names it.
     """
-    index = written(R.reference_index(colours.select(F.col("colour").alias("locus"), "seq"), k).select("kmer", "canonical", F.col("locus").alias("colour")))
-    sets = index.groupBy("kmer", "canonical").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("colour")).alias("h"), F.bit_xor(F.xxhash64("colour", F.lit(1))).alias("g"))
-    names = written(sets.groupBy("n", "h", "g").agg(F.min("canonical").alias("class")))
-    members = index.where("kmer = canonical").join(names.select("class"), F.col("kmer") == F.col("class")).select("class", "colour")
-    return sets.join(names, ["n", "h", "g"]).select("kmer", "class"), members
+    if k > CODED:
+        index = written(R.reference_index(colours.select(F.col("colour").alias("locus"), "seq"), k).select("kmer", "canonical", F.col("locus").alias("colour")))
+        sets = index.groupBy("kmer", "canonical").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("colour")).alias("h"), F.bit_xor(F.xxhash64("colour", F.lit(1))).alias("g"))
+        names = written(sets.groupBy("n", "h", "g").agg(F.min("canonical").alias("class")))
+        members = index.where("kmer = canonical").join(names.select("class"), F.col("kmer") == F.col("class")).select("class", "colour")
+        return sets.join(names, ["n", "h", "g"]).select("kmer", "class"), members
+    # codes of canonical k-mers, each colour's once; the order of codes is that of texts, and the other strand is added where it is read
+    index = own_codes(colours, k, ["colour"]).repartition("code")
+    sets = written(index.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("colour")).alias("h"), F.bit_xor(F.xxhash64("colour", F.lit(1))).alias("g"), F.min("colour").alias("colour")))
+    text = S.from_two_bit("code", k)
+    several = sets.where("n > 1")
+    names = written(several.groupBy("n", "h", "g").agg(F.min("code").alias("code")).selectExpr("n", "h", "g", f"{text} AS class"))
+    alone = written(sets.where("n = 1").groupBy("colour").agg(F.min("code").alias("code")).selectExpr("colour", f"{text} AS class"))
+    either = lambda df: df.selectExpr(f"{text} AS own", "class").selectExpr("explode(array_distinct(array(own, " + S.reverse_complement("own") + "))) AS kmer", "class")
+    kmers = either(several.hint("merge").join(names, ["n", "h", "g"])).unionByName(either(sets.where("n = 1").hint("merge").join(alone, "colour")))
+    named = names.selectExpr(f"explode(array_distinct(array(class, {S.reverse_complement('class')}))) AS kmer", "class")
+    held = R.indexed_kmers(colours.select("colour", "seq"), named, names.selectExpr("class AS seq"), k, ("colour",)).select("class", "colour").distinct()
+    return kmers, held.unionByName(alone.select("class", "colour"))
 
 
 def pseudoaligned(queries: DataFrame, colours: DataFrame, k: int = 31, share: float = 0.8, relevant: float = 0.5, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
@@ -68,8 +82,8 @@ def pseudoaligned(queries: DataFrame, colours: DataFrame, k: int = 31, share: fl
     kmers, members = colour_classes(colours, k)
     kmers = written(kmers)
     sized = queries.withColumn("_windows", F.expr(f"aggregate({S.valid_runs('seq')}, 0L, (n, r) -> n + greatest(0, length(r) - {k - 1}))"))
-    found = R.matching_kmers(sized, kmers, colours, k, (*keys, "_windows"))
-    by_class = found.join(R.sized(kmers, colours), "kmer").groupBy(*keys, "_windows", "class").agg(F.count("*").alias("_c"))
+    found = R.indexed_kmers(sized, kmers, colours, k, (*keys, "_windows"))
+    by_class = found.groupBy(*keys, "_windows", "class").agg(F.count("*").alias("_c"))
     known = by_class.withColumn("known", F.sum("_c").over(Window.partitionBy(*keys))).where(F.col("known") >= relevant * F.col("_windows"))
     return known.join(members, "class").groupBy(*keys, "colour").agg(F.sum("_c").alias("hits"), F.max("known").alias("known"), F.max("_windows").alias("windows")).where(F.col("hits") >= share * F.col("known"))
 

@@ -150,6 +150,33 @@ def _passing(reads: DataFrame, keys: tuple[str, ...], k: int, test) -> DataFrame
     return reads.select(*keys, "seq").mapInArrow(kernel, schema)
 
 
+def _sieved(reads: DataFrame, index: DataFrame, bases: int, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """Rows (keys, pos, kmer) of the windows of reads that a sieve of index lets pass: all that stand in it, and a few more."""
+    flags = reads.sparkSession.sparkContext.broadcast(sieve(index, k, 2 * bases))
+    shift = np.uint64(65 - (8 * len(flags.value)).bit_length())
+
+    def sieved():
+        bits = flags.value
+
+        def leaves(text):
+            hashes, clean = _window_hashes(text, k)
+            at = np.flatnonzero(clean)
+            place = hashes[at] >> shift
+            return at[(bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1]
+
+        return leaves
+
+    return _passing(reads, keys, k, sieved)
+
+
+def indexed_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int, keys: tuple[str, ...], most: int = BROADCAST_KMERS) -> DataFrame:
+    """matching_kmers joined with index (kmer, more). Where a sieve goes before, one join both decides and gives the index's columns."""
+    bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if 2 * bases > most or k > _CODED:
+        return _sieved(reads, index, bases, k, keys).hint("merge").join(index, "kmer")
+    return matching_kmers(reads, index, loci, k, keys, most).join(F.broadcast(index), "kmer")
+
+
 def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int, keys: tuple[str, ...], most: int = BROADCAST_KMERS) -> DataFrame:
     """Rows (keys, pos, kmer) of the windows of reads (keys, seq) whose k-mer stands in index (kmer, more).
 
@@ -159,21 +186,7 @@ def matching_kmers(reads: DataFrame, index: DataFrame, loci: DataFrame, k: int,
     """
     bases = loci.agg(F.sum(F.length("seq"))).first()[0] or 0
     if 2 * bases > most or k > _CODED:
-        flags = reads.sparkSession.sparkContext.broadcast(sieve(index, k, 2 * bases))
-        shift = np.uint64(65 - (8 * len(flags.value)).bit_length())
-
-        def sieved():
-            bits = flags.value
-
-            def leaves(text):
-                hashes, clean = _window_hashes(text, k)
-                at = np.flatnonzero(clean)
-                place = hashes[at] >> shift
-                return at[(bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1]
-
-            return leaves
-
-        return _passing(reads, keys, k, sieved).join(index.select("kmer").distinct(), "kmer", "left_semi").select(*keys, "pos", "kmer")
+        return _sieved(reads, index, bases, k, keys).join(index.select("kmer").distinct(), "kmer", "left_semi").select(*keys, "pos", "kmer")
     listed = [r["kmer"].encode() for r in index.select("kmer").distinct().collect()]
     codes = np.unique(window_codes(np.frombuffer(b"".join(listed), np.uint8), k)[0][::k]) if listed else np.zeros(0, np.int64)
     shared = reads.sparkSession.sparkContext.broadcast(codes)
