@@ -9,6 +9,7 @@ from ..functions import sequence as S
 from . import recruitment as R
 from .graphs import written
 from .packed import CODED, own_codes
+from .recruitment import code_sieve
 
 #: The group of every decoy.
 DECOY = "DECOY"
@@ -59,9 +60,7 @@ def colour_classes(colours: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         names = written(sets.groupBy("n", "h", "g").agg(F.min("canonical").alias("class")))
         members = index.where("kmer = canonical").join(names.select("class"), F.col("kmer") == F.col("class")).select("class", "colour")
         return sets.join(names, ["n", "h", "g"]).select("kmer", "class"), members
-    # codes of canonical k-mers, each colour's once; the order of codes is that of texts, and the other strand is added where it is read
-    index = own_codes(colours, k, ["colour"]).repartition("code")
-    sets = written(index.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("colour")).alias("h"), F.bit_xor(F.xxhash64("colour", F.lit(1))).alias("g"), F.min("colour").alias("colour")))
+    sets = _coded_sets(colours, k)
     text = S.from_two_bit("code", k)
     several = sets.where("n > 1")
     names = written(several.groupBy("n", "h", "g").agg(F.min("code").alias("code")).selectExpr("n", "h", "g", f"{text} AS class"))
@@ -73,19 +72,44 @@ def colour_classes(colours: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return kmers, held.unionByName(alone.select("class", "colour"))
 
 
+def _coded_sets(colours: DataFrame, k: int) -> DataFrame:
+    """Rows (code, n, h, g, colour) of the canonical k-mers, whose order as codes is that of texts: how many colours each has, hashes of these where there are several, and the least."""
+    index = own_codes(colours, k, ["colour"]).repartition("code")
+    sets = index.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("colour")).alias("h"), F.bit_xor(F.xxhash64("colour", F.lit(1))).alias("g"), F.min("colour").alias("colour"))
+    return written(sets.select("code", "n", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("h", "g")], "colour"))
+
+
+def _coded_hits(queries: DataFrame, colours: DataFrame, k: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, own, class, _c) and (class, colour): the windows of queries by what holds them, the one colour own or the class of several, named by its least code; and the colours of such classes.
+
+    Codes meet, one for both strands, so neither texts nor names of classes go with each k-mer.
+    """
+    sets = _coded_sets(colours, k)
+    several = sets.where("n > 1")
+    names = written(several.groupBy("n", "h", "g").agg(F.min("code").alias("class")))
+    index = several.hint("merge").join(names.hint("merge"), ["n", "h", "g"]).select("code", F.lit(None).cast(sets.schema["colour"].dataType).alias("own"), "class").unionByName(sets.where("n = 1").selectExpr("code", "colour AS own", "cast(null AS long) AS class"))
+    held = own_codes(colours, k, ["colour"], flags=code_sieve(names.select(F.col("class").alias("code")), names.count())).join(names.select("class"), F.col("code") == F.col("class")).select("class", "colour")
+    passing = own_codes(queries, k, keys, flags=code_sieve(sets, sets.count()))
+    found = passing.hint("merge").join(index.hint("merge"), "code").groupBy(*keys, "own", "class").agg(F.sum("n").alias("_c"))
+    return found, held
+
+
 def pseudoaligned(queries: DataFrame, colours: DataFrame, k: int = 31, share: float = 0.8, relevant: float = 0.5, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """Rows (keys, colour, hits, known, windows): the colours that hold at least share of a query's known windows, where at least relevant of all its windows are known.
 
     windows counts the unambiguous ones, known those of any colour, decoys included. Windows are added up by class before
     they meet colours, so a query sends a row for each class and not for each k-mer and colour.
     """
-    kmers, members = colour_classes(colours, k)
-    kmers = written(kmers)
     sized = queries.withColumn("_windows", F.expr(f"aggregate({S.valid_runs('seq')}, 0L, (n, r) -> n + greatest(0, length(r) - {k - 1}))"))
-    found = R.indexed_kmers(sized, kmers, colours, k, (*keys, "_windows"))
-    by_class = found.groupBy(*keys, "_windows", "class").agg(F.count("*").alias("_c"))
+    if k > CODED:
+        kmers, members = colour_classes(colours, k)
+        found = R.indexed_kmers(sized, written(kmers), colours, k, (*keys, "_windows"))
+        by_class = found.groupBy(*keys, "_windows", "class").agg(F.count("*").alias("_c"), F.first(F.lit(None).cast(colours.schema["colour"].dataType)).alias("own"))
+    else:
+        by_class, members = _coded_hits(sized, colours, k, [*keys, "_windows"])
     known = by_class.withColumn("known", F.sum("_c").over(Window.partitionBy(*keys))).where(F.col("known") >= relevant * F.col("_windows"))
-    return known.join(members, "class").groupBy(*keys, "colour").agg(F.sum("_c").alias("hits"), F.max("known").alias("known"), F.max("_windows").alias("windows")).where(F.col("hits") >= share * F.col("known"))
+    each = known.join(members, "class", "left").withColumn("colour", F.coalesce("own", "colour"))
+    return each.groupBy(*keys, "colour").agg(F.sum("_c").alias("hits"), F.max("known").alias("known"), F.max("_windows").alias("windows")).where(F.col("hits") >= share * F.col("known"))
 
 
 def reference_support(aligned: DataFrame, colours: DataFrame, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
